@@ -7,6 +7,8 @@ retractions, moved keys and late rows are no special cases and the order does no
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,49 +27,73 @@ def _event(columns: list[str], **new_values: Column) -> Column:
     )
 
 
-def _record(op: str, before: Column | None, after: Column | None, seq: Column | None):
-    none = F.lit(None).cast(EVENT)
+@dataclass(frozen=True)
+class Change:
+    """One kind of change: which rows it happens to and the images it leaves.
+
+    ``before`` and ``after`` hold the values that differ from the row (``{}`` for the row as
+    it is, None for no image). ``seq`` is the position in the feed; it only has to order the
+    changes of one key, and defaults to the key.
+    """
+
+    op: str
+    before: dict[str, Column] | None = None
+    after: dict[str, Column] | None = None
+    where: Column | None = None
+    seq: Column | None = None
+
+
+def _record(change: Change, columns: list[str]) -> list[Column]:
+    def image(new_values: dict[str, Column] | None) -> Column:
+        return F.lit(None).cast(EVENT) if new_values is None else _event(columns, **new_values)
+
     return [
-        (F.col(KEY) if seq is None else seq).cast("long").alias("seq"),
-        F.lit(op).alias("op"),
-        (none if before is None else before).alias("before"),
-        (none if after is None else after).alias("after"),
+        (F.col(KEY) if change.seq is None else change.seq).cast("long").alias("seq"),
+        F.lit(change.op).alias("op"),
+        image(change.before).alias("before"),
+        image(change.after).alias("after"),
     ]
 
 
-def snapshot_records(rows: DataFrame, seq: Column | None = None) -> DataFrame:
-    """The present content of a table as records, to start a feed with.
+def records(rows: DataFrame, *changes: Change) -> DataFrame:
+    """Change records of several kinds of change, from one pass over the rows."""
+    if len(changes) == 1:
+        change = changes[0]
+        chosen = rows if change.where is None else rows.filter(change.where)
+        return chosen.select(*_record(change, rows.columns))
+    everywhere = F.lit(True)
+    made = [
+        F.when(everywhere if c.where is None else c.where, F.struct(*_record(c, rows.columns)))
+        for c in changes
+    ]
+    return rows.select(F.inline(F.array_compact(F.array(*made))))
 
-    ``seq`` is the position in the feed, here and below; it defaults to the key and only
-    has to order the changes of one key.
-    """
-    return rows.select(*_record("snapshot", None, _event(rows.columns), seq))
 
+def snapshot_records(rows: DataFrame) -> DataFrame:
+    """The present content of a table as records, to start a feed with."""
+    return records(rows, Change("snapshot", after={}))
 
-def insert_records(rows: DataFrame, seq: Column | None = None) -> DataFrame:
+
+def insert_records(rows: DataFrame) -> DataFrame:
     """New rows as records."""
-    return rows.select(*_record("insert", None, _event(rows.columns), seq))
+    return records(rows, Change("insert", after={}))
 
 
 def delete_records(rows: DataFrame, seq: Column | None = None) -> DataFrame:
     """Deleted rows (as they were) as records."""
-    return rows.select(*_record("delete", _event(rows.columns), None, seq))
+    return records(rows, Change("delete", before={}, seq=seq))
 
 
 def update_records(old: DataFrame, new: DataFrame, seq: Column | None = None) -> DataFrame:
     """Rows of ``old`` and ``new`` with the same key as records; others are left out."""
     before = old.select(KEY, _event(old.columns).alias("before"))
     after = new.select(KEY, _event(new.columns).alias("after"))
-    images = before.join(after, KEY)
-    return images.select(*_record("update", F.col("before"), F.col("after"), seq))
-
-
-def update_records_where(
-    base: DataFrame, condition: Column, seq: Column | None = None, **new_values: Column
-) -> DataFrame:
-    """Records of an update by expressions, without a join: both images from one row."""
-    before, after = _event(base.columns), _event(base.columns, **new_values)
-    return base.filter(condition).select(*_record("update", before, after, seq))
+    return before.join(after, KEY).select(
+        (F.col(KEY) if seq is None else seq).cast("long").alias("seq"),
+        F.lit("update").alias("op"),
+        "before",
+        "after",
+    )
 
 
 def signed_rows(changes: DataFrame, columns: list[str]) -> DataFrame:

@@ -88,27 +88,33 @@ def _view_name() -> Column:
     return name
 
 
-def delta(signed: DataFrame) -> DataFrame:
+def delta(rows: DataFrame) -> DataFrame:
     """What signed rows add to each group of each view: keys of all views (NULL where a view
     lacks the key), the sums, and the ``view`` name.
 
     The four groupings are one grouping-sets aggregate: one scan, one shuffle, and partial
     sums before it, so a key that holds a large part of the rows costs no more than others.
     """
-    rows = signed.select(*ALL_KEYS, *_measures(F.col("sign").cast("bigint")))
+    measured = rows.select(*ALL_KEYS, *_measures(F.col("sign").cast("bigint")))
     sets = [[F.col(k) for k in spec.keys] for spec in VIEWS.values()]
-    grouped = rows.groupingSets(sets, *[F.col(k) for k in ALL_KEYS])
+    grouped = measured.groupingSets(sets, *[F.col(k) for k in ALL_KEYS])
     return grouped.agg(*_add_up(), _view_name().alias("view"))
 
 
-def change_delta(changes: DataFrame) -> DataFrame:
-    """``delta`` of change records."""
-    return delta(signed_rows(changes, [*ALL_KEYS, *MEASURED]))
+def entering(events: DataFrame) -> DataFrame:
+    """All rows of a table as signed rows that enter."""
+    return events.select(F.lit(1).alias("sign"), *ALL_KEYS, *MEASURED)
 
 
-def snapshot_delta(events: DataFrame) -> DataFrame:
-    """``delta`` of a whole table, each row entering once."""
-    return delta(events.select(F.lit(1).alias("sign"), *ALL_KEYS, *MEASURED))
+def signed(changes: DataFrame) -> DataFrame:
+    """Change records as signed rows, with the columns the views need."""
+    return signed_rows(changes, [*ALL_KEYS, *MEASURED])
+
+
+def from_signed(rows: DataFrame, spec: ViewSpec) -> DataFrame:
+    """One view directly from signed rows; groups left without rows disappear."""
+    measured = rows.select(*spec.keys, *_measures(F.col("sign").cast("bigint")))
+    return _shown(merge(measured, *spec.keys), spec)
 
 
 def merge(deltas: DataFrame, *keys: str, latest: str | None = None) -> DataFrame:
@@ -126,3 +132,13 @@ def from_deltas(deltas: DataFrame, spec: ViewSpec, latest: str | None = None) ->
     if latest is None:
         return _shown(merged, spec)
     return _shown(merged.withColumnRenamed(latest, "last_updated"), spec, "last_updated")
+
+
+def group_counts(deltas: DataFrame) -> DataFrame:
+    """Number of groups of each view by table name, from deltas of a single batch."""
+    counts = deltas.groupBy("view").agg(F.count(F.lit(1)).alias("n_rows"))
+    table = None
+    for spec in VIEWS.values():
+        hit = F.col("view") == spec.name
+        table = F.when(hit, spec.table) if table is None else table.when(hit, spec.table)
+    return counts.select(table.alias("table_name"), "n_rows")

@@ -41,6 +41,7 @@ def local_session(cores: int = 8, app: str = "retally", **conf: str) -> SparkSes
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in {**settings(cores), **conf}.items():

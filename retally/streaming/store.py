@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..plans.views import ALL_KEYS, VIEWS, change_delta, from_deltas, merge
+from ..plans.views import ALL_KEYS, VIEWS, delta, from_deltas, merge, signed
 from ..schemas import DELTA, NOTICE
 
 _MARK = T.StructType([T.StructField("upto", T.LongType())])
@@ -123,7 +123,7 @@ class ViewStore:
         if self._feed_of(batch_id) is not None:
             return False
         log = f"{self.root}/log/batch_id={batch_id}"
-        stamped = change_delta(changes).withColumn("committed_at", F.current_timestamp())
+        stamped = delta(signed(changes)).withColumn("committed_at", F.current_timestamp())
         stamped.sortWithinPartitions("view", "event_date").write.mode("overwrite").partitionBy(
             "view"
         ).parquet(log)
