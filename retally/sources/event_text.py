@@ -22,6 +22,12 @@ SAMPLE_LINES = 20_000
 _LEADING = 8  # fields before the positions, the same in both layouts
 _ACTION = 14  # index of the first action position field in the full layout
 
+_NAMES = [name for name, _, _ in LINE_FIELDS]
+
+# A cast to double also takes NaN, infinity and a trailing type letter; here the only letter
+# in a number is the exponent's.
+_LETTERS = "[a-df-zA-DF-Z]"
+
 def split_fields(value: Column) -> Column:
     """Fields of a line after removing NUL and carriage return characters."""
     return F.split(F.translate(value, "\r\0", ""), "\t", -1)
@@ -54,84 +60,77 @@ def detect_layout(lines: DataFrame, sample: int = SAMPLE_LINES) -> int:
     return SHORT if seen[SHORT] > seen[FULL] else FULL
 
 
-def _raw_field(index: int, layout: int) -> Column:
-    fields, n = F.col("fields"), F.col("n_fields")
+def _text(index: int, layout: int) -> Column:
+    """Text of the field that belongs into column ``index``."""
+    fields, n = F.col("_fields"), F.size("_fields")
     if index < _LEADING:
-        text = F.get(fields, F.lit(index))
-    elif index >= _ACTION:
-        text = F.get(fields, n - F.lit(FULL - index))  # the last three fields in both layouts
-    elif layout == FULL:
-        text = F.when(n == FULL, F.get(fields, F.lit(index)))
-    else:
-        text = F.lit(None).cast("string")
-    return F.nullif(text, F.lit(""))
+        return F.get(fields, F.lit(index))
+    if index >= _ACTION:
+        return F.get(fields, n - F.lit(FULL - index))  # the last three fields in both layouts
+    if layout == FULL:
+        return F.when(n == FULL, F.get(fields, F.lit(index)))
+    return F.lit(None).cast("string")
 
 
-def normalize(lines: DataFrame, layout: int = FULL) -> DataFrame:
-    """Lines as 17 text columns, empty fields NULL; wrong field counts dropped.
+def parse(lines: DataFrame, layout: int = FULL) -> DataFrame:
+    """Lines as typed columns, with ``problem``: NULL, or the name of the first bad field.
 
-    With the short layout the source and target positions of full lines are left out too.
+    Lines of any other size than the two layouts give no row. An empty field is NULL. With
+    the short layout the source and target positions of full lines are left out.
     """
     if layout not in (FULL, SHORT):
         raise ValueError(f"layout must be {FULL} or {SHORT}, not {layout}")
-    others = [c for c in lines.columns if c != "value"]
-    fields = lines.select(*others, split_fields(F.col("value")).alias("fields"))
-    sized = fields.withColumn("n_fields", F.size("fields")).filter(
-        F.col("n_fields").isin(FULL, SHORT)
+    others = lines.columns
+    split = lines.select(*others, split_fields(F.col("value")).alias("_split"))
+    fitting = F.when(F.size("_split").isin(FULL, SHORT), F.array("_split"))
+    sized = split.select(*others, F.explode(fitting).alias("_fields"))
+    texts = {name: _text(i, layout) for i, (name, _, _) in enumerate(LINE_FIELDS)}
+    typed = sized.select(
+        *others,
+        "_fields",
+        *[_typed(texts[name], kind).alias(name) for name, kind, _ in LINE_FIELDS],
     )
-    named = [_raw_field(i, layout).alias(name) for i, (name, _, _) in enumerate(LINE_FIELDS)]
-    return sized.select(*others, *named)
-
-
-def _typed(name: str, kind: T.DataType) -> Column:
-    text = F.col(name)
-    if isinstance(kind, T.StringType):
-        return text
-    number = text.try_cast(kind)
-    if isinstance(kind, T.DoubleType):
-        # a cast also takes NaN, infinity and a trailing type letter; these are not numbers here
-        letter = F.lower(F.substring(F.rtrim(text), -1, 1)).isin("d", "f", "n", "y")
-        number = F.when(~letter, number)
-    return number
-
-
-def _problem(name: str, kind: T.DataType, nullable: bool) -> Column:
-    text, problems = F.col(name), []
-    if not nullable:
-        problems.append(F.when(text.isNull(), F.lit(f"{name} is empty")))
-    if not isinstance(kind, T.StringType):
-        bad = text.isNotNull() & _typed(name, kind).isNull()
-        problems.append(F.when(bad, F.concat(F.lit(f"{name} is not a number: "), text)))
-    return F.coalesce(*problems) if problems else F.lit(None).cast("string")
-
-
-def with_problem(raw: DataFrame) -> DataFrame:
-    """Text columns plus ``problem``: why a row cannot be stored, NULL if it can."""
-    return raw.withColumn("problem", F.coalesce(*[_problem(*field) for field in LINE_FIELDS]))
-
-
-def _cast_all(raw: DataFrame) -> DataFrame:
-    names = {name for name, _, _ in LINE_FIELDS}
-    others = [c for c in raw.columns if c not in names]
-    return raw.select(*others, *[_typed(n, kind).alias(n) for n, kind, _ in LINE_FIELDS])
-
-
-def to_events(raw: DataFrame) -> DataFrame:
-    """Typed rows; a row that cannot be stored fails the whole job."""
-    message = F.concat(F.lit("bad event line: "), F.col("problem"))
-    # The check must stay above the filters that leave out headers and lines outside a slice;
-    # Spark does not move a condition that is not deterministic.
-    stay = F.when(F.rand(0) < 0, F.lit(False))
-    acceptable = stay.when(F.col("problem").isNotNull(), F.raise_error(message).cast("boolean"))
-    checked = with_problem(raw).filter(acceptable.otherwise(F.lit(True)))
-    return _cast_all(checked.drop("problem"))
+    problems = []
+    for name, _, nullable in LINE_FIELDS:
+        bad = F.col(name).isNull()
+        if nullable:
+            bad = bad & (texts[name] != "")
+        problems.append(F.when(bad, F.lit(name)))
+    doubles = [texts[name] for name, kind, _ in LINE_FIELDS if isinstance(kind, T.DoubleType)]
+    not_numbers = F.concat_ws(" ", *doubles).rlike(_LETTERS)
+    problems.append(F.when(not_numbers, F.lit("goldstein or a position")))
+    return typed.select(*others, *_NAMES, F.coalesce(*problems).alias("problem"))
+
+
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """The value of a field; NULL if the text is empty or not of the type."""
+    return F.nullif(text, F.lit("")) if isinstance(kind, T.StringType) else text.try_cast(kind)
+
+
+def events_of(parsed: DataFrame, on_bad: str = "fail") -> DataFrame:
+    """The events among parsed lines. A bad line fails the job (``'fail'``) or is left out
+    (``'skip'``).
+
+    Each line gives one row or none through ``explode``. A filter would be moved towards the
+    scan instead: lines would be parsed again inside it, and lines that an earlier step
+    leaves out would be checked too.
+    """
+    problem, event = F.col("problem"), F.array(F.struct(*_NAMES))
+    good = F.when(problem.isNull(), event)
+    if on_bad == "fail":
+        message = F.concat(F.lit("bad event line, "), problem, F.lit(": "), F.col("value"))
+        kind = T.ArrayType(T.StructType([T.StructField(n, k) for n, k, _ in LINE_FIELDS]))
+        good = good.otherwise(F.raise_error(message).cast(kind))
+    elif on_bad != "skip":
+        raise ValueError("on_bad must be 'fail' or 'skip'")
+    others = [c for c in parsed.columns if c not in (*_NAMES, "problem", "value")]
+    return parsed.select(*others, F.explode(good).alias("_event")).select(*others, "_event.*")
 
 
-def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed good rows, and the rejected text rows with their ``problem``."""
-    judged = with_problem(raw)
-    good = judged.filter(F.col("problem").isNull()).drop("problem")
-    return _cast_all(good), judged.filter(F.col("problem").isNotNull())
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    """Lines of a right size with a bad field, and which field it is."""
+    rejected = F.when(F.col("problem").isNotNull(), F.array(F.struct("value", "problem")))
+    return parsed.select(F.explode(rejected).alias("_r")).select("_r.*")
 
 
 def max_id(events: DataFrame) -> int:
@@ -160,11 +159,8 @@ def read_events(
     ``rejected_lines`` for them); ``'fail'`` fails the job that reads them. Runs small queries
     for the layout and the row numbers.
     """
-    if on_bad not in ("fail", "skip"):
-        raise ValueError("on_bad must be 'fail' or 'skip'")
-    raw = _read_raw(spark, path, offset, limit, layout)
-    events = to_events(raw) if on_bad == "fail" else split_rejects(raw)[0]
-    return assign_ids(events, after_id)
+    parsed = _parse_file(spark, path, offset, limit, layout)
+    return assign_ids(events_of(parsed, on_bad), after_id)
 
 
 def rejected_lines(
@@ -175,11 +171,11 @@ def rejected_lines(
     limit: int | None = None,
     layout: int | None = None,
 ) -> DataFrame:
-    """The rows ``read_events(on_bad='skip')`` leaves out, as text with their ``problem``."""
-    return split_rejects(_read_raw(spark, path, offset, limit, layout))[1]
+    """The lines ``read_events(on_bad='skip')`` leaves out, with the name of the bad field."""
+    return rejects_of(_parse_file(spark, path, offset, limit, layout))
 
 
-def _read_raw(spark, path, offset, limit, layout) -> DataFrame:
+def _parse_file(spark, path, offset, limit, layout) -> DataFrame:
     lines = read_lines(spark, path)
     if layout is None:
         layout = detect_layout(lines)
@@ -187,7 +183,7 @@ def _read_raw(spark, path, offset, limit, layout) -> DataFrame:
         data = drop_header(lines, header_of(spark, path))
     else:
         data = slice_lines(lines, offset or 0, limit)
-    return normalize(data, layout)
+    return parse(data, layout)
 
 
 def line_report(lines: DataFrame, header: str | None) -> DataFrame:
@@ -200,9 +196,8 @@ def line_report(lines: DataFrame, header: str | None) -> DataFrame:
 
 def parse_lines(lines: DataFrame, header: str | None, layout: int = FULL) -> DataFrame:
     """Typed events without ids; narrow steps only, so ``lines`` may be a stream."""
-    names = [name for name, _, _ in LINE_FIELDS]
-    events = to_events(normalize(drop_header(lines, header), layout))
-    return events.select(F.lit(None).cast("long").alias(KEY), *names)
+    events = events_of(parse(drop_header(lines, header), layout))
+    return events.select(F.lit(None).cast("long").alias(KEY), *_NAMES)
 
 
 def write_lines(events: DataFrame, path: str, layout: int = FULL) -> None:

@@ -108,7 +108,11 @@ class ViewStore:
     # --- writing --------------------------------------------------------------------------
 
     def apply(self, changes: DataFrame, batch_id: int, feed: str = "") -> bool:
-        """Add one batch of change records to all views; False if it was there already.
+        """Add one batch of change records to all views; False if it was there already."""
+        return self.add(signed(changes), batch_id, feed)
+
+    def add(self, rows: DataFrame, batch_id: int, feed: str = "") -> bool:
+        """Add one batch of signed rows to all views; False if it was there already.
 
         One job computes and writes all four deltas; the commit record follows. ``feed``
         identifies the source: batch numbers of another source would be taken for replays,
@@ -123,10 +127,9 @@ class ViewStore:
         if self._feed_of(batch_id) is not None:
             return False
         log = f"{self.root}/log/batch_id={batch_id}"
-        stamped = delta(signed(changes)).withColumn("committed_at", F.current_timestamp())
-        stamped.sortWithinPartitions("view", "event_date").write.mode("overwrite").partitionBy(
-            "view"
-        ).parquet(log)
+        stamped = delta(rows).withColumn("committed_at", F.current_timestamp())
+        ordered = stamped.sortWithinPartitions("view", "event_date")
+        ordered.write.mode("overwrite").partitionBy("view").parquet(log)
         self._write_notice(log, batch_id, feed)
         return True
 
