@@ -42,8 +42,14 @@ def _register(name: str) -> Callable[[Query], Query]:
 
 
 def _line_view(spark: SparkSession, folder: str, spec: views.ViewSpec) -> DataFrame:
-    """A view over order lines; reads the tables its keys need."""
-    return views.full(line_events(spark, folder, *spec.keys, *views.MEASURED), spec)
+    """A view over order lines in the reports' range; reads the tables its keys need."""
+    columns = (*spec.keys, *views.MEASURED)
+    return views.full(line_events(spark, folder, *columns, dates=(START, END)), spec)
+
+
+def _lines(spark: SparkSession, folder: str, *keys: str) -> DataFrame:
+    columns = ("event_date", *keys, "num_events", "goldstein")
+    return line_events(spark, folder, *columns, dates=(START, END))
 
 
 def _log_view(spark: SparkSession, folder: str, spec: views.ViewSpec) -> DataFrame:
@@ -57,7 +63,7 @@ def _register_views() -> None:
     for spec in views.VIEWS.values():
 
         def view(spark, folder, spec=spec):
-            return _line_view(spark, folder, spec)
+            return views.full(line_events(spark, folder, *spec.keys, *views.MEASURED), spec)
 
         def recompute(spark, folder, spec=spec):
             events = line_events(spark, folder, *spec.keys, *views.MEASURED)
@@ -121,7 +127,7 @@ def dyad_heatmap(spark, folder):
 
 @_register("raw_daily")
 def raw_daily(spark, folder):
-    events = line_events(spark, folder, "event_date", "quad_class", "num_events", "goldstein")
+    events = _lines(spark, folder, "quad_class")
     return reports.raw_daily(events, START, END)
 
 
@@ -132,13 +138,13 @@ def raw_actors(spark, folder):
 
 @_register("raw_dyads")
 def raw_dyads(spark, folder):
-    columns = ("event_date", "source_actor", "target_actor", "num_events", "goldstein")
-    return reports.raw_dyads(line_events(spark, folder, *columns), START, END)
+    events = _lines(spark, folder, "source_actor", "target_actor")
+    return reports.raw_dyads(events, START, END)
 
 
 @_register("raw_cameo")
 def raw_cameo(spark, folder):
-    events = line_events(spark, folder, "event_date", "cameo_code", "num_events", "goldstein")
+    events = _lines(spark, folder, "cameo_code")
     return reports.raw_cameo(events, START, END)
 
 

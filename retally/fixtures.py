@@ -8,6 +8,8 @@ asked for.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +72,20 @@ def _nation_code(nation_key: Column) -> Column:
     return F.concat(F.lit("N"), F.lpad(nation_key.cast("string"), 2, "0"))
 
 
-def line_events(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Order lines as events, with the named columns only."""
+def line_events(
+    spark: SparkSession, folder: str, *columns: str, dates: tuple[int, int] | None = None
+) -> DataFrame:
+    """Order lines as events, with the named columns only.
+
+    The event date is computed from a timestamp here, so a range of it would not reach the
+    scan; ``dates`` puts the same range on the timestamp.
+    """
     lines = table(spark, folder, "lineitem")
+    if dates is not None:
+        first, last = (F.lit(datetime.strptime(str(d), "%Y%m%d").date()) for d in dates)
+        shipped = F.col("l_shipdate")
+        after = F.date_add(last, 1).cast("timestamp_ntz")
+        lines = lines.filter((shipped >= first.cast("timestamp_ntz")) & (shipped < after))
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     part, line = F.col("l_partkey"), F.col("l_linenumber")
     derived = {

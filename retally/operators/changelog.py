@@ -19,12 +19,13 @@ OPS_WITH_BEFORE = ("update", "delete")
 OPS_WITH_AFTER = ("snapshot", "insert", "update")
 
 
-def _event(columns: list[str], **new_values: Column) -> Column:
-    """An event struct from the row: new values first, then its columns, NULL for the rest."""
-    values = {c: F.col(c) for c in columns} | new_values
-    return F.struct(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields]
-    )
+def _event(columns: list[str]) -> Column:
+    """The row as an event struct, NULL for the event columns it lacks."""
+    fields = [
+        f"cast({f.name if f.name in columns else 'NULL'} as {f.dataType.simpleString()}) as {f.name}"
+        for f in EVENT.fields
+    ]
+    return F.expr(f"struct({', '.join(fields)})")
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,14 @@ class Change:
     seq: Column | None = None
 
 
-def _record(change: Change, columns: list[str]) -> list[Column]:
+def _record(change: Change) -> list[Column]:
     def image(new_values: dict[str, Column] | None) -> Column:
-        return F.lit(None).cast(EVENT) if new_values is None else _event(columns, **new_values)
+        if new_values is None:
+            return F.lit(None).cast(EVENT)
+        result = F.col("_row")
+        for name, value in new_values.items():
+            result = result.withField(name, value.cast(EVENT[name].dataType))
+        return result
 
     return [
         (F.col(KEY) if change.seq is None else change.seq).cast("long").alias("seq"),
@@ -57,16 +63,16 @@ def _record(change: Change, columns: list[str]) -> list[Column]:
 
 def records(rows: DataFrame, *changes: Change) -> DataFrame:
     """Change records of several kinds of change, from one pass over the rows."""
+    with_row = rows.select("*", _event(rows.columns).alias("_row"))
     if len(changes) == 1:
         change = changes[0]
-        chosen = rows if change.where is None else rows.filter(change.where)
-        return chosen.select(*_record(change, rows.columns))
-    everywhere = F.lit(True)
+        chosen = with_row if change.where is None else with_row.filter(change.where)
+        return chosen.select(*_record(change))
     made = [
-        F.when(everywhere if c.where is None else c.where, F.struct(*_record(c, rows.columns)))
+        F.struct(*_record(c)) if c.where is None else F.when(c.where, F.struct(*_record(c)))
         for c in changes
     ]
-    return rows.select(F.inline(F.array_compact(F.array(*made))))
+    return with_row.select(F.inline(F.array_compact(F.array(*made))))
 
 
 def snapshot_records(rows: DataFrame) -> DataFrame:
