@@ -6,6 +6,8 @@ order of addition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .queries import AS_OF, COPIES, END, SAMPLE, SAMPLE_SHIFT, SEED, START
 
 EVENT_LOG = """
@@ -213,26 +215,33 @@ def _touched_counts() -> str:
 # --- text files --------------------------------------------------------------------------
 
 
-def _text(short_layout: bool) -> str:
-    """What is stored from the text files: positions are lost with the short layout, and for
-    lines written in it."""
-    place = "NULL" if short_layout else "CASE WHEN cameo_code = '043' THEN NULL ELSE {} END"
-
-    def geo(expression: str, kind: str) -> str:
-        return f"CAST({place.format(expression)} AS {kind})"
-
+def _placed(geo: Callable[[str], str]) -> str:
+    """The position columns as they are put into text files and the stored table."""
     return f"""
-    SELECT event_date, source_actor, target_actor, cameo_code, num_events, num_articles,
-           quad_class, goldstein,
-           {geo("1", "INTEGER")} AS source_geo_type,
-           {geo("num_articles * CAST(1.5 AS DOUBLE)", "DOUBLE")} AS source_geo_lat,
-           {geo("num_articles * CAST(-2.25 AS DOUBLE)", "DOUBLE")} AS source_geo_long,
-           {geo("4", "INTEGER")} AS target_geo_type,
-           {geo("num_events * CAST(0.5 AS DOUBLE)", "DOUBLE")} AS target_geo_lat,
+           CAST({geo("1")} AS INTEGER) AS source_geo_type,
+           CAST({geo("num_articles * CAST(1.5 AS DOUBLE)")} AS DOUBLE) AS source_geo_lat,
+           CAST({geo("num_articles * CAST(-2.25 AS DOUBLE)")} AS DOUBLE) AS source_geo_long,
+           CAST({geo("4")} AS INTEGER) AS target_geo_type,
+           CAST({geo("num_events * CAST(0.5 AS DOUBLE)")} AS DOUBLE) AS target_geo_lat,
            CAST(NULL AS DOUBLE) AS target_geo_long,
            quad_class AS action_geo_type,
            num_articles + CAST(0.25 AS DOUBLE) AS action_geo_lat,
            CAST(-3.0 AS DOUBLE) AS action_geo_long
+    """
+
+
+def _text(short_layout: bool) -> str:
+    """What is stored from the text files: source and target positions are lost with the
+    short layout, and for lines written in it."""
+
+    def geo(expression: str) -> str:
+        if short_layout:
+            return "NULL"
+        return f"CASE WHEN cameo_code = '043' THEN NULL ELSE {expression} END"
+
+    return f"""
+    SELECT event_date, source_actor, target_actor, cameo_code, num_events, num_articles,
+           quad_class, goldstein, {_placed(geo)}
     FROM ({EVENT_LOG}) AS ev WHERE cameo_code <> '190'
     """
 
@@ -438,6 +447,10 @@ def oracles() -> dict[str, str]:
           FROM events) AS t
     GROUP BY n
     """
+    sql["stored_table"] = f"""
+    SELECT *, {_placed(lambda expression: expression)}
+    FROM ({_changed({}, late=True)}) AS t WHERE {RANGE}
+    """
     sql["stream_text"] = _view(_changed({}, "cameo_code <> '190'"), "quad")
     sql["stream_notices"] = _touched_counts()
     sql["stream_freshness"] = f"""

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import keyed_events, line_events
-from ..functions.dates import to_day, to_ymd
+from ..functions.dates import in_date_range, to_day, to_ymd
 from ..functions.labels import percent
 from ..operators import changelog, keyed
 from ..plans import reports, views
 from ..schemas import KEY, LINE_FIELDS
 from ..session import shared_folder
 from ..sources import changes as feeds
-from ..sources import event_text, lines
+from ..sources import event_table, event_text, lines
 from ..streaming.maintain import maintain
 from ..streaming.store import ViewStore
 from . import scenario
@@ -460,6 +460,21 @@ def line_report(spark, folder):
     return event_text.line_report(lines.read_lines(spark, path), event_text.header_of(spark, path))
 
 
+@_register("stored_table")
+def stored_table(spark, folder):
+    """The event table written anew, added to, and read back for the reports' range."""
+
+    def make(path: str) -> None:
+        events = text_events(spark, folder)
+        low, high = keyed.id_range(events)
+        event_table.write_events(events, path, "overwrite")
+        event_table.write_events(scenario.late_rows(events, high - low + 1), path, "append")
+
+    path = _once(spark, folder, "events", make)
+    stored = in_date_range(event_table.read_events_table(spark, path), START, END)
+    return stored.drop("event_month")
+
+
 @_register("stream_text")
 def stream_text(spark, folder):
     """Text files taken in as a stream that keeps the views; the class view."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import to_ymd
-from .schemas import KEY
+from .schemas import EVENT, KEY
 
 EVENT_LOG_COLUMNS = [
     KEY,
@@ -116,3 +116,19 @@ def line_events(
         parts = table(spark, folder, "part").select("p_partkey", "p_type")
         lines = lines.join(parts, part == F.col("p_partkey"), "left")
     return lines.select(*[derived[c].alias(c) for c in columns])
+
+
+# The four sample events a new table starts with.
+_NOWHERE = (None,) * 9
+SEED_ROWS = [
+    (1, 19790101, "AFR", "FRA", "043", 1, 4, 1, 2.8, *_NOWHERE),
+    (2, 19790101, "AFR", "FRA", "050", 2, 9, 1, 3.5, *_NOWHERE),
+    (3, 19790101, "ARG", "CHL", "172", 2, 4, 4, -5.0)
+    + (1, -34.0, -64.0, 1, -30.0, -71.0, 1, -34.0, -64.0),
+    (4, 19790101, "CHN", "CHNGOV", "0841", 1, 6, 2, 7.0, *((4, 39.9289, 116.388) * 3)),
+]
+
+
+def seed_events(spark: SparkSession) -> DataFrame:
+    """The sample events; add them with ``operators.keyed.insert_ignore``."""
+    return spark.createDataFrame(SEED_ROWS, EVENT)

@@ -125,13 +125,21 @@ def merge(deltas: DataFrame, *keys: str, latest: str | None = None) -> DataFrame
     return deltas.groupBy(*keys).agg(*sums).filter(F.col("d_rows") != 0)
 
 
+def _named_latest(df: DataFrame, spec: ViewSpec, latest: str | None) -> DataFrame:
+    if latest is None:
+        return _shown(df, spec)
+    return _shown(df.withColumnRenamed(latest, "last_updated"), spec, "last_updated")
+
+
 def from_deltas(deltas: DataFrame, spec: ViewSpec, latest: str | None = None) -> DataFrame:
     """A view from deltas; ``latest`` names a time column shown as ``last_updated``."""
     own = deltas.filter(F.col("view") == spec.name)
-    merged = merge(own, *spec.keys, latest=latest)
-    if latest is None:
-        return _shown(merged, spec)
-    return _shown(merged.withColumnRenamed(latest, "last_updated"), spec, "last_updated")
+    return _named_latest(merge(own, *spec.keys, latest=latest), spec, latest)
+
+
+def from_merged(merged: DataFrame, spec: ViewSpec, latest: str | None = None) -> DataFrame:
+    """A view from deltas that are merged already, one row per group: no shuffle."""
+    return _named_latest(merged.filter(F.col("view") == spec.name), spec, latest)
 
 
 def group_counts(deltas: DataFrame) -> DataFrame:

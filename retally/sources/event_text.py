@@ -138,9 +138,17 @@ def max_id(events: DataFrame) -> int:
     return events.agg(F.coalesce(F.max(KEY), F.lit(0)).alias("m")).head()["m"]
 
 
-def assign_ids(events: DataFrame, after: int) -> DataFrame:
-    """Rows in input order with ids ``after + 1``, ``after + 2``, ... and the event columns."""
-    return number_rows(events, KEY, start=after + 1).select(*EVENT_COLUMNS)
+def assign_ids(events: DataFrame, after: int, gapless: bool = True) -> DataFrame:
+    """Rows with ids above ``after``, and the event columns.
+
+    Gapless ids are ``after + 1``, ``after + 2``, ... in input order and need a counting pass
+    over the input. Without it ids are unique and rise within a split, but leave gaps, as a
+    database sequence may; the input is read once.
+    """
+    if gapless:
+        return number_rows(events, KEY, start=after + 1).select(*EVENT_COLUMNS)
+    first = F.lit(after + 1).cast("long")
+    return events.withColumn(KEY, first + F.monotonically_increasing_id()).select(*EVENT_COLUMNS)
 
 
 def read_events(
@@ -151,16 +159,17 @@ def read_events(
     limit: int | None = None,
     layout: int | None = None,
     after_id: int = 0,
+    gapless_ids: bool = True,
     on_bad: str = "fail",
 ) -> DataFrame:
     """Events of a text file, or of the data lines ``offset .. offset + limit - 1``.
 
-    The layout is detected unless given. ``on_bad='skip'`` leaves unusable rows out (see
+    The layout is detected unless given; ids are given as by ``assign_ids``. ``on_bad='skip'`` leaves unusable rows out (see
     ``rejected_lines`` for them); ``'fail'`` fails the job that reads them. Runs small queries
     for the layout and the row numbers.
     """
     parsed = _parse_file(spark, path, offset, limit, layout)
-    return assign_ids(events_of(parsed, on_bad), after_id)
+    return assign_ids(events_of(parsed, on_bad), after_id, gapless_ids)
 
 
 def rejected_lines(

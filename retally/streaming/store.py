@@ -2,15 +2,18 @@
 
 ::
 
-    root/log/batch_id=N/view=V/      what batch N adds to view V
-    root/notices/batch_id=N/         commit record of batch N, written last
-    root/base/upto=K/view=V/         sum of the batches up to K
-    root/compactions/upto=K/         commit record of that base, written last
+    root/log/batch_id=N/view=V/              what batch N adds to view V
+    root/notices/batch_group=G/batch_id=N/   commit record of batch N, written last
+    root/base/upto=K/view=V/                 sum of the batches up to K
+    root/compactions/upto=K/                 commit record of that base, written last
 
 A batch counts once its notice is there, for all four views at the same moment, and is never
 written again: a batch that is replayed after its commit is skipped, one that failed half-way
 is overwritten. Committed folders do not change, so reading, maintaining and compacting can
 go on side by side (one maintaining query and one compaction at a time).
+
+Batch numbers count up from 0, as a streaming query's do. After a compaction a reader looks
+at the base and at what came later, not at the history before it.
 """
 
 from __future__ import annotations
@@ -22,10 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from ..plans.views import ALL_KEYS, VIEWS, delta, from_deltas, merge, signed
+from ..plans.views import ALL_KEYS, VIEWS, delta, from_deltas, from_merged, merge, signed
 from ..schemas import DELTA, NOTICE
 
-_MARK = T.StructType([T.StructField("upto", T.LongType())])
+#: Notices per folder, so that looking for recent ones does not list all of them.
+GROUP = 1000
+
+_MARK = T.StructType(
+    [
+        T.StructField("view", T.StringType()),
+        T.StructField("last_updated", T.TimestampType()),
+        T.StructField("last_batch", T.LongType()),
+        T.StructField("upto", T.LongType()),
+    ]
+)
 
 
 def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame | None:
@@ -49,61 +62,93 @@ class ViewStore:
 
     def notices(self) -> DataFrame:
         """Change notices: per batch and view the number of changed groups and the time."""
-        found = _read(self.spark, NOTICE, f"{self.root}/notices")
-        return self.spark.createDataFrame([], NOTICE) if found is None else found
+        return self._or_empty(_read(self.spark, NOTICE, f"{self.root}/notices"), NOTICE)
+
+    def _notices_after(self, batch_id: int) -> DataFrame:
+        """Notices of later batches; lists the folders from that batch on only."""
+        found, group = [], (batch_id + 1) // GROUP
+        while True:
+            folder = f"{self.root}/notices/batch_group={group}"
+            notices = _read(self.spark, NOTICE, folder)
+            if notices is None:
+                break
+            found.append(notices.filter(F.col("batch_id") > batch_id))
+            group += 1
+        return self._or_empty(reduce(DataFrame.unionByName, found) if found else None, NOTICE)
+
+    def _or_empty(self, df: DataFrame | None, schema: T.StructType) -> DataFrame:
+        return self.spark.createDataFrame([], schema) if df is None else df
+
+    def _marks(self) -> DataFrame:
+        return self._or_empty(_read(self.spark, _MARK, f"{self.root}/compactions"), _MARK)
 
     def compacted_upto(self) -> int:
         """Last batch contained in the newest base, -1 without one. Runs a small query."""
-        marks = _read(self.spark, _MARK, f"{self.root}/compactions")
-        last = None if marks is None else marks.agg(F.max("upto")).head()[0]
+        last = self._marks().agg(F.max("upto")).head()[0]
         return -1 if last is None else last
 
     def committed_batches(self, after: int = -1) -> list[int]:
         """Committed batches later than ``after``: as many as since the last compaction."""
-        later = self.notices().filter(F.col("batch_id") > after).select("batch_id").distinct()
+        later = self._notices_after(after).select("batch_id").distinct()
         return sorted(row["batch_id"] for row in later.collect())
 
     # --- reading --------------------------------------------------------------------------
 
-    def deltas(self) -> DataFrame:
-        """Committed deltas of all views: the newest base and the batches after it.
-
-        The state is looked up when this is called; later batches are not seen.
-        """
+    def _sources(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """The newest base and the deltas of the batches after it, None where there is none."""
         upto = self.compacted_upto()
         batches = self.committed_batches(upto)
-        columns = DELTA.fieldNames()
-        sources = []
+        base = log = None
         if upto >= 0:
-            sources.append(self.spark.read.schema(DELTA).parquet(f"{self.root}/base/upto={upto}"))
+            base = self.spark.read.schema(DELTA).parquet(f"{self.root}/base/upto={upto}")
         if batches:
-            log = f"{self.root}/log"
-            paths = [f"{log}/batch_id={n}" for n in batches]
-            reader = self.spark.read.schema(DELTA).option("basePath", log)
-            sources.append(reader.parquet(*paths).select(*columns))
-        if not sources:
-            return self.spark.createDataFrame([], DELTA)
-        return reduce(DataFrame.unionByName, sources)
+            folder = f"{self.root}/log"
+            paths = [f"{folder}/batch_id={n}" for n in batches]
+            reader = self.spark.read.schema(DELTA).option("basePath", folder)
+            log = reader.parquet(*paths).select(*DELTA.fieldNames())
+        return base, log
+
+    def _deltas(self) -> DataFrame:
+        found = [df for df in self._sources() if df is not None]
+        return self._or_empty(reduce(DataFrame.unionByName, found) if found else None, DELTA)
 
     def view(self, name: str) -> DataFrame:
-        """A view as of now, with ``last_updated``. A filter on ``event_date`` reaches the
-        files."""
-        return from_deltas(self.deltas(), VIEWS[name], latest="committed_at")
+        """A view as of now, with ``last_updated``; later batches are not seen.
+
+        A filter on ``event_date`` reaches the files.
+        """
+        return self.views(name)[name]
 
-    def views(self) -> dict[str, DataFrame]:
-        """All four views, as of the same batch."""
-        deltas = self.deltas()
-        return {
-            name: from_deltas(deltas, spec, latest="committed_at") for name, spec in VIEWS.items()
-        }
+    def views(self, *names: str) -> dict[str, DataFrame]:
+        """The named views, or all four, as of the same batch.
+
+        Right after a compaction the base has one row per group and is read without a
+        shuffle; otherwise base and later deltas are added up.
+        """
+        base, log = self._sources()
+        if log is None and base is not None:
+            build, deltas = from_merged, base
+        else:
+            build = from_deltas
+            deltas = self._or_empty(base.unionByName(log) if base is not None else log, DELTA)
+        return {n: build(deltas, VIEWS[n], latest="committed_at") for n in names or VIEWS}
 
     def freshness(self, since_batch: int = -1) -> DataFrame:
         """Per view: its last change, the batch that made it, and whether that is later than
         ``since_batch``. Also the way to notice new data in old dates."""
-        changed = self.notices().filter(F.col("keys_changed") > 0).groupBy("view").agg(
-            F.max("committed_at").alias("last_updated"), F.max("batch_id").alias("last_batch")
+        marks = self._marks().select("view", "last_updated", "last_batch")
+        upto = self.compacted_upto()
+        recent = self._notices_after(upto).filter(F.col("keys_changed") > 0)
+        changed = recent.select(
+            "view",
+            F.col("committed_at").alias("last_updated"),
+            F.col("batch_id").alias("last_batch"),
+        )
+        latest = marks.unionByName(changed).groupBy("view").agg(
+            F.max("last_updated").alias("last_updated"), F.max("last_batch").alias("last_batch")
         )
-        return changed.withColumn("updated", F.col("last_batch") > since_batch)
+        known = latest.filter(F.col("last_batch").isNotNull())
+        return known.withColumn("updated", F.col("last_batch") > since_batch)
 
     # --- writing --------------------------------------------------------------------------
 
@@ -118,14 +163,18 @@ class ViewStore:
         identifies the source: batch numbers of another source would be taken for replays,
         so a store refuses a second one.
         """
-        first = self._feed_of(0)
-        if first not in (None, feed):
-            raise ValueError(
-                f"the views under {self.root} are kept from feed {first!r}, not {feed!r};"
-                " a new checkpoint needs a new root"
-            )
-        if self._feed_of(batch_id) is not None:
+        present = self._feed_of(batch_id)
+        before = self._feed_of(batch_id - 1) if batch_id > 0 else present
+        for other in (present, before):
+            if other not in (None, feed):
+                raise ValueError(
+                    f"the views under {self.root} are kept from feed {other!r}, not {feed!r};"
+                    " a new checkpoint needs a new root"
+                )
+        if present is not None:
             return False
+        if batch_id > 0 and before is None:
+            raise ValueError(f"batch {batch_id} follows a batch that is not in {self.root}")
         log = f"{self.root}/log/batch_id={batch_id}"
         stamped = delta(rows).withColumn("committed_at", F.current_timestamp())
         ordered = stamped.sortWithinPartitions("view", "event_date")
@@ -145,11 +194,14 @@ class ViewStore:
             F.coalesce("committed_at", F.current_timestamp()).alias("committed_at"),
             F.lit(feed).alias("feed"),
         )
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/notices/batch_id={batch_id}")
+        rows.coalesce(1).write.mode("overwrite").parquet(self._notice_folder(batch_id))
+
+    def _notice_folder(self, batch_id: int) -> str:
+        return f"{self.root}/notices/batch_group={batch_id // GROUP}/batch_id={batch_id}"
 
     def _feed_of(self, batch_id: int) -> str | None:
         """Feed of a committed batch, None while it is not committed. Reads that notice only."""
-        notice = _read(self.spark, NOTICE, f"{self.root}/notices/batch_id={batch_id}")
+        notice = _read(self.spark, NOTICE, self._notice_folder(batch_id))
         row = None if notice is None else notice.select("feed").head()
         return None if row is None else row["feed"]
 
@@ -159,11 +211,13 @@ class ViewStore:
         Groups without rows are left out. The rows are range-partitioned by all keys, so a
         busy day is spread over files and date ranges skip the others.
         """
-        batches = self.committed_batches(self.compacted_upto())
+        before = self.compacted_upto()
+        batches = self.committed_batches(before)
         if not batches:
-            return self.compacted_upto()
+            return before
         upto = batches[-1]
-        summed = merge(self.deltas(), "view", *ALL_KEYS, latest="committed_at")
+        fresh = self.freshness().filter(F.col("last_batch") <= upto)
+        summed = merge(self._deltas(), "view", *ALL_KEYS, latest="committed_at")
         order = ("view", *ALL_KEYS)
         (
             summed.repartitionByRange(*order)
@@ -172,7 +226,7 @@ class ViewStore:
             .partitionBy("view")
             .parquet(f"{self.root}/base/upto={upto}")
         )
-        mark = self.spark.range(1).select(F.col("id").alias("done"))
+        mark = fresh.select("view", "last_updated", "last_batch")
         mark.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/compactions/upto={upto}")
         return upto
 

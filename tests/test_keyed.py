@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from retally.fixtures import seed_events
 from retally.operators import changelog, keyed
 from retally.plans import views
 from retally.schemas import CHANGE
@@ -45,6 +46,14 @@ def test_insert_ignore_keeps_stored_rows(seed, events, values):
     assert values(keyed.insert_ignore(out, new)) == values(out)
 
 
+def test_sample_events_are_added_once(spark, seed, values):
+    samples = seed_events(spark)
+    table = keyed.insert_ignore(samples.limit(0), samples)
+    assert values(keyed.insert_ignore(table, samples)) == values(samples)
+    assert values(samples, *seed.columns) == values(seed)
+    assert values(samples, "action_geo_lat")[0] == (-34.0,)
+
+
 def test_upsert_changes_only_named_columns(seed, events, values):
     rows = events(
         (1, 20200101, "X", "Y", "1", 8, 8, 8, 8.0),

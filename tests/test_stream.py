@@ -208,3 +208,57 @@ def test_text_files_feed_the_views(spark, folder, values):
     arrive("b.txt", "USA")
     run()
     assert shown(store, "actor", values)[1] == (20200101, "USA", 2, 8, 1.5)
+
+
+def test_messages_decode_to_change_records(spark, seed, values):
+    event = (
+        '{"globaleventid":7,"event_date":20200101,"source_actor":"A","target_actor":"B",'
+        '"cameo_code":"043","num_events":1,"num_articles":2,"quad_class":1,"goldstein":1.5}'
+    )
+    later = event.replace("1.5", "-2.5")
+    rows = [
+        (f'{{"seq":1,"op":"c","before":null,"after":{event}}}',),
+        (f'{{"seq":2,"op":"update","before":{event},"after":{later}}}',),
+    ]
+    messages = spark.createDataFrame(rows, "value string").select(F.col("value").cast("binary"))
+    changes = feeds.decode(messages)
+    assert values(changes, "seq", "op") == [(1, "insert"), (2, "update")]
+    assert values(views.from_signed(views.signed(changes), views.QUAD)) == [(20200101, 1, 1, 2, -2.5)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        feeds.decode(spark.createDataFrame([("{oops",)], "value string")).collect()
+
+
+def test_batches_must_follow_each_other(seed, spark, folder):
+    store = ViewStore(spark, folder)
+    records = changelog.snapshot_records(seed)
+    with pytest.raises(ValueError, match="follows a batch that is not in"):
+        store.apply(records, 1)
+    store.apply(records, 0)
+    with pytest.raises(ValueError, match="follows a batch that is not in"):
+        store.apply(records, 2)
+
+
+def test_many_notice_folders(seed, spark, folder, values, monkeypatch):
+    monkeypatch.setattr("retally.streaming.store.GROUP", 2)
+    store = ViewStore(spark, folder)
+    rows = [seed.filter(F.col("globaleventid") == i + 1) for i in range(4)]
+    for number in range(3):
+        store.apply(changelog.insert_records(rows[number]), number)
+    assert store.committed_batches() == [0, 1, 2] and store.committed_batches(1) == [2]
+    fresh = values(store.freshness(1))
+    assert store.compact() == 2
+    assert values(store.freshness(1)) == fresh
+    store.apply(changelog.insert_records(rows[3]), 3)
+    assert store.committed_batches(2) == [3]
+    assert values(store.freshness(2), "last_batch", "updated") == [(3, True)] * 4
+    assert values(store.view("quad").drop("last_updated")) == values(views.full(seed, views.QUAD))
+
+
+def test_compacted_view_is_read_without_a_shuffle(seed, spark, folder, values):
+    store = ViewStore(spark, folder)
+    store.apply(changelog.snapshot_records(seed), 0)
+    before = values(store.view("dyad"))
+    assert "Exchange" in store.view("dyad")._jdf.queryExecution().executedPlan().toString()
+    store.compact()
+    assert "Exchange" not in store.view("dyad")._jdf.queryExecution().executedPlan().toString()
+    assert values(store.view("dyad")) == before

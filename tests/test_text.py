@@ -190,6 +190,12 @@ def test_ids_follow_the_stored_ones(spark, seed, file, values):
     assert text.max_id(seed.limit(0)) == 0
 
 
+def test_ids_with_gaps_are_unique_and_above(spark, file, values):
+    path = file(full(), full(), full())
+    ids = [r[0] for r in values(text.read_events(spark, path, after_id=9, gapless_ids=False), "globaleventid")]
+    assert len(set(ids)) == 3 and min(ids) == 10
+
+
 def test_written_lines_read_back(spark, file, values, folder):
     path = file(full(), full(source="CHN", score="", geo=("",) * 9))
     loaded = text.read_events(spark, path)
