@@ -138,8 +138,9 @@ def from_deltas(deltas: DataFrame, spec: ViewSpec, latest: str | None = None) ->
 
 
 def from_merged(merged: DataFrame, spec: ViewSpec, latest: str | None = None) -> DataFrame:
-    """A view from deltas that are merged already, one row per group: no shuffle."""
-    return _named_latest(merged.filter(F.col("view") == spec.name), spec, latest)
+    """A view from deltas with one row per group already: no shuffle."""
+    own = merged.filter((F.col("view") == spec.name) & (F.col("d_rows") != 0))
+    return _named_latest(own, spec, latest)
 
 
 def group_counts(deltas: DataFrame) -> DataFrame:

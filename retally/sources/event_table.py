@@ -19,7 +19,8 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """
     if mode not in ("append", "overwrite"):
         raise ValueError("mode must be 'append' or 'overwrite'")
-    by_month = events.withColumn("event_month", (F.col("event_date") / 100).cast("int"))
+    typed = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT])
+    by_month = typed.withColumn("event_month", (F.col("event_date") / 100).cast("int"))
     (
         by_month.repartitionByRange("event_date", KEY)
         .sortWithinPartitions("event_month", "event_date")

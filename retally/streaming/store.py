@@ -94,23 +94,25 @@ class ViewStore:
 
     # --- reading --------------------------------------------------------------------------
 
-    def _sources(self) -> tuple[DataFrame | None, DataFrame | None]:
-        """The newest base and the deltas of the batches after it, None where there is none."""
+    def _sources(self) -> tuple[DataFrame | None, DataFrame | None, int]:
+        """The newest base, the deltas of the batches after it (None where there is none),
+        and the number of these batches."""
         upto = self.compacted_upto()
         batches = self.committed_batches(upto)
-        base = log = None
-        if upto >= 0:
-            base = self.spark.read.schema(DELTA).parquet(f"{self.root}/base/upto={upto}")
-        if batches:
-            folder = f"{self.root}/log"
-            paths = [f"{folder}/batch_id={n}" for n in batches]
-            reader = self.spark.read.schema(DELTA).option("basePath", folder)
-            log = reader.parquet(*paths).select(*DELTA.fieldNames())
-        return base, log
-
-    def _deltas(self) -> DataFrame:
-        found = [df for df in self._sources() if df is not None]
-        return self._or_empty(reduce(DataFrame.unionByName, found) if found else None, DELTA)
+        return self._read_base(upto), self._read_log(batches), len(batches)
+
+    def _read_base(self, upto: int) -> DataFrame | None:
+        if upto < 0:
+            return None
+        return self.spark.read.schema(DELTA).parquet(f"{self.root}/base/upto={upto}")
+
+    def _read_log(self, batches: list[int]) -> DataFrame | None:
+        if not batches:
+            return None
+        folder = f"{self.root}/log"
+        reader = self.spark.read.schema(DELTA).option("basePath", folder)
+        read = reader.parquet(*[f"{folder}/batch_id={n}" for n in batches])
+        return read.select(*DELTA.fieldNames())
 
     def view(self, name: str) -> DataFrame:
         """A view as of now, with ``last_updated``; later batches are not seen.
@@ -122,33 +124,39 @@ class ViewStore:
     def views(self, *names: str) -> dict[str, DataFrame]:
         """The named views, or all four, as of the same batch.
 
-        Right after a compaction the base has one row per group and is read without a
-        shuffle; otherwise base and later deltas are added up.
+        A base or a batch by itself has one row per group and is read without a shuffle;
+        otherwise the base and the deltas of the later batches are added up.
         """
-        base, log = self._sources()
-        if log is None and base is not None:
-            build, deltas = from_merged, base
-        else:
-            build = from_deltas
-            deltas = self._or_empty(base.unionByName(log) if base is not None else log, DELTA)
+        base, log, batches = self._sources()
+        build = from_merged if batches + (base is not None) == 1 else from_deltas
+        deltas = self._added(base, log)
         return {n: build(deltas, VIEWS[n], latest="committed_at") for n in names or VIEWS}
 
+    def _added(self, base: DataFrame | None, log: DataFrame | None) -> DataFrame:
+        found = [df for df in (base, log) if df is not None]
+        return self._or_empty(reduce(DataFrame.unionByName, found) if found else None, DELTA)
+
     def freshness(self, since_batch: int = -1) -> DataFrame:
         """Per view: its last change, the batch that made it, and whether that is later than
         ``since_batch``. Also the way to notice new data in old dates."""
-        marks = self._marks().select("view", "last_updated", "last_batch")
-        upto = self.compacted_upto()
-        recent = self._notices_after(upto).filter(F.col("keys_changed") > 0)
+        latest = self._freshness_of(self.compacted_upto())
+        return latest.withColumn("updated", F.col("last_batch") > since_batch)
+
+    def _freshness_of(self, compacted: int, upto: int | None = None) -> DataFrame:
+        """Last change per view from the marks of compactions and the notices since."""
+        recent = self._notices_after(compacted).filter(F.col("keys_changed") > 0)
+        if upto is not None:
+            recent = recent.filter(F.col("batch_id") <= upto)
         changed = recent.select(
             "view",
             F.col("committed_at").alias("last_updated"),
             F.col("batch_id").alias("last_batch"),
         )
-        latest = marks.unionByName(changed).groupBy("view").agg(
+        marks = self._marks().select("view", "last_updated", "last_batch")
+        latest = marks.unionByName(changed).groupBy("view")
+        return latest.agg(
             F.max("last_updated").alias("last_updated"), F.max("last_batch").alias("last_batch")
         )
-        known = latest.filter(F.col("last_batch").isNotNull())
-        return known.withColumn("updated", F.col("last_batch") > since_batch)
 
     # --- writing --------------------------------------------------------------------------
 
@@ -177,7 +185,8 @@ class ViewStore:
             raise ValueError(f"batch {batch_id} follows a batch that is not in {self.root}")
         log = f"{self.root}/log/batch_id={batch_id}"
         stamped = delta(rows).withColumn("committed_at", F.current_timestamp())
-        ordered = stamped.sortWithinPartitions("view", "event_date")
+        typed = stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DELTA])
+        ordered = typed.sortWithinPartitions("view", "event_date")
         ordered.write.mode("overwrite").partitionBy("view").parquet(log)
         self._write_notice(log, batch_id, feed)
         return True
@@ -216,8 +225,9 @@ class ViewStore:
         if not batches:
             return before
         upto = batches[-1]
-        fresh = self.freshness().filter(F.col("last_batch") <= upto)
-        summed = merge(self._deltas(), "view", *ALL_KEYS, latest="committed_at")
+        base, log = self._read_base(before), self._read_log(batches)
+        fresh = self._freshness_of(before, upto)
+        summed = merge(self._added(base, log), "view", *ALL_KEYS, latest="committed_at")
         order = ("view", *ALL_KEYS)
         (
             summed.repartitionByRange(*order)

@@ -254,11 +254,30 @@ def test_many_notice_folders(seed, spark, folder, values, monkeypatch):
     assert values(store.view("quad").drop("last_updated")) == values(views.full(seed, views.QUAD))
 
 
-def test_compacted_view_is_read_without_a_shuffle(seed, spark, folder, values):
+def test_groups_merged_already_are_read_without_a_shuffle(seed, spark, folder, values):
+    def shuffles(name):
+        return "Exchange" in store.view(name)._jdf.queryExecution().executedPlan().toString()
+
     store = ViewStore(spark, folder)
-    store.apply(changelog.snapshot_records(seed), 0)
+    nothing = changelog.records(
+        seed.filter("globaleventid = 1").withColumn("event_date", F.lit(20260101)),
+        changelog.Change("insert", None, {}),
+        changelog.Change("delete", {}, None),
+    )
+    store.apply(changelog.snapshot_records(seed).unionByName(nothing), 0)
+    assert not shuffles("dyad")
+    assert values(store.view("dyad").drop("last_updated")) == values(views.full(seed, views.DYAD))
+    store.apply(changelog.delete_records(seed.filter("globaleventid = 1")), 1)
+    assert shuffles("dyad")
     before = values(store.view("dyad"))
-    assert "Exchange" in store.view("dyad")._jdf.queryExecution().executedPlan().toString()
     store.compact()
-    assert "Exchange" not in store.view("dyad")._jdf.queryExecution().executedPlan().toString()
+    assert not shuffles("dyad")
     assert values(store.view("dyad")) == before
+
+
+def test_marks_without_any_changed_group(seed, spark, folder):
+    store = ViewStore(spark, folder)
+    store.apply(changelog.snapshot_records(seed.limit(0)), 0)
+    assert store.freshness().count() == 0
+    assert store.compact() == 0
+    assert store.compacted_upto() == -1 or store.view("quad").count() == 0

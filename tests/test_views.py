@@ -94,3 +94,44 @@ def test_means_are_exact_in_any_order(spark):
 def test_large_sums_are_64_bit(events, values):
     df = events(*[(i, 20200101, "A", "B", "010", 2**31 - 1, 1, 1, 1.0) for i in range(3)])
     assert values(views.full(df, views.QUAD), "total_events") == [(3 * (2**31 - 1),)]
+
+
+def test_one_pair_with_a_third_of_all_rows(events, values):
+    """A hot group gives exact results; brute force over the same rows."""
+    rows = []
+    for i in range(900):
+        hot = i % 3 == 0
+        rows.append(
+            (
+                i,
+                20200101 if hot else 20200101 + i % 5,
+                "USA" if hot else f"A{i % 7}0",
+                "CHN" if hot else f"B{i % 11}0",
+                "010" if hot else f"{i % 13:03}",
+                1 + i % 3,
+                1 + i % 10,
+                1 if hot else 1 + i % 4,
+                None if i % 17 == 0 else (i % 201 - 100) / 10,
+            )
+        )
+    df = events(*rows)
+    columns = df.columns
+    deltas = views.delta(views.entering(df.repartition(6)))
+    for spec in views.VIEWS.values():
+        groups = {}
+        for row in rows:
+            row = dict(zip(columns, row))
+            groups.setdefault(tuple(row[k] for k in spec.keys), []).append(row)
+        expected = []
+        for key, members in groups.items():
+            tenths = [round(m["goldstein"] * 10) for m in members if m["goldstein"] is not None]
+            out = [*key, sum(m["num_events"] for m in members)]
+            if spec.has_articles:
+                out.append(sum(m["num_articles"] for m in members))
+            out.append(sum(tenths) / 10 / len(tenths) if tenths else None)
+            expected.append(tuple(out))
+        expected.sort(key=lambda r: tuple((v is None, str(v)) for v in r))
+        assert values(views.full(df, spec)) == expected
+        assert values(views.from_deltas(deltas, spec)) == expected
+    top = reports.raw_dyads(df, 20200101, 20200131, 1).collect()[0]
+    assert (top["source_actor"], top["target_actor"]) == ("USA", "CHN")
