@@ -7,25 +7,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .store import ViewStore
 
-#: Ten seconds between batches, the interval the reference numbers are stated for.
+#: Ten seconds between batches: changes are to be visible within five to ten seconds.
 DEFAULT_TRIGGER = {"processingTime": "10 seconds"}
 
 
 def maintain(
-    changes: DataFrame, root: str, checkpoint: str, trigger: dict | None = None
+    changes: DataFrame,
+    root: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Start keeping the views under ``root`` current from a stream of change records.
 
     There is no operator state: the checkpoint holds only the feed position, and each batch
     is one shuffle of its own changes. No watermark is used and nothing is dropped, so events
     of any age reach their groups. ``trigger={'availableNow': True}`` takes in what is there
-    and stops.
+    and stops. With ``compact_every`` the log is summed after every so many batches, before
+    the next batch starts; ``ViewStore.compact`` in a job of its own does not hold up the
+    stream.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         feed = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        ViewStore(spark, root).apply(batch, batch_id, feed)
+        store = ViewStore(spark, root)
+        store.apply(batch, batch_id, feed)
+        if compact_every is not None and (batch_id + 1) % compact_every == 0:
+            store.compact()
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DEFAULT_TRIGGER)).start()

@@ -79,18 +79,19 @@ class ViewStore:
     def _or_empty(self, df: DataFrame | None, schema: T.StructType) -> DataFrame:
         return self.spark.createDataFrame([], schema) if df is None else df
 
-    def _marks(self) -> DataFrame:
-        return self._or_empty(_read(self.spark, _MARK, f"{self.root}/compactions"), _MARK)
+    def _marks(self) -> DataFrame | None:
+        return _read(self.spark, _MARK, f"{self.root}/compactions")
 
     def compacted_upto(self) -> int:
         """Last batch contained in the newest base, -1 without one. Runs a small query."""
-        last = self._marks().agg(F.max("upto")).head()[0]
+        marks = self._marks()
+        last = None if marks is None else marks.agg(F.max("upto")).head()[0]
         return -1 if last is None else last
 
     def committed_batches(self, after: int = -1) -> list[int]:
         """Committed batches later than ``after``: as many as since the last compaction."""
-        later = self._notices_after(after).select("batch_id").distinct()
-        return sorted(row["batch_id"] for row in later.collect())
+        one_per_batch = self._notices_after(after).filter(F.col("view") == next(iter(VIEWS)))
+        return sorted(row["batch_id"] for row in one_per_batch.select("batch_id").collect())
 
     # --- reading --------------------------------------------------------------------------
 
@@ -152,7 +153,7 @@ class ViewStore:
             F.col("committed_at").alias("last_updated"),
             F.col("batch_id").alias("last_batch"),
         )
-        marks = self._marks().select("view", "last_updated", "last_batch")
+        marks = self._or_empty(self._marks(), _MARK).select("view", "last_updated", "last_batch")
         latest = marks.unionByName(changed).groupBy("view")
         return latest.agg(
             F.max("last_updated").alias("last_updated"), F.max("last_batch").alias("last_batch")

@@ -281,3 +281,13 @@ def test_marks_without_any_changed_group(seed, spark, folder):
     assert store.freshness().count() == 0
     assert store.compact() == 0
     assert store.compacted_upto() == -1 or store.view("quad").count() == 0
+
+
+def test_stream_compacts_as_it_goes(spark, seed, pipeline, values, folder):
+    for number in (1, 2, 3, 4):
+        pipeline.send(changelog.snapshot_records(seed.filter(f"globaleventid = {number}")).coalesce(1))
+        stream = feeds.stream_changes(spark, pipeline.feed)
+        maintain(stream, f"{folder}/views", f"{folder}/cp", NOW, compact_every=2).awaitTermination()
+    assert pipeline.store.compacted_upto() == 3
+    assert pipeline.store.committed_batches() == [0, 1, 2, 3]
+    assert shown(pipeline.store, "actor", values) == values(views.full(seed, views.ACTOR))
