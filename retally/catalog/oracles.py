@@ -371,6 +371,12 @@ def oracles() -> dict[str, str]:
     UNION ALL BY NAME
     SELECT i.* FROM incoming AS i ANTI JOIN ev ON i.globaleventid = ev.globaleventid
     """
+    sql["duplicate_keys"] = f"""
+    WITH ev AS ({EVENT_LOG}), incoming AS ({INCOMING})
+    SELECT globaleventid, count(*) AS n_rows
+    FROM (SELECT globaleventid FROM ev UNION ALL SELECT globaleventid FROM incoming) AS u
+    GROUP BY globaleventid HAVING count(*) > 1
+    """
     sql["expr_update"] = _changed(
         {
             "goldstein": "CASE WHEN cameo_code = '112' THEN coalesce(goldstein, 0.0) + 1.0"

@@ -231,6 +231,13 @@ def upsert_by_key(spark, folder):
     return keyed.upsert(events, _incoming(events), ["goldstein", "num_events"])
 
 
+@_register("duplicate_keys")
+def duplicate_keys(spark, folder):
+    """Keys that a plain append of the incoming rows would store twice."""
+    events = keyed_events(spark, folder)
+    return keyed.duplicate_keys(events.unionByName(_incoming(events)))
+
+
 @_register("expr_update")
 def expr_update(spark, folder):
     events = keyed_events(spark, folder)

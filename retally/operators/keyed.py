@@ -97,6 +97,13 @@ def upsert(base: DataFrame, rows: DataFrame, columns: list[str], key: str = KEY)
     return joined.select(*out)
 
 
+def duplicate_keys(rows: DataFrame, key: str = KEY) -> DataFrame:
+    """Keys that occur more than once, and how often. Spark does not enforce keys; the
+    operators here rely on them."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.filter(F.col("n_rows") > 1)
+
+
 def id_range(base: DataFrame, key: str = KEY) -> tuple[int, int]:
     """Smallest and largest key, (0, 0) for an empty table. Runs a query."""
     row = base.agg(

@@ -135,9 +135,7 @@ def bottom_up(top: DataFrame, n: int, name: str) -> DataFrame:
     return _top(top, n, name).orderBy("total_events", F.desc(name))
 
 
-def heatmap_cells(
-    dyads: DataFrame, endpoints: int = HEATMAP_ENDPOINTS
-) -> DataFrame:
+def heatmap_cells(dyads: DataFrame, endpoints: int = HEATMAP_ENDPOINTS) -> DataFrame:
     """Pairs of a top-pairs list whose two ends are both among its most frequent actors.
 
     Actors are ranked by the number of list rows they appear in. The list is short (it is a
@@ -189,6 +187,24 @@ def rollup_cameo(cameo_view: DataFrame, start: int, end: int, n: int = TOP_RAW)
     return top_cameo(cameo_view, start, end, n).withColumnRenamed("mean_goldstein", "avg_goldstein")
 
 
+def dashboard(
+    views: dict[str, DataFrame], start: int, end: int, n: int = TOP_N
+) -> dict[str, DataFrame]:
+    """All reports of one page by name, from the four views (``ViewStore.views`` gives them as
+    of the same batch)."""
+    dyads = top_dyads(views["dyad"], start, end, n)
+    return {
+        "kpis": kpis(views["quad"], start, end),
+        "trend": trend(views["quad"], start, end),
+        "actors": top_actors(views["actor"], start, end),
+        "dyads": dyads,
+        "cameo": top_cameo(views["cameo"], start, end, n),
+        "quad_dist": quad_dist(views["quad"], start, end),
+        "quad_time": quad_time(views["quad"], start, end),
+        "heatmap": heatmap_cells(dyads),
+    }
+
+
 # --- over the events ---------------------------------------------------------------------
 
 

@@ -20,10 +20,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..plans.views import ALL_KEYS, VIEWS, delta, from_deltas, from_merged, merge, signed
 from ..schemas import DELTA, NOTICE

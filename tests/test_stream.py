@@ -291,3 +291,20 @@ def test_stream_compacts_as_it_goes(spark, seed, pipeline, values, folder):
     assert pipeline.store.compacted_upto() == 3
     assert pipeline.store.committed_batches() == [0, 1, 2, 3]
     assert shown(pipeline.store, "actor", values) == values(views.full(seed, views.ACTOR))
+
+
+def test_dashboard_from_the_store(spark, seed, folder):
+    store = ViewStore(spark, folder)
+    store.apply(changelog.snapshot_records(seed), 0)
+    page = reports.dashboard(store.views(), 19790101, 19791231, n=10)
+    assert {name: df.count() for name, df in page.items()} == {
+        "kpis": 1,
+        "trend": 1,
+        "actors": 3,
+        "dyads": 3,
+        "cameo": 4,
+        "quad_dist": 3,
+        "quad_time": 3,
+        "heatmap": 3,
+    }
+    assert tuple(page["kpis"].head())[:2] == (6, 2)
