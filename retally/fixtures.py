@@ -71,7 +71,9 @@ def keyed_events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         event.alias(KEY),
         to_ymd(F.col("ts")).alias("event_date"),
-        F.when(user % F.lit(11) == 0, F.concat(actor, F.lit("GOV"))).otherwise(actor).alias("source_actor"),
+        F.when(user % F.lit(11) == 0, F.concat(actor, F.lit("GOV")))
+        .otherwise(actor)
+        .alias("source_actor"),
         F.concat(F.lit("A"), (F.lit(10) + event % F.lit(90)).cast("string")).alias("target_actor"),
         _switch(kind, CODES, "190").alias("cameo_code"),
         (F.lit(1) + event % F.lit(3)).cast("int").alias("num_events"),

@@ -13,13 +13,17 @@ _STORED = T.StructType([*EVENT.fields, T.StructField("event_month", T.IntegerTyp
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     """Write events; ``mode='overwrite'`` replaces the table, ``'append'`` adds to it.
+    Event columns that the rows lack are NULL.
 
     The rows are range-partitioned by date and id, so a very busy day is spread over several
     tasks instead of landing in one, and each task writes one or two months.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError("mode must be 'append' or 'overwrite'")
-    typed = events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENT])
+    given = {name: F.col(name) for name in events.columns}
+    typed = events.select(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT]
+    )
     by_month = typed.withColumn("event_month", (F.col("event_date") / 100).cast("int"))
     (
         by_month.repartitionByRange("event_date", KEY)

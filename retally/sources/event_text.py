@@ -28,6 +28,7 @@ _NAMES = [name for name, _, _ in LINE_FIELDS]
 # in a number is the exponent's.
 _LETTERS = "[a-df-zA-DF-Z]"
 
+
 def split_fields(value: Column) -> Column:
     """Fields of a line after removing NUL and carriage return characters."""
     return F.split(F.translate(value, "\r\0", ""), "\t", -1)
@@ -164,9 +165,9 @@ def read_events(
 ) -> DataFrame:
     """Events of a text file, or of the data lines ``offset .. offset + limit - 1``.
 
-    The layout is detected unless given; ids are given as by ``assign_ids``. ``on_bad='skip'`` leaves unusable rows out (see
-    ``rejected_lines`` for them); ``'fail'`` fails the job that reads them. Runs small queries
-    for the layout and the row numbers.
+    The layout is detected unless given; ids are given as by ``assign_ids``.
+    ``on_bad='skip'`` leaves unusable lines out (``rejected_lines`` shows them); ``'fail'``
+    fails the job that reads them. Runs small queries for the layout and the row numbers.
     """
     parsed = _parse_file(spark, path, offset, limit, layout)
     return assign_ids(events_of(parsed, on_bad), after_id, gapless_ids)

@@ -242,6 +242,6 @@ class ViewStore:
         return upto
 
     def register(self) -> None:
-        """Create temporary views under the table names, for SQL reports."""
+        """Create temporary views under the table names, for SQL reports, as of now."""
         for name, view in self.views().items():
             view.createOrReplaceTempView(VIEWS[name].table)

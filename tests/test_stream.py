@@ -166,6 +166,9 @@ def test_reader_keeps_its_state_while_batches_arrive(spark, seed, folder, values
     assert store.view("quad").count() == 0
     store.compact()
     assert old.count() == 3
+    assert store.view("quad").count() == 0
+    store.apply(changelog.insert_records(seed), 2)
+    assert values(store.view("quad").drop("last_updated")) == values(views.full(seed, views.QUAD))
 
 
 def test_sql_over_the_stored_views(spark, seed, folder, values):
