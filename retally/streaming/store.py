@@ -187,6 +187,11 @@ class ViewStore:
         log = f"{self.root}/log/batch_id={batch_id}"
         stamped = delta(rows).withColumn("committed_at", F.current_timestamp())
         typed = stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DELTA])
+        if self.spark.conf.get("spark.sql.adaptive.enabled") == "true":
+            # The small views would otherwise get a tiny file per shuffle partition. This brings
+            # each view together, and adaptive execution splits the large ones by size again;
+            # without it a whole view would land in one task.
+            typed = typed.hint("rebalance", "view")
         ordered = typed.sortWithinPartitions("view", "event_date")
         ordered.write.mode("overwrite").partitionBy("view").parquet(log)
         self._write_notice(log, batch_id, feed)

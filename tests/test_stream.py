@@ -311,3 +311,42 @@ def test_dashboard_from_the_store(spark, seed, folder):
         "heatmap": 3,
     }
     assert tuple(page["kpis"].head())[:2] == (6, 2)
+
+
+def test_views_are_written_without_tiny_files(spark, pipeline, folder, values):
+    """A small view gets one file; a large one is split by size, also when it is hot."""
+    pairs = spark.range(40_000).select(
+        F.col("id").alias("globaleventid"),
+        F.lit(20200101).alias("event_date"),
+        F.lit("USA").alias("source_actor"),
+        F.sha2(F.col("id").cast("string"), 256).alias("target_actor"),
+        F.lit("010").alias("cameo_code"),
+        F.lit(1).alias("num_events"),
+        F.lit(1).alias("num_articles"),
+        F.lit(1).alias("quad_class"),
+        F.lit(1.0).alias("goldstein"),
+    )
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        pipeline.send(changelog.snapshot_records(pairs))
+        pipeline.run()
+        ViewStore(spark, f"{folder}/views2").add(views.entering(pairs), 0)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+    def files(root, view):
+        place = f"{folder}/{root}/log/batch_id=0/view={view}"
+        return sum(name.endswith(".parquet") for name in os.listdir(place))
+
+    for root in ("views", "views2"):
+        assert files(root, "quad") == files(root, "actor") == files(root, "cameo") == 1
+        assert files(root, "dyad") > 1
+    assert pipeline.store.view("dyad").count() == 40_000
+    assert values(pipeline.store.view("quad"), "total_events", "avg_goldstein") == [(40_000, 1.0)]
