@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import byte_bpe, token_files
+from retally.llm import byte_bpe, quality, token_files
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -18,12 +18,17 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
 }
 ORACLES: dict[str, str] = {}
