@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -170,6 +171,32 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+#: Most runs that keys are cut into: their bounds are all that reaches the driver.
+MOST_RUNS = 4096
+
+
+def ordered_runs(df: DataFrame, key: str, runs: int, name: str = "run") -> DataFrame:
+    """``df`` with the number of the run its key is in: runs of consecutive keys with about
+    equal numbers of rows, nulls in run 0. Equal keys are in one run.
+
+    Bounds are quantiles of the key; a row finds its run in two steps of about the square root
+    of their number.
+    """
+    runs = min(runs, MOST_RUNS)
+    number = F.col(key).cast("double")
+    marks = df.select(number.alias("k")).approxQuantile("k", [i / runs for i in range(1, runs)], 0.2 / runs) if runs > 1 else []
+    marks = sorted(set(marks))
+    if not marks:
+        return df.withColumn(name, F.lit(0))
+    width = math.ceil(math.sqrt(len(marks)))
+    rows = [marks[i : i + width] for i in range(0, len(marks), width)]
+    listed = lambda values: "array(" + ", ".join(f"double('{v!r}')" for v in values) + ")"
+    row = F.size(F.filter(F.expr(listed([r[-1] for r in rows])), lambda m: m < number))
+    inside = F.get(F.expr("array(" + ", ".join(map(listed, rows)) + ")"), row)
+    run = row * width + F.coalesce(F.size(F.filter(inside, lambda m: m < number)), F.lit(0))
+    return df.withColumn(name, F.when(number.isNull(), 0).otherwise(run))
+
+
 def unsigned(column: F.Column) -> F.Column:
     """A 64-bit hash as 16 hexadecimal digits."""
     return F.lpad(F.hex(column), 16, "0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import byte_bpe, quality, token_files
+from retally.llm import byte_bpe, fingerprints, quality, token_files
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -26,9 +26,14 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
+    "op7_fingerprints": op7_fingerprints,
 }
 ORACLES: dict[str, str] = {}

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from retally.llm.common import text_pieces, written
+from retally.llm.common import ordered_runs, text_pieces, written
 from retally.session import shared_folder
 
 #: Ids in a sequence, and sequences in a record batch.
@@ -178,18 +178,6 @@ class _Writer:
         return self.run, self.path, self.n_sequences, self.n_tokens, self.n_documents
 
 
-def ordered_runs(docs: DataFrame, key: str, runs: int) -> DataFrame:
-    """``docs`` with a column ``run``: runs of consecutive keys of about equal numbers of rows,
-    nulls in run 0. Only quantiles of the key reach the driver."""
-    marks = docs.select(F.col(key).cast("double")).approxQuantile(key, [i / runs for i in range(1, runs)], 0.2 / runs) if runs > 1 else []
-    marks = sorted(set(marks))
-    if not marks:
-        return docs.withColumn("run", F.lit(0))
-    below = F.array(*[F.lit(m) for m in marks])
-    at = F.size(F.filter(below, lambda m: m < F.col(key).cast("double")))
-    return docs.withColumn("run", F.when(F.col(key).isNull(), 0).otherwise(at))
-
-
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, runs: int | None = None, sequence: int = SEQUENCE) -> DataFrame:
     """Writes the ids of ``docs`` (``doc_id``, ``text``) in ascending order of ``doc_id`` and
     returns the manifest: one row per file, in order of ``run``.
