@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import byte_bpe, fingerprints, quality, token_files
+from retally.llm import byte_bpe, chat, fingerprints, quality, token_files
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digests(table(spark, folder, "conversations"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -31,9 +35,12 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat": chat.ORACLE,
+}
