@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import byte_bpe, chat, fingerprints, quality, token_files
+from retally.llm import byte_bpe, chat, fingerprints, quality, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -34,13 +34,19 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.digests(table(spark, folder, "documents"))
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
+    "op8_warc": op8_warc,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
+    "op8_warc": warc.ORACLE,
 }

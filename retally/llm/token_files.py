@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from retally.llm.common import ordered_runs, text_pieces, written
+from retally.llm.common import file_system, ordered_runs, text_pieces, written
 from retally.session import shared_folder
 
 #: Ids in a sequence, and sequences in a record batch.
@@ -43,15 +43,6 @@ _OTHER_WORDS = re.compile("(?:[^\\s]|[\x1c-\x1f])+")
 MANIFEST = "run bigint, path string, n_sequences bigint, n_tokens bigint, n_documents bigint"
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder every executor reaches: a URI, or a plain path."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
 @lru_cache(maxsize=2)
 def _tokenizer(definition: str, ordinary: bool):
     """``ordinary``: the text of a special token is ordinary text."""
