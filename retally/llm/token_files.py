@@ -34,7 +34,7 @@ from retally.session import shared_folder
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 #: Words whose ids a worker keeps; when full, the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 LONGEST_CACHED = 100
 # Python splits at four control characters, which the tokenizer takes for words.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -55,25 +55,26 @@ def _tokenizer(definition: str, ordinary: bool):
 
 
 class WordEncoder:
-    """Ids of texts from a tokenizer that splits at white space and never looks across it: words
-    are encoded by the library once and then taken from a cache, as bytes of their ids.
+    """Ids of texts from a tokenizer that lowers case, splits at white space and never looks
+    across it: words are encoded by the library and kept in a cache, as bytes of their ids.
 
-    New words go to the library many at a time, with a special token between them; words that
-    hold that token's text go one by one.
+    A word is known without the library if it is known without its last comma or full stop.
+    The other new words go to the library many at a time, with a special token between them;
+    words that may hold that token's text go one by one.
     """
 
     def __init__(self, definition: str, between: str = "<|endoftext|>"):
-        self.tokenizer = _tokenizer(definition, True)
+        self.definition = definition
         self.marked = _tokenizer(definition, False)
-        self.between, self.mark = between, self.tokenizer.token_to_id(between)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.between, self.mark = between, self.marked.token_to_id(between)
+        self.kind = np.dtype("<u2" if self.marked.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-            self.cache[word] = np.array(found.ids, self.kind).tobytes()
-        plain = [w for w in words if "<|" not in w]
+    def _learn(self, words: set[str]) -> None:
+        # A stop behind a letter is a token of its own.
+        stems = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha()}
+        whole = {w for w in words if w not in stems} | {s for s in stems.values() if s not in self.cache} | set(".,")
+        plain = [w for w in whole if "<|" not in w and w not in self.cache]
         for at in range(0, len(plain), 1000):
             part = plain[at : at + 1000]
             (found,) = self.marked.encode_batch_fast([self.between.join(part)], add_special_tokens=False)
@@ -83,17 +84,24 @@ class WordEncoder:
             firsts = [0, *((cuts + 1) * size).tolist()]
             for word, a, b in zip(part, firsts, [*(cuts * size).tolist(), len(data)], strict=True):
                 self.cache[word] = data[a:b]
+        if odd := [w for w in whole if "<|" in w]:
+            ordinary = _tokenizer(self.definition, True)
+            for word, found in zip(odd, ordinary.encode_batch_fast(odd, add_special_tokens=False)):
+                self.cache[word] = np.array(found.ids, self.kind).tobytes()
+        cache = self.cache
+        for word, stem in stems.items():
+            cache[word] = cache[stem] + cache[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian integers of ``kind``."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         get = self.cache.get
-        words = [_OTHER_WORDS.findall(text) if _CONTROLS.search(text) else text.split() for text in texts]
+        words = [_words(text) for text in texts]
         found = [list(map(get, line)) for line in words]
         new = {w for line, ids in zip(words, found) if None in ids for w, x in zip(line, ids) if x is None}
         if new:
-            self._learn(list(new))
+            self._learn(new)
             found = [list(map(get, line)) if None in ids else ids for line, ids in zip(words, found)]
         out = [b"".join(ids) for ids in found]
         for word in new:
@@ -102,6 +110,18 @@ class WordEncoder:
         return out
 
 
+def _words(text: str) -> list[str]:
+    if text.isascii():  # the tokenizer lowers case; so fewer words are new
+        text = text.lower()
+    return _OTHER_WORDS.findall(text) if _CONTROLS.search(text) else text.split()
+
+
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> WordEncoder:
+    """One encoder in each worker, whatever the number of its tasks."""
+    return WordEncoder(definition)
+
+
 class _Writer:
     """Writes the stream of one file; keeps less than a record batch in memory."""
 
@@ -183,7 +203,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, runs: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, made = WordEncoder(definition.value), None, []
+        encoder, out, made = _encoder(definition.value), None, []
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for start, texts in text_pieces(batch.column(1)):
@@ -204,7 +224,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, runs: i
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], names=["run", "path", "n_sequences", "n_tokens", "n_documents"])
 
-    numbered = ordered_runs(docs.select("doc_id", "text"), "doc_id", runs or 2 * parts)
+    numbered = ordered_runs(docs.select("doc_id", "text"), "doc_id", runs or 4 * parts)
     dealt = numbered.repartition(parts, "run").sortWithinPartitions("run", "doc_id", "text")
     return written(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
