@@ -28,11 +28,12 @@ LIST = 200
 MOST_LISTS = 4096
 BLOCK = 4000
 #: A vector is in every list (at most REPLICAS) whose centre is within this ratio of its nearest.
-REPLICAS, REPLICA_RATIO = 4, 1.12
-#: A query looks into the lists (at most PROBES) whose centre is within this ratio of its nearest.
-PROBES, PROBE_RATIO = 96, 1.6
-#: Neighbours of a centre in the graph, and length of the search's queue.
-DEGREE, QUEUE = 24, 128
+REPLICAS, REPLICA_RATIO = 2, 1.02
+#: A query looks into the lists whose centre is within this ratio of its nearest, and into the
+#: nearest few whatever the ratio.
+PROBE_RATIO, LEAST_PROBES = 1.2, 8
+#: Neighbours of a centre in the graph, and nearest centres that are expanded at any distance.
+DEGREE, LEAST_QUEUE = 24, 16
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,21 +46,23 @@ def fit_centres(sample: np.ndarray, n: int, rounds: int = 12, seed: int = 1) ->
     order = np.random.default_rng(seed)
     n = min(n, len(sample))
     centres = sample[order.choice(len(sample), n, replace=False)].astype(np.float64)
-    sizes = np.zeros(n)
+    sizes, fair = np.full(n, len(sample) / n), len(sample) / n
     for k in range(rounds):
         near = np.empty(len(sample), np.int64)
-        fair = len(sample) / n
         for at in range(0, len(sample), 4096):
             far = squared(sample[at : at + 4096], centres)
-            scale = far.min(1).mean()
-            near[at : at + 4096] = (far + 0.3 * scale * np.minimum(sizes / fair, 4) * (k > 0)).argmin(1)
+            near[at : at + 4096] = (far + 0.1 * far.min(1).mean() * np.minimum(sizes / fair, 4)).argmin(1)
         sizes = np.bincount(near, minlength=n).astype(float)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
-        filled = sizes > 0
-        centres[filled] = sums[filled] / sizes[filled, None]
-        if (~filled).any():
-            centres[~filled] = sample[order.choice(len(sample), int((~filled).sum()))]
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+        if k < rounds - 2:  # centres of very few vectors go halfway to vectors of full lists
+            poor = np.flatnonzero(sizes < fair / 4)
+            rich = np.flatnonzero(sizes[near] > 1.5 * fair)
+            if len(poor) and len(rich):
+                chosen = order.choice(rich, len(poor))
+                centres[poor] = (centres[near[chosen]] + sample[chosen]) / 2
+                sizes[poor] = fair
     return centres
 
 
@@ -81,41 +84,37 @@ class CentreGraph:
             if used[b] < degree:
                 back[b, used[b]] = a
                 used[b] += 1
-        self.links = np.concatenate([links, back, order.integers(0, n, (n, 4))], 1)
+        links = np.sort(np.concatenate([links, back, order.integers(0, n, (n, 4))], 1), 1)
+        again = np.zeros_like(links, bool)
+        again[:, 1:] = links[:, 1:] == links[:, :-1]
+        self.links = np.where(again | (links < 0), np.arange(n)[:, None], links)  # to itself: none
         self.starts = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
 
-    def search(self, queries: np.ndarray, most: int, queue: int = QUEUE) -> tuple[np.ndarray, np.ndarray]:
-        """Near centres of each query, nearest first, and their squared distances (inf: none).
-        All queries move at once: each step expands the nearest centre not yet expanded."""
+    def search(self, queries: np.ndarray, ratio: float, least: int = LEAST_QUEUE) -> np.ndarray:
+        """Squared distances of each query to the centres it came to (inf: to none).
+
+        All queries move at once: each step expands the nearest centre not yet expanded, until
+        that is neither among the first ``least`` nor within ``ratio`` of the nearest distance.
+        """
         n, m = len(self.centres), len(queries)
-        queue = min(max(queue, most), n)
-        ids = np.full((m, queue), -1)
-        far = np.full((m, queue), np.inf)
-        done = np.zeros((m, queue), bool)
-        seen = np.zeros((m, n), bool)
-        rows = np.arange(m)[:, None]
-        found = np.broadcast_to(self.starts, (m, len(self.starts)))
-        active = np.arange(m)
+        far = np.full((m, n), np.inf)
+        far[:, self.starts] = squared(queries, self.centres[self.starts])
+        waits = far.copy()
+        active, step = np.arange(m), 0
         while len(active):
-            at = rows[: len(active)] * 0 + active[:, None]
-            new = (found >= 0) & ~seen[at, found]
-            ordered = np.sort(np.where(new, found, -1), 1)
-            new = ordered >= 0
-            new[:, 1:] &= ordered[:, 1:] != ordered[:, :-1]
-            found = np.where(new, ordered, 0)
-            seen[at, found] |= new
-            gaps = ((self.centres[found] - queries[active][:, None, :]) ** 2).sum(2)
-            gaps[~new] = np.inf
-            every = np.concatenate([far[active], gaps], 1)
-            keep = np.argsort(every, 1, kind="stable")[:, :queue]
-            ids[active] = np.take_along_axis(np.concatenate([ids[active], found], 1), keep, 1)
-            done[active] = np.take_along_axis(np.concatenate([done[active], np.zeros_like(new)], 1), keep, 1)
-            far[active] = np.take_along_axis(every, keep, 1)
-            open_ = ~done[active] & np.isfinite(far[active])
-            active, first = active[open_.any(1)], open_.argmax(1)[open_.any(1)]
-            done[active, first] = True
-            found = self.links[ids[active, first]]
-        return ids[:, :most], far[:, :most]
+            near = waits[active].argmin(1)
+            gap = waits[active, near]
+            go = np.isfinite(gap) & ((step < least) | (gap <= far[active].min(1) * ratio**2))
+            active, near = active[go], near[go]
+            waits[active, near] = np.inf
+            nexts = self.links[near]
+            row, column = np.nonzero(np.isinf(far[active[:, None], nexts]))
+            row, centre = active[row], nexts[row, column]
+            gap = ((self.centres[centre] - queries[row]) ** 2).sum(1)
+            far[row, centre] = gap
+            waits[row, centre] = gap
+            step += 1
+        return far
 
 
 def lifted(vectors: np.ndarray, norm: float) -> np.ndarray:
@@ -143,9 +142,239 @@ def lists_of(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.n
 
 def probes_of(queries: np.ndarray, graph: CentreGraph) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists each query looks into."""
-    ids, far = graph.search(queries, min(PROBES, len(graph.centres)))
-    far = np.sqrt(far)
-    keep = np.isfinite(far) & (far <= far[:, :1] * PROBE_RATIO)
-    keep[:, 0] = True
-    rows, which = np.nonzero(keep)
-    return rows, ids[rows, which]
+    far = graph.search(queries, PROBE_RATIO)
+    nearest = np.sort(far, 1)[:, : LEAST_PROBES]
+    limit = np.maximum(nearest[:, 0] * PROBE_RATIO**2, nearest[:, -1])
+    return np.nonzero((far <= limit[:, None]) & np.isfinite(far))
+
+
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``id`` and ``vector`` of the rows that take part, each once.
+
+    Left out are null ids and vectors that are null, zero, hold null or non-finite components,
+    or are not as long as most (of two lengths equally frequent the smaller counts).
+    """
+    limit = F.lit(float("inf"))
+    kept = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).where(
+        F.col("id").isNotNull()
+        & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
+        & F.exists("vector", lambda x: x != 0)
+    )
+    usual = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if usual is None:
+        return kept
+    return kept.where(F.size("vector") == usual["n"]).groupBy("id", "vector").agg(F.lit(1).alias("one")).drop("one")
+
+
+def equal_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """One row per different vector with its k + 1 smallest ids: of equal vectors, which are
+    equally near to anything, no others can be among k results."""
+    first = rows.withColumn("rank", F.row_number().over(W.partitionBy("vector").orderBy("id"))).where(F.col("rank") <= k + 1)
+    return first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def fit_index(vectors: DataFrame, norm: float, n_lists: int, n_vectors: int) -> np.ndarray:
+    """Centres of the lists, fitted in one task to about SAMPLE vectors chosen by hash."""
+    share = min(1.0, SAMPLE / max(n_vectors, 1))
+    chance = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
+    sample = vectors.where(chance < share).select("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_matrix(batch.column(0)) for batch in batches if batch.num_rows]
+        if parts:
+            rows = np.concatenate(parts)
+            rows = rows[np.lexsort(rows.T[:3])]  # the order rows arrive in does not matter
+            centres = fit_centres(lifted(rows, norm), n_lists)
+            yield pa.RecordBatch.from_arrays([pa.array([centres.tobytes()], pa.binary())], names=["centres"])
+
+    found = sample.repartition(1).mapInArrow(run, "centres binary").collect()
+    if not found:  # chance left the sample of a tiny table empty
+        vector = np.array(vectors.select("vector").first()[0], float)[None]
+        return lifted(vector, norm)
+    width = len(vectors.select("vector").first()[0]) + 1
+    return np.frombuffer(bytes(found[0][0]), np.float64).reshape(-1, width)
+
+
+POSTINGS = "list int, ids array<bigint>, vector binary"
+
+
+def nearest(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int) -> DataFrame:
+    """The k nearest other rows found for each query: ``query_id``, ``rank``, ``id``, ``score``.
+
+    ``is_query`` is a condition on the column ``id``. Scores are inner products in double
+    precision; ties go to the smaller id. With fewer than k candidates all are given.
+    """
+    spark = df.sparkSession
+    rows = written(usable(df, key, vector), "ann-rows")
+    vectors = written(equal_vectors(rows, k), "ann-vectors")
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    n, norm = vectors.agg(F.count("*"), F.sqrt(F.max(square))).first()
+    empty = spark.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
+    if not n:
+        return empty
+    n_lists = max(1, min(MOST_LISTS, n // LIST))
+    centres = fit_index(vectors, norm, n_lists, n)
+    shared = spark.sparkContext.broadcast(centres)  # at most MOST_LISTS rows
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                matrix = _matrix(part.column(0))
+                row, where = lists_of(lifted(matrix, norm), shared.value)
+                data = [x.tobytes() for x in matrix]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where, pa.int32()), part.column(1).take(pa.array(row)), pa.array([data[i] for i in row], pa.binary())],
+                    names=["list", "ids", "vector"],
+                )
+
+    postings = written(vectors.select("vector", "ids").mapInArrow(post, POSTINGS), "ann-postings")
+    sizes = postings.groupBy("list").count().where(F.col("count") > BLOCK).collect()  # at most MOST_LISTS
+    blocks = np.ones(len(centres), int)
+    for r in sizes:
+        blocks[r["list"]] = -(-r["count"] // BLOCK)
+    dealt = spark.sparkContext.broadcast(blocks)
+
+    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where = batch.column(0).to_numpy()
+            first = pa.array([ids[0] for ids in batch.column(1).to_pylist()]).to_numpy()
+            block = (first // 7 + first) % dealt.value[where]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(block, pa.int32()), pa.array(np.zeros(len(where)), pa.int8()), pa.array(np.zeros(len(where)), pa.int64()), batch.column(1), batch.column(2)],
+                names=["list", "block", "kind", "query", "ids", "vector"],
+            )
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = CentreGraph(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                matrix = _matrix(part.column(1))
+                row, where = probes_of(aimed(matrix, norm), graph)
+                times = dealt.value[where]
+                row, where = np.repeat(row, times), np.repeat(where, times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                data = [x.tobytes() for x in matrix]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(where, pa.int32()),
+                        pa.array(block, pa.int32()),
+                        pa.array(np.ones(len(row)), pa.int8()),
+                        part.column(0).take(pa.array(row)),
+                        pa.nulls(len(row), pa.list_(pa.int64())),
+                        pa.array([data[i] for i in row], pa.binary()),
+                    ],
+                    names=["list", "block", "kind", "query", "ids", "vector"],
+                )
+
+    sides = "list int, block int, kind tinyint, query bigint, ids array<bigint>, vector binary"
+    # Queries with equal vectors are one; 64 bits of hash tell different vectors apart.
+    asked = rows.where(is_query).select("id", "vector", F.xxhash64("vector").alias("query"))
+    different = asked.groupBy("query", "vector").agg(F.count("*").alias("n")).select("query", "vector")
+    both = postings.mapInArrow(block_of, sides).unionByName(different.mapInArrow(probe, sides))
+    met = both.repartition("list", "block").sortWithinPartitions("list", "block", "kind")
+    found = met.mapInArrow(lambda b: _meet(b, k + 1), "query bigint, ids binary, scores binary")
+    best = found.repartition("query").sortWithinPartitions("query").mapInArrow(lambda b: _best(b, k + 1), "query bigint, near array<struct<id:bigint,score:double>>")
+    own = asked.select("id", "query").join(best, "query")
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+    return own.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "found")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("found.id").alias("id"), F.col("found.score").alias("score")
+    )
+
+
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Scores of queries with the vectors of their list block, which come before them: the k
+    best ids of each query. Holds one block."""
+    key, parts, held = None, [], None
+    for batch in batches:
+        where = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy()
+        kinds = batch.column(2).to_numpy()
+        cuts = np.flatnonzero((np.diff(where) != 0) | (np.diff(kinds) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)]):
+            if where[a] != key:
+                key, parts, held = where[a], [], None
+            part = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                parts.append(part)
+                continue
+            if held is None and parts:
+                ids = pa.concat_arrays([p.column(4) for p in parts])
+                held = (_vectors(pa.concat_arrays([p.column(5) for p in parts])), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()))
+                parts = []
+            if held is None:
+                continue  # no vector is in this block
+            matrix, ids, counts = held
+            of = np.repeat(np.arange(len(counts)), counts)
+            for at in range(0, b - a, 1024):
+                asked = part.slice(at, 1024)
+                queries = _vectors(asked.column(5))
+                rough = queries @ matrix.T
+                most = min(k, rough.shape[1])
+                top = np.argpartition(-rough, most - 1, 1)[:, :most]
+                limit = np.take_along_axis(rough, top, 1).min(1)
+                out_ids, out_scores = [], []
+                for q, row, least in zip(queries, rough, limit):
+                    chosen = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)))  # ties too
+                    score = np.zeros(len(matrix))
+                    score[chosen] = inner(matrix[chosen], q)
+                    mine = np.isin(of, chosen) if len(chosen) < len(counts) else np.ones(len(of), bool)
+                    names, values = ids[mine], score[of[mine]]
+                    order = np.lexsort((names, -values))[:k]
+                    out_ids.append(names[order].tobytes())
+                    out_scores.append(values[order].tobytes())
+                yield pa.RecordBatch.from_arrays([asked.column(3), pa.array(out_ids, pa.binary()), pa.array(out_scores, pa.binary())], names=["query", "ids", "scores"])
+
+
+def inner(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, each summed in the same order wherever it is done."""
+    return np.ascontiguousarray(matrix * query).sum(1)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    data = b"".join(column.to_pylist())
+    return np.frombuffer(data, np.float64).reshape(len(column), -1)
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of what was found for each query in all its lists; an id counts once."""
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64())]))
+    key, names, values = None, [], []
+
+    def close() -> tuple[int, list[dict]]:
+        ids, scores = np.frombuffer(b"".join(names), np.int64), np.frombuffer(b"".join(values), np.float64)
+        order = np.lexsort((ids, -scores))
+        pairs = dict(zip(zip(ids[order].tolist(), scores[order].tolist()), order))  # replicas are equal
+        return key, [{"id": i, "score": s} for i, s in list(pairs)[:k]]
+
+    for batch in batches:
+        out = []
+        for query, ids, scores in zip(*(c.to_pylist() for c in batch.columns)):
+            if query != key:
+                if names:
+                    out.append(close())
+                key, names, values = query, [], []
+            names.append(ids)
+            values.append(scores)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], kind)], names=["query", "near"])
+    if names:
+        query, near = close()
+        yield pa.RecordBatch.from_arrays([pa.array([query], pa.int64()), pa.array([near], kind)], names=["query", "near"])
+
+
+#: Of every how many ids one is a query, and results for each.
+EVERY, NEAREST = 20, 20
+
+
+def search_embeddings(embeddings: DataFrame) -> DataFrame:
+    """The nearest vectors of the rows whose id is divisible by EVERY, among all other rows."""
+    found = nearest(embeddings, "vec_id", "embedding", F.col("id") % EVERY == 0, NEAREST)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

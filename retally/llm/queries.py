@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import byte_bpe, chat, fingerprints, quality, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, quality, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -38,6 +38,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
+def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search_embeddings(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
+    "op9_ann": op9_ann,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
