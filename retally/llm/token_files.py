@@ -14,11 +14,14 @@ leaves a file that nothing names, not a wrong result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from retally.session import shared_folder
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 #: Words whose ids a worker keeps; when full, the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 LONGEST_CACHED = 100
 # Python splits at four control characters, which the tokenizer takes for words.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -44,51 +47,81 @@ MANIFEST = "run bigint, path string, n_sequences bigint, n_tokens bigint, n_docu
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(definition: str, ordinary: bool):
-    """``ordinary``: the text of a special token is ordinary text."""
+def _tokenizer(definition: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at a time
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_str(definition)
-    found.encode_special_tokens = ordinary
+    found.encode_special_tokens = True  # their strings in a text are ordinary text
     return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves,
+    the others for code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+# Letters whose lower case depends on what is around them, or is more than one letter.
+_ODD_CASE = re.compile("[\u03a3\u0130]")
+
+
+def _spelled(word: str) -> str | None:
+    """A word of letters only as its model takes it, without the steps before the model; None for
+    any other word."""
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word.lower()
+    lower = word.lower()
+    if _ODD_CASE.search(word) or not lower.isalpha() or not unicodedata.is_normalized("NFC", word):
+        return None
+    return lower.encode().decode("latin-1").translate(_LETTERS)
+
+
 class WordEncoder:
     """Ids of texts from a tokenizer that lowers case, splits at white space and never looks
     across it: words are encoded by the library and kept in a cache, as bytes of their ids.
 
-    A word is known without the library if it is known without its last comma or full stop.
-    The other new words go to the library many at a time, with a special token between them;
-    words that may hold that token's text go one by one.
+    Words of letters only are one piece each and go to the library's model at once, many at a
+    time; its last token of a word says so. A comma or full stop behind a letter is a token of
+    its own. All other new words go through the whole tokenizer.
     """
 
-    def __init__(self, definition: str, between: str = "<|endoftext|>"):
-        self.definition = definition
-        self.marked = _tokenizer(definition, False)
-        self.between, self.mark = between, self.marked.token_to_id(between)
-        self.kind = np.dtype("<u2" if self.marked.get_vocab_size() <= 1 << 16 else "<u4")
+    def __init__(self, definition: str):
+        self.tokenizer = _tokenizer(definition)
+        bare = json.loads(definition) | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        self.model = _tokenizer(json.dumps(bare))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = bare["model"].get("end_of_word_suffix")
+        self.kind = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix and not bare["model"].get("continuing_subword_prefix"):
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
-        # A stop behind a letter is a token of its own.
-        stems = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha()}
-        whole = {w for w in words if w not in stems} | {s for s in stems.values() if s not in self.cache} | set(".,")
-        plain = [w for w in whole if "<|" not in w and w not in self.cache]
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            (found,) = self.marked.encode_batch_fast([self.between.join(part)], add_special_tokens=False)
+        cache, size = self.cache, self.kind.itemsize
+        stems = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha() and w[-2] != "\u0130"}
+        whole = {w for w in words if w not in stems} | {s for s in stems.values() if s not in cache} | set(".,")
+        spelled = {w: s for w in whole if (s := _spelled(w)) is not None} if self.ends.any() else {}
+        names, letters = list(spelled), list(spelled.values())
+        for at in range(0, len(names), 2000):
+            part = names[at : at + 2000]
+            (found,) = self.model.encode_batch_fast([letters[at : at + 2000]], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
-            cuts = np.flatnonzero(ids == self.mark)
-            data, size = ids.tobytes(), self.kind.itemsize
-            firsts = [0, *((cuts + 1) * size).tolist()]
-            for word, a, b in zip(part, firsts, [*(cuts * size).tolist(), len(data)], strict=True):
-                self.cache[word] = data[a:b]
-        if odd := [w for w in whole if "<|" in w]:
-            ordinary = _tokenizer(self.definition, True)
-            for word, found in zip(odd, ordinary.encode_batch_fast(odd, add_special_tokens=False)):
-                self.cache[word] = np.array(found.ids, self.kind).tobytes()
-        cache = self.cache
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            data = ids.tobytes()
+            for word, a, b in zip(part, [0, *stops], stops, strict=False):
+                cache[word] = data[a:b]
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer does not mark the ends of words")
+        others = [w for w in whole if w not in spelled]
+        for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            cache[word] = np.array(found.ids, self.kind).tobytes()
         for word, stem in stems.items():
             cache[word] = cache[stem] + cache[word[-1]]
 
@@ -96,18 +129,20 @@ class WordEncoder:
         """The ids of each text, as bytes of little-endian integers of ``kind``."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        get = self.cache.get
-        words = [_words(text) for text in texts]
-        found = [list(map(get, line)) for line in words]
-        new = {w for line, ids in zip(words, found) if None in ids for w, x in zip(line, ids) if x is None}
-        if new:
+        lines = [_words(text) for text in texts]
+        words = list(chain.from_iterable(lines))
+        found = list(map(self.cache.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = {words[i] for i in missing}
             self._learn(new)
-            found = [list(map(get, line)) if None in ids else ids for line, ids in zip(words, found)]
-        out = [b"".join(ids) for ids in found]
-        for word in new:
-            if len(word) > LONGEST_CACHED:
-                del self.cache[word]
-        return out
+            for i in missing:
+                found[i] = self.cache[words[i]]
+            for word in new:
+                if len(word) > LONGEST_CACHED:
+                    del self.cache[word]
+        stops = np.cumsum([len(line) for line in lines]).tolist()
+        return [b"".join(found[a:b]) for a, b in zip([0, *stops], stops)]
 
 
 def _words(text: str) -> list[str]:
