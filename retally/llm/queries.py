@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, quality, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -42,6 +42,10 @@ def op9_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search_embeddings(table(spark, folder, "embeddings"))
 
 
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
@@ -50,8 +54,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_warc": op8_warc,
     "op9_ann": op9_ann,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
     "op2_chat": chat.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
