@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, suffix_dedup, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, folder, "documents"))
+
+
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(table(spark, folder, "conversations"))
 
@@ -47,6 +51,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_quality": op5_quality,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op2_chat": chat.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
