@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, quality, suffix_dedup, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, suffix_dedup, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -26,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op4_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.classes(table(spark, folder, "documents"))
+
+
 def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_near_dup": op4_near_dup,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_fingerprints": op7_fingerprints,
