@@ -131,16 +131,21 @@ class Prefix:
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that are no letter or digit; all bytes beyond ASCII belong to letters.
+_SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs without blanks) of all texts in order, and where each
-    text's words start (one more offset than texts)."""
+    text's words start (one more offset than texts). With ``plain``, words are runs of letters
+    and digits in lower case."""
+    if plain:
+        column = pc.utf8_lower(column)
     data, offsets = bytes_of(column)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_BLANK[data]
+    inside = ~(_SIGNS if plain else _BLANK)[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = inside.copy()

@@ -1,6 +1,7 @@
 """Near-duplicate documents: order MinHash for candidates, banded alignment for the decision.
 
-A text is the sequence of its runs of SHINGLE words. Similarity is that of the best alignment:
+A text is the sequence of its runs of SHINGLE words; a word is a run of letters and digits in
+lower case, so changes of case and punctuation alone do not count. Similarity is that of the best alignment:
 with m shingles of two texts of n1 and n2 aligned in order, m / (n1 + n2 - m). One minus it is
 a metric (the Steinhaus transform of the insert-and-delete distance).
 
@@ -85,7 +86,7 @@ def _buckets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, piece in text_pieces(batch.column(1)):
-                hashes, where = shingle_hashes(*word_hashes(piece), SHINGLE)
+                hashes, where = shingle_hashes(*word_hashes(piece, plain=True), SHINGLE)
                 has = np.flatnonzero(np.diff(where) > 0)
                 if not len(has):
                     continue
@@ -174,7 +175,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
         key, own = None, None
         for batch in batches:
             for start, piece in text_pieces(batch.column(4)):
-                hashes, where = shingle_hashes(*word_hashes(piece), SHINGLE)
+                hashes, where = shingle_hashes(*word_hashes(piece, plain=True), SHINGLE)
                 rest, out = batch.slice(start, len(piece)), []
                 for i, (leader, part, kind, digest) in enumerate(zip(*(rest.column(c).to_pylist() for c in range(4)))):
                     mine = hashes[where[i] : where[i + 1]]
