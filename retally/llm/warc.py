@@ -71,7 +71,9 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.sha2("payload", 256))
     several = rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.join(several.where("n > 1").select("key", "first"), "key", "left")
+    # As a table of known size: if few payloads repeat, Spark sends it to the pages, not these to it.
+    several = written(several.where("n > 1").select("key", "first"), "warc-repeated")
+    joined = rows.join(several, "key", "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("first")).alias("refers_to"))
 
