@@ -31,7 +31,7 @@ BLOCK = 4000
 REPLICAS, REPLICA_RATIO = 2, 1.02
 #: A query looks into the lists whose centre is within this ratio of its nearest, and into the
 #: nearest few whatever the ratio.
-PROBE_RATIO, LEAST_PROBES = 1.2, 8
+PROBE_RATIO, LEAST_PROBES = 1.18, 8
 #: Neighbours of a centre in the graph, and nearest centres that are expanded at any distance.
 DEGREE, LEAST_QUEUE = 24, 16
 
@@ -307,35 +307,40 @@ def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
                 continue
             if held is None and parts:
                 ids = pa.concat_arrays([p.column(4) for p in parts])
-                held = (_vectors(pa.concat_arrays([p.column(5) for p in parts])), ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()))
+                of = np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy()))
+                held = (_vectors(pa.concat_arrays([p.column(5) for p in parts]))[of], ids.flatten().to_numpy())
                 parts = []
             if held is None:
                 continue  # no vector is in this block
-            matrix, ids, counts = held
-            of = np.repeat(np.arange(len(counts)), counts)
-            for at in range(0, b - a, 1024):
-                asked = part.slice(at, 1024)
-                queries = _vectors(asked.column(5))
-                rough = queries @ matrix.T
-                most = min(k, rough.shape[1])
-                top = np.argpartition(-rough, most - 1, 1)[:, :most]
-                limit = np.take_along_axis(rough, top, 1).min(1)
-                out_ids, out_scores = [], []
-                for q, row, least in zip(queries, rough, limit):
-                    chosen = np.flatnonzero(row >= least - 1e-9 * (1 + abs(least)))  # ties too
-                    score = np.zeros(len(matrix))
-                    score[chosen] = inner(matrix[chosen], q)
-                    mine = np.isin(of, chosen) if len(chosen) < len(counts) else np.ones(len(of), bool)
-                    names, values = ids[mine], score[of[mine]]
-                    order = np.lexsort((names, -values))[:k]
-                    out_ids.append(names[order].tobytes())
-                    out_scores.append(values[order].tobytes())
-                yield pa.RecordBatch.from_arrays([asked.column(3), pa.array(out_ids, pa.binary()), pa.array(out_scores, pa.binary())], names=["query", "ids", "scores"])
+            matrix, ids = held
+            for at in range(0, b - a, 512):
+                asked = part.slice(at, 512)
+                names, scores = _best_of(_vectors(asked.column(5)), matrix, ids, k)
+                columns = [pa.array([x.tobytes() for x in y], pa.binary()) for y in (names, scores)]
+                yield pa.RecordBatch.from_arrays([asked.column(3), *columns], names=["query", "ids", "scores"])
+
+
+def _best_of(queries: np.ndarray, matrix: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids of each query and their scores, best first, ties by id."""
+    rough = queries @ matrix.T
+    n = len(ids)
+    some = min(k + 8, n)
+    top = np.argpartition(-rough, some - 1, 1)[:, :some]
+    if some < n:
+        # Scores of a product may differ in their last bits from those of a row's own sum.
+        limit = np.partition(np.take_along_axis(rough, top, 1), some - k, 1)[:, some - k]
+        crowded = (rough >= (limit - 1e-9 * (1 + np.abs(limit)))[:, None]).sum(1)
+        some = min(n, max(some, int(crowded.max(initial=0))))
+        top = np.argpartition(-rough, some - 1, 1)[:, :some]
+    top = np.take_along_axis(top, np.argsort(ids[top], 1, kind="stable"), 1)
+    scores = inner(matrix[top], queries[:, None, :])
+    order = np.argsort(-scores, 1, kind="stable")[:, :k]
+    return np.take_along_axis(ids[top], order, 1), np.take_along_axis(scores, order, 1)
 
 
 def inner(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, each summed in the same order wherever it is done."""
-    return np.ascontiguousarray(matrix * query).sum(1)
+    return np.ascontiguousarray(matrix * query).sum(-1)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
