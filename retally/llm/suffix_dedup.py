@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from retally.llm.common import Prefix, bytes_of, mix, text_pieces, written
+from retally.llm.common import Prefix, bytes_of, free_name, mix, text_pieces, written
 
 LENGTH = 200
 GRAM = 80
@@ -78,8 +79,11 @@ _TAG_BITS, _LOW_BITS = 18, 31
 
 def _identified(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tag`` (tells texts of one id apart) and ``text`` of all documents."""
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << _TAG_BITS)).cast("long")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", tag.alias("tag"), "text")
+    return docs.select("doc_id", _tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _tag(text: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << _TAG_BITS)).cast("long")
 
 
 def _pack(tag: np.ndarray, low: np.ndarray, off: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -399,40 +403,63 @@ def repeated_spans(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
     return spans.unionByName(_sorted_strings(contexts))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Per document of ``docs`` (``doc_id``, ``text``; null text: empty): ``doc_id``, ``text``,
-    ``spans`` (start and stop in bytes of maximal removed runs), ``kept`` (the other bytes).
+def dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """``docs`` (``doc_id``, ``text`` and any others; null text: empty) with ``spans`` (start and stop
+    in bytes of maximal removed runs) and ``kept`` (the other bytes).
 
     Removed is each byte covered by a string of LENGTH bytes that also starts anywhere else, in
     the same document or another one. Matches never cross documents. Repeated rows are
-    documents of their own, so their texts repeat; texts shorter than LENGTH stay whole.
+    documents of their own, so their texts repeat; texts shorter than LENGTH stay whole. With
+    ``whole_characters`` a run gives back characters of which it would take only a part. The
+    new columns get underscores in front where ``docs`` has columns of these names.
     """
-    own = _identified(docs)
-    spans = repeated_spans(own).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    mine = spans.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "spans")
-    joined = own.join(mine, own["doc_id"].eqNullSafe(mine["_doc"]) & (own["tag"] == mine["_tag"]), "left").select("doc_id", "text", "spans")
+    names = [free_name(docs, n) for n in ("spans", "kept")]
+    marked = repeated_spans(_identified(docs)).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    mine = marked.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    same = docs["doc_id"].eqNullSafe(mine["__doc"]) & (_tag(docs["text"]) == mine["__tag"])
+    joined = docs.join(mine, same, "left").select(*[docs[c] for c in docs.columns], "__spans")
+    at_text, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
-            for at, piece in text_pieces(batch.column(1)):
+            for at, piece in text_pieces(batch.column(at_text)):
                 data, offsets = bytes_of(piece)
                 raw = data.tobytes()
-                lists = batch.column(2).slice(at, len(piece))
+                rest = batch.slice(at, len(piece))
+                lists = rest.column(rest.num_columns - 1)
                 runs, kept = [], []
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                    if not lists[i].is_valid:
-                        runs.append([])
-                        kept.append(raw[a:b])
-                        continue
-                    flat = lists[i].values
-                    merged = merge_spans(flat.field(0).to_numpy(), flat.field(1).to_numpy())
+                    merged = []
+                    if lists[i].is_valid:
+                        flat = lists[i].values
+                        merged = merge_spans(flat.field(0).to_numpy(), flat.field(1).to_numpy())
+                        if whole_characters:
+                            merged = _between_characters(data[a:b], merged)
                     runs.append([{"start": s, "stop": t} for s, t in merged])
                     edges = [0, *(x for pair in merged for x in pair), b - a]
                     kept.append(b"".join(raw[a + s : a + t] for s, t in zip(edges[::2], edges[1::2])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), piece, pa.array(runs, kind), pa.array(kept, pa.binary())], names=["doc_id", "text", "spans", "kept"])
-
-    return joined.mapInArrow(run, "doc_id bigint, text string, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+                columns = [*rest.columns[:-1], pa.array(runs, kind), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*docs_columns, *names])
+
+    docs_columns = docs.columns
+    spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+    added = [T.StructField(names[0], spans_type), T.StructField(names[1], T.BinaryType())]
+    return joined.mapInArrow(run, T.StructType([*schema.fields, *added]))
+
+
+def _between_characters(data: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that begin and end between characters of UTF-8 text."""
+    inside = (data & 0xC0) == 0x80
+    out = []
+    for start, stop in spans:
+        while start < stop and inside[start]:
+            start += 1
+        while start < stop and stop < len(data) and inside[stop]:
+            stop -= 1
+        if start < stop:
+            out.append((start, stop))
+    return out
 
 
 def merge_spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -446,8 +473,8 @@ def merge_spans(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: bytes, bytes removed, removed runs, digest of the rest."""
-    n_bytes = F.octet_length("text").cast("long")
-    return dedup(docs).select(
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return dedup(docs.select("doc_id", "text")).select(
         "doc_id",
         n_bytes.alias("n_bytes"),
         (n_bytes - F.octet_length("kept")).alias("n_removed"),
