@@ -213,11 +213,11 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("similarity") >= SIMILAR).select(F.col("leader").alias("a"), F.col("digest").alias("b"))
 
 
-def _border_pairs(verified: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs to compare next: a text that was not like a leader, but near, with a duplicate of
+def _border_pairs(verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs to compare next: a text that was not like a leader, but near, with duplicates of
     that leader as far from it as can still be like the text. For each text and component the
-    duplicate with the most links; the others follow in later rounds while the text stays
-    outside their component."""
+    ``most`` duplicates with the most links; the others follow in later rounds while the text
+    stays outside their component."""
     label = labels.select(F.col("node").alias("digest"), "label")
     border = verified.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
     both = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
@@ -234,8 +234,9 @@ def _border_pairs(verified: DataFrame, labels: DataFrame) -> DataFrame:
     pairs = met.select(F.least("digest", "other").alias("leader"), F.greatest("digest", "other").alias("x"), "digest", "component", "degree", "other")
     known = verified.select(F.least("leader", "digest").alias("leader"), F.greatest("leader", "digest").alias("x"))
     new = pairs.join(known, ["leader", "x"], "left_anti")
-    best = new.groupBy("digest", "component").agg(F.max(F.struct("degree", "other")).alias("best"))
-    return best.select(F.col("best.other").alias("leader"), "digest").distinct()
+    order = W.partitionBy("digest", "component").orderBy(F.desc("degree"), "other")
+    best = new.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return best.select(F.col("other").alias("leader"), "digest").distinct()
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -271,9 +272,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     again = _with_leaders(led.join(failed, ["leader", "digest"], "left_semi").select("finer", "digest").distinct(), "finer")
     more = again.select("leader", "digest").distinct().join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
     verified = verified.unionByName(_verified(more, texts, "near-verified-2"))
+    most = 1
     while True:
         labels = components(_links(verified))
-        border = written(_border_pairs(verified, labels), "near-border")
+        most *= 16
+        border = written(_border_pairs(verified, labels, most), "near-border")
         if border.isEmpty():
             break
         verified = verified.unionByName(_verified(border, texts, "near-verified-3"))

@@ -94,22 +94,36 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, ...]:
     return packed >> (_LOW_BITS + 14), (packed >> 14) & ((1 << _LOW_BITS) - 1), (packed >> 7) & 127, packed & 127
 
 
+def _third_or_later(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Which rows have two others with their key and context before them: these are equal to
+    others for sure, and nothing else depends on them, so they need not meet their key."""
+    order = np.lexsort((context, key))
+    same = (key[order][1:] == key[order][:-1]) & (context[order][1:] == context[order][:-1])
+    out = np.zeros(len(key), bool)
+    out[order[2:]] = same[1:] & same[:-1]
+    return out
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """``key``, ``context``, ``doc_id``, ``place`` of every anchor."""
+    """``key``, ``context``, ``doc_id``, ``place`` of every anchor, and whether it is ``sure`` to be
+    equal to others of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tags = batch.column(1).to_numpy()
+            tags, made = batch.column(1).to_numpy(), []
             for start, piece in text_pieces(batch.column(2)):
                 data, offsets = bytes_of(piece)
                 found = anchors(data, offsets)
                 text = found["text"]
                 low = found["low"] - offsets[text]
                 place = _pack(tags[start + text], low, found["at"] - found["low"], found["high"] - found["low"])
-                columns = [pa.array(found["key"].view(np.int64)), pa.array(found["context"].view(np.int64)), batch.column(0).take(pa.array(start + text)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "place"])
+                made.append((found["key"].view(np.int64), found["context"].view(np.int64), start + text, place))
+            key, context, row, place = (np.concatenate(x) for x in zip(*made))
+            columns = [pa.array(key), pa.array(context), batch.column(0).take(pa.array(row)), pa.array(place), pa.array(_third_or_later(key, context))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "place", "sure"])
 
-    return docs.where(f"octet_length(text) >= {LENGTH}").mapInArrow(run, "key bigint, context bigint, doc_id bigint, place bigint")
+    chosen = docs.where(f"octet_length(text) >= {LENGTH}")
+    return chosen.mapInArrow(run, "key bigint, context bigint, doc_id bigint, place bigint, sure boolean")
 
 
 class _Meeting:
@@ -157,23 +171,28 @@ class _Meeting:
 
 
 def _meet(rows: DataFrame, payload: str) -> DataFrame:
-    """``rows`` (key, context, ...) with ``kind``: 0 for each row whose context occurs again, and
-    1 for one row of each context whose key has others."""
-    names = rows.columns
+    """``rows`` (key, context, ..., sure) with ``kind`` instead of ``sure``: 0 for each row whose
+    context occurs again, and 1 for one row of each context whose key has others. Rows that are
+    sure go anywhere, so a very frequent string does not fill one task."""
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meeting = _Meeting()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            equal, differs, table = meeting.add(pa.Table.from_batches([batch]))
-            chosen = np.concatenate([np.flatnonzero(equal), np.flatnonzero(differs)])
-            kind = np.repeat([0, 1], [equal.sum(), differs.sum()])
-            found = table.take(pa.array(chosen)).combine_chunks()
-            for part in found.append_column("kind", pa.array(kind, pa.int8())).to_batches():
-                yield part
-
-    return rows.repartition("key").sortWithinPartitions(*names[:2]).mapInArrow(run, f"{payload}, kind tinyint")
+            table = pa.Table.from_batches([batch]).drop_columns(["sure", "to"])
+            sure = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            first = int((~sure).sum())  # those that are sure come last
+            parts = [(table.slice(first), np.zeros(len(sure) - first, int))]
+            if first:
+                equal, differs, met = meeting.add(table.slice(0, first))
+                chosen = np.concatenate([np.flatnonzero(equal), np.flatnonzero(differs)])
+                parts.append((met.take(pa.array(chosen)), np.repeat([0, 1], [equal.sum(), differs.sum()])))
+            for found, kind in parts:
+                yield from found.append_column("kind", pa.array(kind, pa.int8())).combine_chunks().to_batches()
+
+    to = F.when(F.col("sure"), F.xxhash64(*names[2:])).otherwise(F.col("key"))
+    dealt = rows.withColumn("to", to).repartition("to").sortWithinPartitions("sure", *names[:2])
+    return dealt.mapInArrow(run, f"{payload}, kind tinyint")
 
 
 CONTEXTS = "key bigint, context bigint, doc_id bigint, tag bigint, low bigint, off int, span int, bytes binary"
@@ -207,7 +226,7 @@ def _told_apart(contexts: DataFrame, hot: DataFrame, step: int) -> DataFrame:
     """Contexts of hot keys cut in two by the anchor's place in the string, as equal strings have
     equal places. The key of each half is the hash of what all its strings span, which is
     longer than before: after seven steps a half is one string."""
-    width = 128 >> step
+    width, names = 128 >> step, contexts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +243,11 @@ def _told_apart(contexts: DataFrame, hot: DataFrame, step: int) -> DataFrame:
                     rows.append((*numbers, doc_id, tag, low + off - most, anchor, most - least, part))
             if rows:
                 kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=contexts.columns)
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                sure = _third_or_later(columns[0].to_numpy(), columns[1].to_numpy())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sure)], names=[*names, "sure"])
 
-    return contexts.join(hot, "key", "left_semi").select(contexts.columns).mapInArrow(run, CONTEXTS)
+    return contexts.join(hot, "key", "left_semi").select(contexts.columns).mapInArrow(run, f"{CONTEXTS}, sure boolean")
 
 
 class Suffixes:

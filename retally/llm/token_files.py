@@ -309,7 +309,9 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     rest = stream[cut:]
                     start += cut
 
-    chosen = with_starts(manifest).select("path", "start").repartition(F.col("path"))
+    # A row here is a file to read: more partitions than the size of the rows asks for.
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = with_starts(manifest).select("path", "start").repartition(parts, "path")
     return chosen.mapInArrow(run, "doc_id bigint, start bigint, ids binary")
 
 

@@ -166,6 +166,17 @@ def _blocks(manifest: DataFrame, block: int) -> DataFrame:
     return cut.select("path", "start", F.least("n_bytes", F.col("start") + block).alias("stop"))
 
 
+#: Blocks that a task looks through.
+TASK_BLOCKS = 8
+
+
+def _dealt(manifest: DataFrame, blocks: DataFrame, block: int, *by: str) -> DataFrame:
+    """Rows of blocks in as many partitions as their reading, not their own size, asks for."""
+    n = (manifest.agg(F.sum(F.ceil(F.col("n_bytes") / block))).first()[0] or 0) / TASK_BLOCKS
+    least = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(max(math.ceil(n), least), *by)
+
+
 def candidates(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """Every place that looks like a record: ``path``, ``at``, ``successor``, and ``leaves``, the
     first place behind its block that the chain from here comes to; null if the chain breaks
@@ -190,8 +201,7 @@ def candidates(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
                     columns = [pa.array([path] * len(next_of)), pa.array(list(next_of)), pa.array(list(next_of.values())), pa.array([leaves[p] for p in next_of], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=["path", "at", "successor", "leaves"])
 
-    dealt = _blocks(manifest, block).repartition("path", "start")
-    return dealt.mapInArrow(run, "path string, at bigint, successor bigint, leaves bigint")
+    return _dealt(manifest, _blocks(manifest, block), block, "path", "start").mapInArrow(run, "path string, at bigint, successor bigint, leaves bigint")
 
 
 def entries(found: DataFrame, most_blocks: int) -> DataFrame:
@@ -249,7 +259,7 @@ def read(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return dealt.repartition("path", "at").mapInArrow(run, RECORDS)
+    return _dealt(manifest, dealt, block, "path", "at").mapInArrow(run, RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
