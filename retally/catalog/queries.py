@@ -430,12 +430,13 @@ def _text_folder(spark, folder, mostly_short=False) -> str:
 
 @_register("load_text")
 def load_text(spark, folder):
-    return event_text.read_events(spark, _text_folder(spark, folder)).drop(KEY)
+    return event_text.read_events(spark, _text_folder(spark, folder), gapless_ids=False).drop(KEY)
 
 
 @_register("load_text_short")
 def load_text_short(spark, folder):
-    return event_text.read_events(spark, _text_folder(spark, folder, mostly_short=True)).drop(KEY)
+    path = _text_folder(spark, folder, mostly_short=True)
+    return event_text.read_events(spark, path, gapless_ids=False).drop(KEY)
 
 
 @_register("load_slices")
@@ -443,8 +444,8 @@ def load_slices(spark, folder):
     """The same file in two consecutive batches of lines."""
     path = _text_folder(spark, folder)
     half = lines.read_lines(spark, path).count() // 2
-    first = event_text.read_events(spark, path, offset=0, limit=half)
-    rest = event_text.read_events(spark, path, offset=half)
+    first = event_text.read_events(spark, path, offset=0, limit=half, gapless_ids=False)
+    rest = event_text.read_events(spark, path, offset=half, gapless_ids=False)
     return first.unionByName(rest).drop(KEY)
 
 
@@ -464,7 +465,7 @@ def load_ids(spark, folder):
 @_register("line_report")
 def line_report(spark, folder):
     path = _text_folder(spark, folder)
-    return event_text.line_report(lines.read_lines(spark, path), event_text.header_of(spark, path))
+    return event_text.line_report(lines.read_lines(spark, path))
 
 
 @_register("stored_table")
@@ -489,7 +490,7 @@ def stream_text(spark, folder):
 
     def make(root: str) -> None:
         arriving = lines.stream_lines(spark, path)
-        events = event_text.parse_lines(arriving, event_text.header_of(spark, path))
+        events = event_text.parse_lines(arriving)
         records = changelog.insert_records(events)
         maintain(records, root, f"{root}-checkpoint", {"availableNow": True}).awaitTermination()
 

@@ -3,7 +3,8 @@
 A sum of doubles depends on the order of addition, so two runs of a shuffled aggregate can
 differ, and adding then retracting a value can leave a residue. Scores are therefore summed
 as whole multiples of 10^-scale in 64-bit integers: order does not matter, retraction is
-exact, and the sums stay inside generated code. Overflow raises (ANSI mode).
+exact, and the sums stay inside generated code. A score with more digits than the scale
+holds fails the job instead of being cut. Averages of averages are summed as decimals.
 """
 
 from __future__ import annotations
@@ -16,8 +17,7 @@ from pyspark.sql import functions as F
 #: Digits kept of a score. Scores have one or two; a 64-bit sum holds 9e13 of them.
 SCORE_SCALE = 4
 
-#: Digits kept of an average when averaging averages. A report group holds at most a few
-#: rows per day, far below the 9e5 rows of magnitude 10 that a 64-bit sum holds.
+#: Digits kept of an average below 1000 when averaging averages; a sum holds 1e10 of them.
 MEAN_SCALE = 12
 
 
@@ -26,17 +26,26 @@ def fixed(value: Column, scale: int = SCORE_SCALE) -> Column:
     return F.rint(value * F.lit(10.0**scale)).cast("bigint")
 
 
+def fixed_score(value: Column, scale: int = SCORE_SCALE) -> Column:
+    """The same for a score, which must have no more digits than that."""
+    units = value * F.lit(10.0**scale)
+    message = F.concat(F.lit(f"a score with more than {scale} decimal digits: "), value.cast("string"))
+    fits = units.isNull() | (F.abs(units - F.rint(units)) <= F.lit(1e-6))
+    return F.when(fits, F.rint(units).cast("bigint")).otherwise(F.raise_error(message).cast("bigint"))
+
+
 def fixed_mean(total: Column, count: Column, scale: int = SCORE_SCALE) -> Column:
     """Mean from a fixed-point sum and a count; NULL when nothing was counted."""
     unit = F.lit(Decimal(1).scaleb(-scale))
-    return (total.cast("decimal(20,0)") * unit).cast("double") / F.nullif(count, F.lit(0))
+    return (total.cast("decimal(25,0)") * unit).cast("double") / F.nullif(count, F.lit(0))
 
 
 def mean(value: Column, scale: int = SCORE_SCALE) -> Column:
     """Aggregate: exact mean of a double column, NULLs ignored, one weight per row."""
-    return fixed_mean(F.sum(fixed(value, scale)), F.count(value), scale)
+    return fixed_mean(F.sum(fixed_score(value, scale)), F.count(value), scale)
 
 
 def mean_of_means(average: Column) -> Column:
     """Aggregate: unweighted mean of group averages (not the mean over the rows behind them)."""
-    return mean(average, MEAN_SCALE)
+    total = F.sum(fixed(average, MEAN_SCALE).cast("decimal(15,0)"))
+    return fixed_mean(total, F.count(average), MEAN_SCALE)

@@ -7,7 +7,7 @@ are unique in the table, so a shuffle on the key is even.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEY
@@ -132,11 +132,33 @@ def replicate(
     return numbered.withColumn(key, F.col(key) + F.col("_g") * F.lit(width).cast("long")).drop("_g")
 
 
+#: Hexadecimal digits of the hash that one counting pass tells apart, and rows that may be
+#: sorted besides the sample itself.
+_DIGITS, _SORTED = 4, 10_000
+
+
 def sample_keys(rows: DataFrame, n: int, seed: str, key: str = KEY) -> DataFrame:
     """``n`` rows in a random but reproducible choice: those with the smallest hash of key
-    and seed. A top-n, so no more than ``n`` rows per partition are moved."""
+    and seed.
+
+    Counts per hash prefix tell which prefixes hold them, digit by digit until few other rows
+    are left, so only about ``n`` rows of all partitions together are sorted. Runs one small
+    aggregate, more only if a prefix holds many rows.
+    """
     hashed = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
-    return rows.orderBy(hashed, key).limit(n)
+    prefix, before = "", 0
+    while len(prefix) < 32:
+        inside = rows.filter(hashed.startswith(prefix)) if prefix else rows
+        counts = inside.groupBy(F.substring(hashed, len(prefix) + 1, _DIGITS).alias("p")).count()
+        upto = F.sum("count").over(Window.orderBy("p"))  # at most 16**_DIGITS rows
+        last = counts.withColumn("upto", upto).filter(F.col("upto") >= n - before).orderBy("p").head()
+        if last is None:
+            break
+        prefix, before = prefix + last["p"], before + last["upto"] - last["count"]
+        if last["count"] <= _SORTED:
+            break
+    chosen = rows.filter(F.substring(hashed, 1, len(prefix)) <= prefix) if prefix else rows
+    return chosen.orderBy(hashed, key).limit(n)
 
 
 def append_sample(base: DataFrame, n: int, seed: str, shift: int, key: str = KEY) -> DataFrame:

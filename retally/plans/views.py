@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import fixed, fixed_mean
+from ..functions.scores import fixed_mean, fixed_score
 from ..operators.changelog import signed_rows
 
 
@@ -37,7 +37,7 @@ SUMS = ("d_events", "d_articles", "d_score", "d_scored", "d_rows")
 
 def _measures(sign: Column) -> list[Column]:
     """What one event adds to each sum, as whole numbers."""
-    score = fixed(F.col("goldstein"))
+    score = fixed_score(F.col("goldstein"))
     return [
         (sign * F.col("num_events").cast("bigint")).alias("d_events"),
         (sign * F.col("num_articles").cast("bigint")).alias("d_articles"),

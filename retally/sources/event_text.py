@@ -6,18 +6,15 @@ fields, then the action position). Lines with any other number of fields are dro
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import EVENT_COLUMNS, KEY, LINE_FIELDS
-from .lines import number_rows, read_lines, slice_lines
+from .lines import data_lines, number_rows, read_lines, slice_lines
 
 FULL = 17
 SHORT = 11
-SAMPLE_LINES = 20_000
 
 _LEADING = 8  # fields before the positions, the same in both layouts
 _ACTION = 14  # index of the first action position field in the full layout
@@ -34,31 +31,12 @@ def split_fields(value: Column) -> Column:
     return F.split(F.translate(value, "\r\0", ""), "\t", -1)
 
 
-def header_of(spark: SparkSession, path: str) -> str | None:
-    """The first line of a file, or of one file of a folder. Reads only that line."""
-    first = read_lines(spark, path).select("value").take(1)
-    return first[0]["value"] if first else None
-
-
-def drop_header(lines: DataFrame, header: str | None) -> DataFrame:
-    """Lines without the header line that the files share.
-
-    It is looked for in the first split of every file. Use ``slice_lines`` when files have
-    different headers; it goes by line number.
-    """
-    if header is None:
-        return lines
-    return lines.filter((F.col("split_start") != 0) | (F.col("value") != F.lit(header)))
-
-
-def detect_layout(lines: DataFrame, sample: int = SAMPLE_LINES) -> int:
-    """The layout of the first ``sample`` data lines: short only if it is strictly more common.
-
-    Reads field counts of the first lines only, which stops after the first input splits.
-    """
-    counted = lines.select(F.size(split_fields(F.col("value"))).alias("n")).take(sample + 1)
-    seen = Counter(row["n"] for row in counted[1:])
-    return SHORT if seen[SHORT] > seen[FULL] else FULL
+def detect_layout(lines: DataFrame) -> int:
+    """The layout of the data lines: short only if it is strictly more common. Runs one
+    aggregate over all lines, of two numbers."""
+    n = F.size(split_fields(F.col("value")))
+    seen = data_lines(lines).agg(F.count_if(n == SHORT).alias("short"), F.count_if(n == FULL).alias("full")).head()
+    return SHORT if seen["short"] > seen["full"] else FULL
 
 
 def _text(index: int, layout: int) -> Column:
@@ -190,23 +168,22 @@ def _parse_file(spark, path, offset, limit, layout) -> DataFrame:
     if layout is None:
         layout = detect_layout(lines)
     if offset is None and limit is None:
-        data = drop_header(lines, header_of(spark, path))
+        data = data_lines(lines)
     else:
         data = slice_lines(lines, offset or 0, limit)
     return parse(data, layout)
 
 
-def line_report(lines: DataFrame, header: str | None) -> DataFrame:
+def line_report(lines: DataFrame) -> DataFrame:
     """Number of data lines by field count, and whether lines of that size are loaded."""
     n = F.size(split_fields(F.col("value")))
-    sizes = drop_header(lines, header).groupBy(n.alias("n_fields"))
-    counts = sizes.agg(F.count(F.lit(1)).alias("n_lines"))
+    counts = data_lines(lines).groupBy(n.alias("n_fields")).agg(F.count(F.lit(1)).alias("n_lines"))
     return counts.withColumn("loaded", F.col("n_fields").isin(FULL, SHORT))
 
 
-def parse_lines(lines: DataFrame, header: str | None, layout: int = FULL) -> DataFrame:
+def parse_lines(lines: DataFrame, layout: int = FULL) -> DataFrame:
     """Typed events without ids; narrow steps only, so ``lines`` may be a stream."""
-    events = events_of(parse(drop_header(lines, header), layout))
+    events = events_of(parse(data_lines(lines), layout))
     return events.select(F.lit(None).cast("long").alias(KEY), *_NAMES)
 
 

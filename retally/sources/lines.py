@@ -1,18 +1,23 @@
-"""Positions in text input: line numbers and dense row numbers without a global sort.
+"""Positions in text input: data lines, line numbers and dense row numbers without a global sort.
 
-Every row carries the file and the start of the input split it came from. One aggregate
-counts rows per split, a running sum over the splits (one row per split, not per line) gives
-where each split starts, and the position inside the split is added. The scan is the same in
-both passes, so the numbers are reproducible when a task is run again.
+Every row carries the file and the start of the input split it came from. The first line of a
+file is known by its place, in batches and in streams. Row numbers come from one aggregate of
+rows per split and prefix sums of two levels, splits inside a file and files inside ranges of
+names, so no task sees all splits. The scan is the same in both passes, so the numbers are
+reproducible when a task is run again.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Splits whose offsets may be broadcast: about 200 bytes each, so at most 20 MB.
-BROADCAST_SPLITS = 100_000
+from ..session import shared_folder
 
 SPLIT = ["file", "split_start"]
 
@@ -42,46 +47,74 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return _text_lines(reader, path)
 
 
+def data_lines(lines: DataFrame) -> DataFrame:
+    """Lines without the first line of each file, whatever it says; ``lines`` may be a stream.
+
+    Lines of a split arrive in order, so the first one of a split that starts at 0 is the
+    file's first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, starts = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
+            codes = files.indices.to_numpy()
+            first = np.ones(batch.num_rows, bool)
+            first[1:] = (codes[1:] != codes[:-1]) | (starts[1:] != starts[:-1])
+            first[0] = (batch.column(1)[0].as_py(), int(starts[0])) != before
+            before = (batch.column(1)[-1].as_py(), int(starts[-1]))
+            yield batch.filter(pa.array(~(first & (starts == 0))))
+
+    return lines.select("value", *SPLIT).mapInArrow(run, lines.select("value", *SPLIT).schema)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that all that uses it sees the same rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _split_offsets(tagged: DataFrame) -> DataFrame:
-    splits = tagged.groupBy(*SPLIT).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_tag").alias("_first_tag")
-    )
-    in_order = Window.orderBy(*SPLIT)
-    in_file = Window.partitionBy("file").orderBy("split_start")
+    """Per split: its first tag and the rows in all splits before it. Runs the counting pass."""
+    counts = tagged.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_rows"), F.min("_tag").alias("_first_tag"))
+    splits = _written(counts, "splits")
+    files = splits.groupBy("file").agg(F.sum("_rows").alias("_file_rows"))
+    ranges = files.repartitionByRange("file").withColumn("_range", F.spark_partition_id())
+    placed = _written(ranges, "files")
     earlier = (Window.unboundedPreceding, -1)
-    return splits.select(
-        *SPLIT,
-        "_first_tag",
-        F.coalesce(F.sum("_rows").over(in_order.rowsBetween(*earlier)), F.lit(0)).alias("_before"),
-        F.coalesce(F.sum("_rows").over(in_file.rowsBetween(*earlier)), F.lit(0)).alias(
-            "_before_in_file"
-        ),
-        F.dense_rank().over(Window.orderBy("file")).alias("_files"),
-    )
-
+    # One row per partition of a shuffle: as few as its setting says, whatever the input.
+    totals = placed.groupBy("_range").agg(F.sum("_file_rows").alias("_range_rows"))
+    before_range = F.sum("_range_rows").over(Window.orderBy("_range").rowsBetween(*earlier))
+    totals = totals.select("_range", F.coalesce(before_range, F.lit(0)).alias("_before_range"))
+    in_range = Window.partitionBy("_range").orderBy("file").rowsBetween(*earlier)
+    before_file = F.coalesce(F.sum("_file_rows").over(in_range), F.lit(0))
+    files = placed.withColumn("_in_range", before_file).join(totals, "_range")
+    in_file = Window.partitionBy("file").orderBy("split_start").rowsBetween(*earlier)
+    located = splits.withColumn("_in_file", F.coalesce(F.sum("_rows").over(in_file), F.lit(0))).join(files, "file")
+    before = F.col("_before_range") + F.col("_in_range") + F.col("_in_file")
+    return _written(located.select(*SPLIT, "_first_tag", before.alias("_before")), "offsets")
 
-def _tag_and_locate(rows: DataFrame) -> DataFrame:
-    """``rows`` joined with the offsets of their split; runs the counting pass."""
-    tagged = rows.withColumn("_tag", F.monotonically_increasing_id())
-    offsets = _split_offsets(tagged)
-    few = offsets.limit(BROADCAST_SPLITS + 1).collect()
-    if len(few) <= BROADCAST_SPLITS:
-        spark = rows.sparkSession
-        offsets = F.broadcast(spark.createDataFrame(few, offsets.schema))
-    return tagged.join(offsets, SPLIT).withColumn("_in_split", F.col("_tag") - F.col("_first_tag"))
 
+def number_rows(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Rows with a gapless number ``name`` from ``start``, in order of files and lines.
 
-def _without_helpers(df: DataFrame) -> DataFrame:
-    return df.drop("_tag", "_first_tag", "_before", "_before_in_file", "_files", "_in_split")
+    Rows must still carry ``file`` and ``split_start`` and come from a scan through narrow
+    steps only. The offsets, one row per split, are joined without a hint: Spark sends them
+    to the rows while they are small.
+    """
+    tagged = rows.withColumn("_tag", F.monotonically_increasing_id())
+    located = tagged.join(_split_offsets(tagged), SPLIT)
+    number = F.lit(start) + F.col("_before") + F.col("_tag") - F.col("_first_tag")
+    return located.withColumn(name, number).drop("_tag", "_first_tag", "_before")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
-    """Data lines with their position ``data_no`` from 0, first line of each file left out."""
-    located = _tag_and_locate(lines)
-    numbered = located.filter(F.col("_before_in_file") + F.col("_in_split") > 0).withColumn(
-        "data_no", F.col("_before") + F.col("_in_split") - F.col("_files")
-    )
-    return _without_helpers(numbered)
+    """Data lines with their position ``data_no`` from 0."""
+    return number_rows(data_lines(lines), "data_no")
 
 
 def slice_lines(lines: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -90,14 +123,3 @@ def slice_lines(lines: DataFrame, offset: int = 0, limit: int | None = None) ->
     if limit is not None:
         numbered = numbered.filter(F.col("data_no") < offset + limit)
     return numbered.drop("data_no")
-
-
-def number_rows(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
-    """Rows with a gapless number ``name`` from ``start``, in file order.
-
-    Rows must still carry ``file`` and ``split_start`` and come from a scan through narrow
-    steps only (projections and filters).
-    """
-    located = _tag_and_locate(rows)
-    numbered = located.withColumn(name, F.lit(start) + F.col("_before") + F.col("_in_split"))
-    return _without_helpers(numbered)

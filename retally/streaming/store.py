@@ -91,7 +91,10 @@ class ViewStore:
     def committed_batches(self, after: int = -1) -> list[int]:
         """Committed batches later than ``after``: as many as since the last compaction."""
         one_per_batch = self._notices_after(after).filter(F.col("view") == next(iter(VIEWS)))
-        return sorted(row["batch_id"] for row in one_per_batch.select("batch_id").collect())
+        found = sorted(row["batch_id"] for row in one_per_batch.select("batch_id").collect())
+        if found and found[0] <= after or found != list(range(after + 1, after + 1 + len(found))):
+            raise ValueError(f"notices are missing under {self.root}: batches {found} do not follow {after} one by one")
+        return found
 
     # --- reading --------------------------------------------------------------------------
 

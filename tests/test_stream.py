@@ -196,8 +196,7 @@ def test_text_files_feed_the_views(spark, folder, values):
 
     def run():
         arriving = lines.stream_lines(spark, f"{folder}/in", max_files=1)
-        head = event_text.header_of(spark, f"{folder}/in")
-        events = event_text.parse_lines(arriving, head)
+        events = event_text.parse_lines(arriving)
         records = changelog.insert_records(events)
         maintain(records, f"{folder}/views", f"{folder}/cp", NOW).awaitTermination()
 

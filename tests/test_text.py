@@ -64,9 +64,29 @@ def test_layout_is_the_more_common_one(spark, file, n_full, n_short, expected):
     assert layout(spark, path) == expected
 
 
-def test_layout_sample_is_taken_from_the_start(spark, file):
-    path = file(short(), short(), *[full()] * 5)
-    assert text.detect_layout(lines.read_lines(spark, path), sample=2) == text.SHORT
+def test_layout_counts_all_lines(spark, file, values):
+    path = file(*[short()] * 300, *[full()] * 400)
+    assert layout(spark, path) == text.FULL
+    loaded = text.read_events(spark, path, gapless_ids=False)
+    assert loaded.filter("source_geo_type IS NOT NULL").count() == 400
+
+
+def test_only_the_first_line_of_each_file_is_a_header(spark, file, folder):
+    """Data lines may equal it, and files may have different ones."""
+    file(*[HEADER] * 0, full(), full(), name="a.txt")
+    with open(f"{folder}/equal.txt", "w") as out:
+        out.write("\n".join([full()] * 5) + "\n")
+    with open(f"{folder}/other.txt", "w") as out:
+        out.write("\n".join(["x" + HEADER, full(source="CHN")]) + "\n")
+    for path, n in ((f"{folder}/equal.txt", 4), (f"{folder}/other.txt", 1), (folder, 7)):
+        whole = text.read_events(spark, path)
+        assert whole.count() == text.read_events(spark, path, offset=0).count() == n
+
+
+def test_numbers_need_no_collected_splits_and_no_window_over_all(spark, file):
+    df = lines.number_lines(lines.read_lines(spark, file(*[full()] * 5)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "Window" not in plan
 
 
 def test_mixed_file_keeps_both(spark, file, values):
@@ -84,7 +104,7 @@ def test_mostly_short_file_drops_positions_of_full_lines(spark, file, values):
 def test_other_sizes_are_dropped_and_counted(spark, file, values):
     path = file(full(), full().rsplit("\t", 5)[0], "", "x", full() + "\t", short())
     assert [r[0] for r in values(text.read_events(spark, path), "globaleventid")] == [1, 2]
-    report = text.line_report(lines.read_lines(spark, path), text.header_of(spark, path))
+    report = text.line_report(lines.read_lines(spark, path))
     assert values(report) == [
         (1, 2, False),
         (11, 1, True),
@@ -176,13 +196,6 @@ def test_positions_over_many_splits_and_files(spark, file, values, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_many_splits_are_joined_without_broadcast(spark, file, values, monkeypatch):
-    path = file(*[full(source=f"A{i:02}") for i in range(5)])
-    expected = values(text.read_events(spark, path))
-    monkeypatch.setattr(lines, "BROADCAST_SPLITS", 0)
-    assert values(text.read_events(spark, path)) == expected
-
-
 def test_ids_follow_the_stored_ones(spark, seed, file, values):
     path = file(full(), full())
     after = text.max_id(seed)
@@ -209,6 +222,6 @@ def test_written_lines_read_back(spark, file, values, folder):
 
 def test_lines_are_parsed_once(spark, file):
     """The text is split in one place of the plan, not again inside a filter."""
-    df = text.parse_lines(lines.read_lines(spark, file(full())), HEADER)
+    df = text.parse_lines(lines.read_lines(spark, file(full())))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
