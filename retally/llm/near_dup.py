@@ -197,46 +197,46 @@ def components(links: DataFrame) -> DataFrame:
     a round whose labels all stay is the last.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
-        lower = written(lower, "labels-near")
-        of = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
-        jumped = written(lower.join(of, "next").select("node", "label", F.least("next", "beyond").alias("next")), "labels-next")
-        if jumped.where("label <> next").isEmpty():
-            return labels
-        labels = jumped.select("node", F.col("next").alias("label"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).alias("was"))
+        lower = near.union(labels.select("node", "label", F.col("label").alias("was"))).groupBy("node")
+        lower = written(lower.agg(F.min("label").alias("label"), F.max("was").alias("was")), "labels-near")
+        of = lower.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        labels = written(lower.join(of, "label").select("node", F.least("label", "beyond").alias("label"), "was"), "labels-next")
+        if labels.where("label <> was").isEmpty():
+            return labels.select("node", "label")
+        labels = labels.select("node", "label")
 
 
 def _links(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("similarity") >= SIMILAR).select(F.col("leader").alias("a"), F.col("digest").alias("b"))
 
 
-def _border_pairs(verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs to compare next: a text that was not like a leader, but near, with duplicates of
-    that leader as far from it as can still be like the text. For each text and component the
-    ``most`` duplicates with the most links; the others follow in later rounds while the text
-    stays outside their component."""
+def _border_pairs(led: DataFrame, verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs to compare next, from the comparisons with leaders (``led``): a text that was not like
+    a leader, but near, with duplicates of that leader as far from it as can still be like the
+    text. For each text and component the ``most`` duplicates that most leaders lead to; the
+    others follow in later rounds while the text stays outside their component. ``verified``
+    are all pairs compared so far."""
     label = labels.select(F.col("node").alias("digest"), "label")
-    border = verified.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
-    both = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
-    every = verified.where(F.col("similarity") >= SIMILAR)
-    near = every.select(F.col("leader").alias("of"), F.col("digest").alias("other"), F.col("similarity").alias("like")).union(
-        every.select("digest", "leader", "similarity")
-    )
-    degree = near.groupBy("other").agg(F.count("*").alias("degree"))
-    near = near.join(degree, "other").join(label.select(F.col("digest").alias("other"), F.col("label").alias("component")), "other")
-    asked = both.join(label, "digest", "left").select("leader", "digest", "similarity", F.coalesce("label", "digest").alias("own"))
-    met = asked.join(near, asked["leader"] == near["of"]).where(
-        (F.col("own") != F.col("component")) & (F.col("like") - (1 - SIMILAR) <= F.col("similarity"))
-    )
-    pairs = met.select(F.least("digest", "other").alias("leader"), F.greatest("digest", "other").alias("x"), "digest", "component", "degree", "other")
-    known = verified.select(F.least("leader", "digest").alias("leader"), F.greatest("leader", "digest").alias("x"))
-    new = pairs.join(known, ["leader", "x"], "left_anti")
-    order = W.partitionBy("digest", "component").orderBy(F.desc("degree"), "other")
-    best = new.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return best.select(F.col("other").alias("leader"), "digest").distinct()
+    border = led.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
+    border = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
+    links = led.where(F.col("similarity") >= SIMILAR)
+    near = links.select("leader", F.col("digest").alias("other"), F.col("similarity").alias("like"))
+    near = near.union(near.select(F.col("other").alias("leader"), F.col("leader").alias("other"), "like"))
+    label = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
+    # The leader of a link is in its duplicate's component.
+    groups = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
+    met = border.join(near, "leader").where(F.col("like") - (1 - SIMILAR) <= F.col("similarity")).join(groups, "leader")
+    met = met.join(label, "digest", "left").where(F.coalesce("own", "digest") != F.col("component"))
+    pairs = met.groupBy("digest", "other", "component").agg(F.count("*").alias("ways"))
+    known = verified.select("leader", "digest").union(verified.select("digest", "leader")).withColumnRenamed("leader", "other")
+    new = pairs.join(known, ["digest", "other"], "left_anti")
+    order = W.partitionBy("digest", "component").orderBy(F.desc("ways"), "other")
+    ranked = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    both_ways = ranked.select(F.least("other", "digest").alias("leader"), F.greatest("other", "digest").alias("digest"), "rank")
+    return both_ways.groupBy("leader", "digest").agg(F.max("rank").alias("rank"))
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -272,14 +272,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     again = _with_leaders(led.join(failed, ["leader", "digest"], "left_semi").select("finer", "digest").distinct(), "finer")
     more = again.select("leader", "digest").distinct().join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
     verified = verified.unionByName(_verified(more, texts, "near-verified-2"))
-    most = 1
+    with_leaders, most = verified, 16
     while True:
         labels = components(_links(verified))
-        most *= 16
-        border = written(_border_pairs(verified, labels, most), "near-border")
-        if border.isEmpty():
+        border = written(_border_pairs(with_leaders, verified, labels, most), "near-border")
+        found = border.agg(F.max("rank")).first()[0]
+        if found is None:
+            break
+        verified = verified.unionByName(_verified(border.drop("rank"), texts, "near-verified-3"))
+        if found < most:  # nothing was left out
+            labels = components(_links(verified))
             break
-        verified = verified.unionByName(_verified(border, texts, "near-verified-3"))
+        most *= 16
     label = labels.select(F.col("node").alias("digest"), "label")
     return own.drop("text").join(label, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
 
