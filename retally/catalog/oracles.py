@@ -441,6 +441,15 @@ def oracles() -> dict[str, str]:
     FROM ({_view(EVENT_LOG, "quad")}) AS v
     """
 
+    sql["heatmap_grid"] = f"""
+    WITH cells AS ({sql["dyad_heatmap"]})
+    SELECT s.source_actor, t.target_actor, CAST(coalesce(sum(c.total_events), 0) AS BIGINT) AS total_events
+    FROM (SELECT DISTINCT source_actor FROM cells) AS s
+      CROSS JOIN (SELECT DISTINCT target_actor FROM cells) AS t
+      LEFT JOIN cells AS c ON c.source_actor = s.source_actor AND c.target_actor = t.target_actor
+    GROUP BY s.source_actor, t.target_actor
+    """
+    sql["load_text_late_layout"] = sql["load_text_repeats"] = _text(short_layout=False)
     sql["load_text"] = sql["load_slices"] = _text(short_layout=False)
     sql["load_text_short"] = _text(short_layout=True)
     sql["load_ids"] = f"""

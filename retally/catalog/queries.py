@@ -125,6 +125,12 @@ def dyad_heatmap(spark, folder):
     return reports.heatmap_cells(top_dyads(spark, folder))
 
 
+@_register("heatmap_grid")
+def heatmap_grid(spark, folder):
+    """The heatmap with its zero cells, one row per cell."""
+    return reports.heatmap_grid(dyad_heatmap(spark, folder))
+
+
 @_register("raw_daily")
 def raw_daily(spark, folder):
     events = _lines(spark, folder, "quad_class")
@@ -405,9 +411,15 @@ def text_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _write_text(spark: SparkSession, folder: str, path: str, mostly_short: bool) -> None:
+def _write_text(
+    spark: SparkSession, folder: str, path: str, mostly_short: bool, rare_first: bool = False, odd_headers: bool = False
+) -> None:
     """The event log as messy text: a header per file, lines of both layouts (clicks in the
-    rarer one), stray NUL and CR characters, and error events as lines of a wrong size."""
+    rarer one), stray NUL and CR characters, and error events as lines of a wrong size.
+
+    ``rare_first`` puts the lines of the rarer layout before all others. With ``odd_headers``
+    the first line of a file is its first data line once more, or differs from file to file.
+    """
     events = text_events(spark, folder)
     names = [name for name, _, _ in LINE_FIELDS]
     texts = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names}
@@ -417,9 +429,17 @@ def _write_text(spark: SparkSession, folder: str, path: str, mostly_short: bool)
     click, error = scenario.has_code(scenario.CLICK), scenario.has_code(scenario.ERROR)
     line = F.when(error, wrong).when(click != F.lit(mostly_short), short).otherwise(full)
     stray = F.when(scenario.has_code(scenario.SIGNUP), F.concat(F.lit("\0"), line, F.lit("\r")))
+    lines_ = events.select(F.coalesce(stray, line).alias("line"), (~click).alias("common"))
+    if rare_first:
+        lines_ = lines_.orderBy("common")
+    elif odd_headers:
+        lines_ = lines_.repartition(4, "line")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    body = events.select(F.coalesce(stray, line).alias("line"), place.alias("place"))
-    headed = F.when(F.col("place") == 0, F.array(F.lit(_FULL_HEADER), "line"))
+    body = lines_.select("line", place.alias("place"), F.spark_partition_id().alias("part"))
+    header = F.lit(_FULL_HEADER)
+    if odd_headers:
+        header = F.when(F.col("part") % 2 == 0, F.col("line")).otherwise(F.concat(F.lit("file "), F.col("part")))
+    headed = F.when(F.col("place") == 0, F.array(header, "line"))
     body.select(F.explode(F.coalesce(headed, F.array("line"))).alias("value")).write.text(path)
 
 
@@ -439,6 +459,20 @@ def load_text_short(spark, folder):
     return event_text.read_events(spark, path, gapless_ids=False).drop(KEY)
 
 
+@_register("load_text_late_layout")
+def load_text_late_layout(spark, folder):
+    """All lines of the rarer layout come first; the positions of the others are kept."""
+    path = _once(spark, folder, "late", lambda path: _write_text(spark, folder, path, False, rare_first=True))
+    return event_text.read_events(spark, path, gapless_ids=False).drop(KEY)
+
+
+@_register("load_text_repeats")
+def load_text_repeats(spark, folder):
+    """First lines that equal data lines, or differ from file to file, are the only ones left out."""
+    path = _once(spark, folder, "repeats", lambda path: _write_text(spark, folder, path, False, odd_headers=True))
+    return event_text.read_events(spark, path, gapless_ids=False).drop(KEY)
+
+
 @_register("load_slices")
 def load_slices(spark, folder):
     """The same file in two consecutive batches of lines."""

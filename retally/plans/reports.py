@@ -162,6 +162,15 @@ def heatmap_matrix(cells: DataFrame, targets: list[str] | None = None) -> DataFr
     return wide.fillna(0).orderBy("source_actor")
 
 
+def heatmap_grid(cells: DataFrame) -> DataFrame:
+    """Every source with every target of the heatmap, 0 where there is no pair."""
+    wide = heatmap_matrix(cells)
+    targets = [c for c in wide.columns if c != "source_actor"]
+    if not targets:
+        return cells.select("source_actor", "target_actor", "total_events")
+    return wide.unpivot(["source_actor"], targets, "target_actor", "total_events")
+
+
 def rollup_daily(quad_view: DataFrame, start: int, end: int) -> DataFrame:
     """Events per day and class, from the view."""
     sums = in_date_range(quad_view, start, end).groupBy("event_date", "quad_class")

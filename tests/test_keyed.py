@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from retally.fixtures import seed_events
 from retally.operators import changelog, keyed
 from retally.plans import views
-from retally.schemas import CHANGE
+from retally.schemas import CHANGE, KEY
 
 
 def test_updates_put_nulls_in_and_leave_others(seed, spark, values):
@@ -144,3 +144,19 @@ def test_images_an_operation_does_not_use_are_ignored(spark, values):
     event = (1, 20200101, "A", "B", "1", 1, 1, 1, 1.0) + (None,) * 9
     changes = spark.createDataFrame([(1, "insert", event, event)], CHANGE)
     assert values(views.signed(changes), "sign") == [(1,)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 500, 2000, 5000])
+def test_sample_is_the_least_hashes_whatever_the_prefixes(spark, monkeypatch, n):
+    monkeypatch.setattr(keyed, "_DIGITS", 1)
+    monkeypatch.setattr(keyed, "_SORTED", 10)
+    rows = spark.range(2000).withColumnRenamed("id", KEY)
+    hashed = F.md5(F.concat(F.col(KEY).cast("string"), F.lit("s")))
+    expected = [r[0] for r in rows.orderBy(hashed, KEY).limit(n).collect()]
+    assert [r[0] for r in keyed.sample_keys(rows, n, "s").collect()] == expected
+
+
+def test_only_few_rows_of_a_sample_are_sorted(spark):
+    rows = spark.range(100_000).withColumnRenamed("id", KEY)
+    plan = keyed.sample_keys(rows, 50, "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "TakeOrdered" in plan

@@ -349,3 +349,13 @@ def test_views_are_written_without_tiny_files(spark, pipeline, folder, values):
         assert files(root, "dyad") > 1
     assert pipeline.store.view("dyad").count() == 40_000
     assert values(pipeline.store.view("quad"), "total_events", "avg_goldstein") == [(40_000, 1.0)]
+
+
+def test_a_lost_notice_is_an_error(spark, folder, seed):
+    """A view never shows fewer events because a commit record is gone."""
+    store = ViewStore(spark, f"{folder}/views")
+    for batch_id in range(3):
+        store.apply(changelog.insert_records(keyed.shift_ids(seed, 100 * batch_id)), batch_id)
+    os.rename(f"{folder}/views/notices/batch_group=0/batch_id=1", f"{folder}/lost")
+    with pytest.raises(ValueError, match="notices are missing"):
+        store.view("quad")

@@ -135,3 +135,16 @@ def test_one_pair_with_a_third_of_all_rows(events, values):
         assert values(views.from_deltas(deltas, spec)) == expected
     top = reports.raw_dyads(df, 20200101, 20200131, 1).collect()[0]
     assert (top["source_actor"], top["target_actor"]) == ("USA", "CHN")
+
+
+def test_many_means_do_not_overflow(spark):
+    rows = spark.range(2_000_000).select(F.lit(9.9).alias("m"))
+    assert rows.agg(mean_of_means(F.col("m"))).head()[0] == 9.9
+
+
+def test_a_score_is_never_cut(spark, events):
+    fine = events((1, 20200101, "A", "B", "043", 1, 1, 1, 0.00004))
+    with pytest.raises(Exception, match="more than 4 decimal digits"):
+        views.full(fine, views.QUAD).collect()
+    third = events((1, 20200101, "A", "B", "043", 1, 1, 1, 0.1 + 0.2))
+    assert views.full(third, views.QUAD).head()["avg_goldstein"] == 0.3
