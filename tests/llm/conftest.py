@@ -1,7 +1,6 @@
-"""The fixtures of the other tests serve here too; SQL of the queries runs on the given tables."""
-
 from __future__ import annotations
 
 import os
+import sys
 
-FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
