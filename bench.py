@@ -11,17 +11,17 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from retally.catalog import scenario  # noqa: E402
 from retally.catalog.queries import END, QUERIES, START  # noqa: E402
 from retally.fixtures import keyed_events, line_events  # noqa: E402
-from retally.operators import changelog  # noqa: E402
+from retally.operators import changelog, keyed  # noqa: E402
 from retally.plans import reports, views  # noqa: E402
-from retally.session import local_session  # noqa: E402
+from retally.session import local_session, shared_folder  # noqa: E402
 from retally.sources import changes  # noqa: E402
 from retally.streaming.maintain import maintain  # noqa: E402
 from retally.streaming.store import ViewStore  # noqa: E402
@@ -82,11 +82,11 @@ def run(df) -> None:
 def stream_seconds(spark, folder: str) -> dict[str, float]:
     """Seconds from sending records into a feed until all four views show them, with the
     maintaining stream running: first the whole event log, then a round of changes of it."""
-    place = tempfile.mkdtemp(prefix="retally-bench-")
+    place = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}"
     feed, events = f"{place}/feed", keyed_events(spark, folder)
     changes.write_changes(changelog.snapshot_records(events.limit(0)), feed)
     stream = changes.stream_changes(spark, feed)
-    query = maintain(stream, f"{place}/views", f"{place}/checkpoint", {"processingTime": "0 seconds"})
+    query = maintain(stream, f"{place}/views", f"{place}/checkpoint")
 
     def send(records) -> None:
         changes.write_changes(records, feed)
@@ -96,6 +96,11 @@ def stream_seconds(spark, folder: str) -> dict[str, float]:
         "stream_snapshot": timed(lambda: send(changelog.snapshot_records(events))),
         "stream_changes": timed(lambda: send(scenario.all_changes(events))),
     }
+    # Batches of new rows on the store that has the rest already, the trigger as by default.
+    low, high = keyed.id_range(events)
+    for k, n in enumerate((1_000, 5_000, 10_000), start=2):
+        new = keyed.shift_ids(keyed.sample_keys(events, n, str(n)), k * (high - low + 1))
+        seconds[f"stream_append_{n}"] = timed(lambda new=new: send(changelog.insert_records(new)))
     query.stop()
     return seconds
 
@@ -112,7 +117,7 @@ def main() -> None:
 
     seconds = {name: timed(query(name), runs=2) for name in HEADLINE}
 
-    store = ViewStore(spark, tempfile.mkdtemp(prefix="retally-bench-"))
+    store = ViewStore(spark, f"{shared_folder(spark)}/bench-{uuid.uuid4().hex}")
     events = line_events(spark, folder, *views.ALL_KEYS, *views.MEASURED)
     seconds["store_build"] = timed(lambda: store.add(views.entering(events), 0))
     for name, (report, view) in STORED.items():
