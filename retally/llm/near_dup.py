@@ -8,7 +8,10 @@ a metric (the Steinhaus transform of the insert-and-delete distance).
 A sketch takes, under one random order of all occurrence-labelled shingles, the least ones of a
 text and retains their order in the text, so it differs between texts with the same shingles in
 another order. A band is a pair of sketches. Texts that agree in a band are compared with the
-band's leader, the least text of it by digest; nothing lists all pairs of a band.
+band's leader, the least text of it by digest; nothing lists all pairs of a band. Where the
+leader is not like all of them, they meet again in finer buckets, of more bands and with other
+leaders. A text that is near but not like a component's texts also meets the one of them with
+the most links.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands of SKETCHES sketches with LEAST least shingles each. Texts with a similarity of 0.8
 #: agree in a band with a chance of about 0.8**(LEAST * SKETCHES), so in none with 3e-5.
 BANDS, SKETCHES, LEAST = 20, 2, 2
+#: Bands together in the finest buckets.
+LEVELS = 3
 #: Members compared with one copy of their leader.
 MEMBERS = 500
 
@@ -77,11 +82,12 @@ def order_sketches(labels: np.ndarray, where: np.ndarray, n: int, least: int = L
     return out
 
 
-BUCKETS = "bucket bigint, finer bigint, digest binary"
+_LEVELS = [f"bucket_{k}" for k in range(LEVELS)]
+BUCKETS = ", ".join(f"{name} bigint" for name in _LEVELS) + ", digest binary"
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """``bucket`` (of a band), ``finer`` (with the next band as well) and ``digest`` of all texts."""
+    """The buckets (of a band, of it and the next one, ...) and ``digest`` of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +100,12 @@ def _buckets(texts: DataFrame) -> DataFrame:
                 bands = np.zeros((len(has), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for k in range(SKETCHES):
                     bands = mix(bands * _U(31) + found[:, k::SKETCHES], 4)
-                finer = mix(bands * _U(31) + np.roll(bands, -1, 1), 6)
+                levels = [bands]
+                for k in range(1, LEVELS):
+                    levels.append(mix(levels[-1] * _U(31) + np.roll(bands, -k, 1), 6))
                 take = pa.array(np.repeat(start + has, BANDS))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bands.ravel().view(np.int64)), pa.array(finer.ravel().view(np.int64)), batch.column(0).take(take)],
-                    names=["bucket", "finer", "digest"],
-                )
+                columns = [pa.array(level.ravel().view(np.int64)) for level in levels]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take)], names=[*_LEVELS, "digest"])
 
     return texts.select("digest", "text").mapInArrow(run, BUCKETS)
 
@@ -155,8 +161,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return m / (len(a) + len(b) - m)
 
 
-#: Similarity down to which a text that is not like its leader may be like one of the leader's
-#: duplicates: by the triangle inequality twice as far away as these.
+#: Similarity down to which a text that is not like another one may be like one of its duplicates:
+#: by the triangle inequality twice as far away as these.
 BORDER = 1 - 2 * (1 - SIMILAR)
 
 VERIFIED = "leader binary, digest binary, similarity double"
@@ -213,30 +219,21 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("similarity") >= SIMILAR).select(F.col("leader").alias("a"), F.col("digest").alias("b"))
 
 
-def _border_pairs(led: DataFrame, verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs to compare next, from the comparisons with leaders (``led``): a text that was not like
-    a leader, but near, with duplicates of that leader as far from it as can still be like the
-    text. For each text and component the ``most`` duplicates that most leaders lead to; the
-    others follow in later rounds while the text stays outside their component. ``verified``
-    are all pairs compared so far."""
-    label = labels.select(F.col("node").alias("digest"), "label")
-    border = led.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
-    border = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
-    links = led.where(F.col("similarity") >= SIMILAR)
-    near = links.select("leader", F.col("digest").alias("other"), F.col("similarity").alias("like"))
-    near = near.union(near.select(F.col("other").alias("leader"), F.col("leader").alias("other"), "like"))
-    label = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
-    # The leader of a link is in its duplicate's component.
-    groups = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
-    met = border.join(near, "leader").where(F.col("like") - (1 - SIMILAR) <= F.col("similarity")).join(groups, "leader")
-    met = met.join(label, "digest", "left").where(F.coalesce("own", "digest") != F.col("component"))
-    pairs = met.groupBy("digest", "other", "component").agg(F.count("*").alias("ways"))
-    known = verified.select("leader", "digest").union(verified.select("digest", "leader")).withColumnRenamed("leader", "other")
-    new = pairs.join(known, ["digest", "other"], "left_anti")
-    order = W.partitionBy("digest", "component").orderBy(F.desc("ways"), "other")
-    ranked = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    both_ways = ranked.select(F.least("other", "digest").alias("leader"), F.greatest("other", "digest").alias("digest"), "rank")
-    return both_ways.groupBy("leader", "digest").agg(F.max("rank").alias("rank"))
+def _hub_pairs(verified: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a text that is near but not like a text of a component, and outside of it, with
+    the component's text with the most links: one pair for each text and component."""
+    near = verified.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR)).select("leader", "digest")
+    near = near.union(near.select(F.col("digest").alias("leader"), F.col("leader").alias("digest")))
+    links = _links(verified)
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    hubs = degree.join(labels, "node").groupBy(F.col("label").alias("component")).agg(F.max(F.struct("n", "node")).alias("best"))
+    inside = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
+    own = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
+    asked = near.join(inside, "leader").select("digest", "component").distinct().join(own, "digest", "left")
+    outside = asked.where(F.coalesce("own", "digest") != F.col("component")).join(hubs, "component")
+    pairs = outside.select(F.least("digest", "best.node").alias("leader"), F.greatest("digest", "best.node").alias("digest")).distinct()
+    known = verified.select(F.least("leader", "digest").alias("leader"), F.greatest("leader", "digest").alias("digest"))
+    return pairs.join(known, ["leader", "digest"], "left_anti")
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -261,29 +258,24 @@ def near_classes(docs: DataFrame) -> DataFrame:
     than SHINGLE have one shingle. Repeated rows are in one class, null ids take part.
     """
     own = _digested(docs)
-    buckets = written(_buckets(own), "near-buckets").distinct()
-    led = written(_with_leaders(buckets, "bucket"), "near-led")
-    pairs = led.select("leader", "digest").distinct()
-    needed = pairs.select("digest").union(pairs.select("leader")).distinct()
-    texts = written(_texts_of(own, needed), "near-texts")
-    verified = _verified(pairs, texts, "near-verified")
-    # Rows that their bucket's leader is not like meet in finer buckets, with other leaders.
-    failed = verified.where(F.col("similarity") < SIMILAR).select("leader", "digest")
-    again = _with_leaders(led.join(failed, ["leader", "digest"], "left_semi").select("finer", "digest").distinct(), "finer")
-    more = again.select("leader", "digest").distinct().join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
-    verified = verified.unionByName(_verified(more, texts, "near-verified-2"))
-    with_leaders, most = verified, 16
-    while True:
-        labels = components(_links(verified))
-        border = written(_border_pairs(with_leaders, verified, labels, most), "near-border")
-        found = border.agg(F.max("rank")).first()[0]
-        if found is None:
-            break
-        verified = verified.unionByName(_verified(border.drop("rank"), texts, "near-verified-3"))
-        if found < most:  # nothing was left out
-            labels = components(_links(verified))
-            break
-        most *= 16
+    rows = written(_buckets(own), "near-buckets").distinct()
+    texts = verified = None
+    for level, bucket in enumerate(_LEVELS):
+        led = written(_with_leaders(rows, bucket), f"near-led-{level}")
+        pairs = led.select("leader", "digest").distinct()
+        if texts is None:
+            needed = pairs.select("digest").union(pairs.select("leader")).distinct()
+            texts = written(_texts_of(own, needed), "near-texts")
+            verified = _verified(pairs, texts, "near-verified-0")
+        else:
+            new = pairs.join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
+            verified = verified.unionByName(_verified(new, texts, f"near-verified-{level}"))
+        if level + 1 < LEVELS:  # all members of a bucket meet again if not all are like its leader
+            unlike = verified.where(F.col("similarity") < SIMILAR).select("leader", "digest")
+            unsettled = led.join(unlike, ["leader", "digest"], "left_semi").select(bucket).distinct()
+            rows = led.join(unsettled, bucket, "left_semi").select(*_LEVELS[level + 1 :], "digest").distinct()
+    hubs = _verified(_hub_pairs(verified, components(_links(verified))), texts, "near-verified-hubs")
+    labels = components(_links(verified.unionByName(hubs)))
     label = labels.select(F.col("node").alias("digest"), "label")
     return own.drop("text").join(label, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
 
@@ -306,5 +298,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_own", F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
     kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    first = kept.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_digest").orderBy(F.lit(1)))).where("_n = 1")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    first = kept.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_digest").orderBy(order))).where("_n = 1")
     return first.select(docs.columns)

@@ -16,7 +16,7 @@ PAGES = "page_id long, url string, html string, kind int"
 
 def trap(depth: int) -> str:
     """Text that looks like records, with lengths that lead to other such places."""
-    inner = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n" for n in (0, 7, 40, 900, 10**9))
+    inner = "".join(f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {n}\r\n\r\n{'y' * n}\r\n\r\n" for n in (0, 7, 40, 900)) + "WARC/1.1\r\nContent-Length: 1000000000\r\n\r\n"
     return inner * depth + "WARC/1.1\r\nContent-Length: x\r\n\r\nWARC/1.0"
 
 
