@@ -212,10 +212,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix of ``docs``: their rows, each as often as it is drawn, in their shard's shuffled
     order, one partition or more a shard."""
     sources, drawn = plan(docs, **options)
-    own = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_place", place_of(F.col("doc_id")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # names of its own do not clash
+    own = docs.select(row, "source", size_of(F.col("text")).alias("_size"), place_of(F.col("doc_id")).alias("_place"))
     rows = mixed(own, sources, drawn)
     dealt = rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order")
-    return dealt.select(*docs.columns)
+    return dealt.select("_row.*")
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
