@@ -22,8 +22,15 @@ PIECE_BYTES = 1 << 20
 _U64 = np.uint64
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = "8m"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables. Rows hold long texts here, so the session's Arrow batches are made
+    smaller unless they were set."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -106,8 +106,9 @@ def with_cuts(rows: DataFrame, sources: DataFrame) -> DataFrame:
         found = written(first.select("source", todo.alias("todo"), F.col("at.digit").alias("prefix"), F.col("at.words").alias("words")), f"mix-cut-{step}")
     nearer = F.col("words") - F.col("todo") < F.col("todo")
     ends = found.select(F.col("source").alias("_source"), (F.col("prefix") + nearer.cast("long")).alias("cut"))
-    joined = left.join(ends, left["source"].eqNullSafe(ends["_source"]), "left").drop("_source", "rest")
-    return joined.withColumn("cut", F.coalesce("cut", F.lit(0)))
+    joined = left.join(ends, left["source"].eqNullSafe(ends["_source"]), "left").drop("_source")
+    # Without a rest there is no more copy, of documents without words neither.
+    return joined.withColumn("cut", F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(0))).otherwise(0)).drop("rest")
 
 
 def with_quotas(sources: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -10,8 +10,8 @@ text and retains their order in the text, so it differs between texts with the s
 another order. A band is a pair of sketches. Texts that agree in a band are compared with the
 band's leader, the least text of it by digest; nothing lists all pairs of a band. Where the
 leader is not like all of them, they meet again in finer buckets, of more bands and with other
-leaders. A text that is near but not like a component's texts also meets the one of them with
-the most links.
+leaders. A text that is near but not like another one also meets that one's duplicate with the
+most links.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ SHINGLE, SIMILAR = 5, 0.8
 #: agree in a band with a chance of about 0.8**(LEAST * SKETCHES), so in none with 3e-5.
 BANDS, SKETCHES, LEAST = 20, 2, 2
 #: Bands together in the finest buckets.
-LEVELS = 3
+LEVELS = 2
 #: Members compared with one copy of their leader.
 MEMBERS = 500
 
@@ -138,17 +138,19 @@ def common_in_order(a: np.ndarray, b: np.ndarray, least: float) -> int:
     if not len(a) or not len(b):
         return head + tail
     width = int(total - 2 * need) + 1
-    where: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | (1 << i)
+        where.setdefault(x, []).append(i)
     full = (1 << len(a)) - 1
-    row, band = full, (1 << (2 * width + 1)) - 1
+    row = full
     for j, x in enumerate(b.tolist()):
-        if match := where.get(x):
-            match &= band << (j - width) if j >= width else band >> (width - j)
-            if match:
-                step = row & match
-                row = ((row + step) | (row - step)) & full
+        match = 0
+        for i in where.get(x, ()):
+            if abs(i - j) <= width:  # the band
+                match |= 1 << i
+        if match:
+            step = row & match
+            row = ((row + step) | (row - step)) & full
     return head + tail + len(a) - row.bit_count()
 
 
@@ -219,19 +221,17 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("similarity") >= SIMILAR).select(F.col("leader").alias("a"), F.col("digest").alias("b"))
 
 
-def _hub_pairs(verified: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a text that is near but not like a text of a component, and outside of it, with
-    the component's text with the most links: one pair for each text and component."""
+def _hub_pairs(verified: DataFrame) -> DataFrame:
+    """Pairs of a text that is near but not like another one, with that one's duplicate that has
+    the most links itself: one pair for each near pair and direction."""
     near = verified.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR)).select("leader", "digest")
     near = near.union(near.select(F.col("digest").alias("leader"), F.col("leader").alias("digest")))
     links = _links(verified)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
-    hubs = degree.join(labels, "node").groupBy(F.col("label").alias("component")).agg(F.max(F.struct("n", "node")).alias("best"))
-    inside = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
-    own = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
-    asked = near.join(inside, "leader").select("digest", "component").distinct().join(own, "digest", "left")
-    outside = asked.where(F.coalesce("own", "digest") != F.col("component")).join(hubs, "component")
-    pairs = outside.select(F.least("digest", "best.node").alias("leader"), F.greatest("digest", "best.node").alias("digest")).distinct()
+    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = links.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
+    hubs = links.join(degree, "b").groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("n", "b")).alias("hub"))
+    met = near.join(hubs, "leader").where(F.col("hub.b") != F.col("digest"))
+    pairs = met.select(F.least("digest", "hub.b").alias("leader"), F.greatest("digest", "hub.b").alias("digest")).distinct()
     known = verified.select(F.least("leader", "digest").alias("leader"), F.greatest("leader", "digest").alias("digest"))
     return pairs.join(known, ["leader", "digest"], "left_anti")
 
@@ -274,7 +274,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             unlike = verified.where(F.col("similarity") < SIMILAR).select("leader", "digest")
             unsettled = led.join(unlike, ["leader", "digest"], "left_semi").select(bucket).distinct()
             rows = led.join(unsettled, bucket, "left_semi").select(*_LEVELS[level + 1 :], "digest").distinct()
-    hubs = _verified(_hub_pairs(verified, components(_links(verified))), texts, "near-verified-hubs")
+    hubs = _verified(_hub_pairs(verified), texts, "near-verified-hubs")
     labels = components(_links(verified.unionByName(hubs)))
     label = labels.select(F.col("node").alias("digest"), "label")
     return own.drop("text").join(label, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
