@@ -35,11 +35,12 @@ def write_changes(changes: DataFrame, path: str, fmt: str = "parquet") -> None:
 def decode(messages: DataFrame, column: str = "value") -> DataFrame:
     """Change records from JSON text or bytes, for example the ``value`` of a message queue.
 
-    The JSON has the fields of a change record; the operation may be a one-letter code. A
-    message that is not valid JSON fails the job. Works on streams.
+    The JSON has the fields of a change record; the operation may be a one-letter code. NULL
+    values, which queues keep after a delete, and empty ones carry no change and are left out;
+    a message that is not valid JSON fails the job. Works on streams.
     """
     text = F.col(column).cast("string")
-    parsed = messages.select(F.from_json(text, CHANGE, {"mode": "FAILFAST"}).alias("_c"))
+    parsed = messages.where(F.length(text) > 0).select(F.from_json(text, CHANGE, {"mode": "FAILFAST"}).alias("_c"))
     records = parsed.select("_c.*")
     names = F.create_map(*[F.lit(x) for pair in OP_CODES.items() for x in pair])
     return records.withColumn("op", F.coalesce(F.try_element_at(names, F.col("op")), F.col("op")))

@@ -223,7 +223,8 @@ def test_messages_decode_to_change_records(spark, seed, values):
         (f'{{"seq":2,"op":"update","before":{event},"after":{later}}}',),
     ]
     messages = spark.createDataFrame(rows, "value string").select(F.col("value").cast("binary"))
-    changes = feeds.decode(messages)
+    empty = spark.createDataFrame([(None,), (b"",)], "value binary")
+    changes = feeds.decode(messages.union(empty))
     assert values(changes, "seq", "op") == [(1, "insert"), (2, "update")]
     assert values(views.from_signed(views.signed(changes), views.QUAD)) == [(20200101, 1, 1, 2, -2.5)]
     with pytest.raises(Exception, match="(?i)malformed"):
