@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from retally.llm.common import bytes_of, free_name, text_pieces, word_hashes
 
@@ -152,6 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(chance < share).select(F.col("doc_id").alias("_id"), "label", (1 / share).alias("weight"))
     texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("_id", "text", "label", "weight")
+    # One text of each id, however often its rows are repeated.
+    order = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("text")))
+    texts = texts.withColumn("_n", order).where("_n = 1").drop("_n")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators = Indicators()
