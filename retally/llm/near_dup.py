@@ -7,11 +7,13 @@ a metric (the Steinhaus transform of the insert-and-delete distance).
 
 A sketch takes, under one random order of all occurrence-labelled shingles, the least ones of a
 text and retains their order in the text, so it differs between texts with the same shingles in
-another order. A band is a pair of sketches. Texts that agree in a band are compared with the
-band's leader, the least text of it by digest; nothing lists all pairs of a band. Where the
-leader is not like all of them, they meet again in finer buckets, of more bands and with other
-leaders. A text that is near but not like another one also meets that one's duplicate with the
-most links.
+another order. A band is a pair of sketches. Texts that agree in a band, its bucket, are compared
+with the bucket's leader, the least text of it by digest. Those that are not like it elect
+leaders again, more of them in every round, until each text was like a leader or was one. By
+the triangle inequality, two alike texts of a bucket that were not compared then have a leader
+that one of them is like and the other is near: such texts are compared too, unless links have
+made them one class before. So all alike texts that agree in a band end in one class, and pairs
+are listed only as far as neither links nor distances decide them.
 """
 
 from __future__ import annotations
@@ -31,8 +33,9 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands of SKETCHES sketches with LEAST least shingles each. Texts with a similarity of 0.8
 #: agree in a band with a chance of about 0.8**(LEAST * SKETCHES), so in none with 3e-5.
 BANDS, SKETCHES, LEAST = 20, 2, 2
-#: Bands together in the finest buckets.
-LEVELS = 2
+#: Open texts of a bucket up to which all of them are leaders from the second round on; else the
+#: leaders grow in number so many times with every round, up to the most of one round.
+FEW, MORE, MOST_LEADERS = 16, 4, 64
 #: Members compared with one copy of their leader.
 MEMBERS = 500
 
@@ -82,12 +85,11 @@ def order_sketches(labels: np.ndarray, where: np.ndarray, n: int, least: int = L
     return out
 
 
-_LEVELS = [f"bucket_{k}" for k in range(LEVELS)]
-BUCKETS = ", ".join(f"{name} bigint" for name in _LEVELS) + ", digest binary"
+BUCKETS = "bucket bigint, size int, digest binary"
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """The buckets (of a band, of it and the next one, ...) and ``digest`` of all texts."""
+    """The buckets, number of shingles and ``digest`` of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,20 +102,27 @@ def _buckets(texts: DataFrame) -> DataFrame:
                 bands = np.zeros((len(has), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for k in range(SKETCHES):
                     bands = mix(bands * _U(31) + found[:, k::SKETCHES], 4)
-                levels = [bands]
-                for k in range(1, LEVELS):
-                    levels.append(mix(levels[-1] * _U(31) + np.roll(bands, -k, 1), 6))
+                size = np.repeat(np.diff(where)[has], BANDS)
                 take = pa.array(np.repeat(start + has, BANDS))
-                columns = [pa.array(level.ravel().view(np.int64)) for level in levels]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(take)], names=[*_LEVELS, "digest"])
+                columns = [pa.array(bands.ravel().view(np.int64)), pa.array(size, pa.int32()), batch.column(0).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "size", "digest"])
 
     return texts.select("digest", "text").mapInArrow(run, BUCKETS)
 
 
-def _with_leaders(rows: DataFrame, bucket: str) -> DataFrame:
-    """Rows of buckets with several texts, but for the leader's, with ``leader``."""
-    leaders = rows.groupBy(bucket).agg(F.min("digest").alias("leader"), F.max("digest").alias("_most")).where("leader <> _most")
-    return rows.join(leaders.drop("_most"), bucket).where("leader <> digest")
+def _elected(rows: DataFrame, turn: int) -> DataFrame:
+    """``bucket``, ``leader`` and its ``leader_size`` for buckets with several of ``rows``: one leader
+    each in the first round; later all texts of small buckets, and of larger ones the least
+    text of each of so many parts that texts are dealt to by hash."""
+    leader = F.min(F.struct("digest", "size"))
+    if not turn:
+        found = rows.groupBy("bucket").agg(leader.alias("leader"), F.max("digest").alias("_most")).where("leader.digest <> _most")
+    else:
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("_open")).where("_open > 1")
+        parts = min(MORE**turn, MOST_LEADERS)
+        part = F.when(F.col("_open") <= FEW, F.xxhash64("digest")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "digest"), F.lit(parts)))
+        found = rows.join(sizes, "bucket").groupBy("bucket", part.alias("_part")).agg(leader.alias("leader"))
+    return found.select("bucket", F.col("leader.digest").alias("leader"), F.col("leader.size").alias("leader_size"))
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray, least: float) -> int:
@@ -165,7 +174,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 #: Similarity down to which a text that is not like another one may be like one of its duplicates:
 #: by the triangle inequality twice as far away as these.
-BORDER = 1 - 2 * (1 - SIMILAR)
+BORDER = 1 - 2 * (1 - SIMILAR) - 1e-9
 
 VERIFIED = "leader binary, digest binary, similarity double"
 
@@ -221,19 +230,81 @@ def _links(verified: DataFrame) -> DataFrame:
     return verified.where(F.col("similarity") >= SIMILAR).select(F.col("leader").alias("a"), F.col("digest").alias("b"))
 
 
-def _hub_pairs(verified: DataFrame) -> DataFrame:
-    """Pairs of a text that is near but not like another one, with that one's duplicate that has
-    the most links itself: one pair for each near pair and direction."""
-    near = verified.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR)).select("leader", "digest")
-    near = near.union(near.select(F.col("digest").alias("leader"), F.col("leader").alias("digest")))
-    links = _links(verified)
-    links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = links.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
-    hubs = links.join(degree, "b").groupBy(F.col("a").alias("leader")).agg(F.max(F.struct("n", "b")).alias("hub"))
-    met = near.join(hubs, "leader").where(F.col("hub.b") != F.col("digest"))
-    pairs = met.select(F.least("digest", "hub.b").alias("leader"), F.greatest("digest", "hub.b").alias("digest")).distinct()
-    known = verified.select(F.least("leader", "digest").alias("leader"), F.greatest("leader", "digest").alias("digest"))
-    return pairs.join(known, ["leader", "digest"], "left_anti")
+def _sorted_pair(a: str, b: str) -> list[F.Column]:
+    return [F.least(a, b).alias("leader"), F.greatest(a, b).alias("digest")]
+
+
+def _led_pairs(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The compared pairs of texts with leaders of their buckets (``rows``), with similarities, and
+    the texts that take part. Ends when each row was like a leader of its bucket or was one.
+    Texts of too different lengths cannot be near and are not compared."""
+    texts = verified = None
+    turn = 0
+    while True:
+        leaders = written(_elected(rows, turn), f"near-leaders-{turn}")
+        if turn and leaders.isEmpty():
+            return verified, texts
+        led = written(rows.join(leaders, "bucket").where("leader <> digest"), f"near-led-{turn}")
+        near = F.least("size", "leader_size") >= BORDER * F.greatest("size", "leader_size")
+        pairs = led.where(near).select(*_sorted_pair("leader", "digest")).distinct()
+        if not turn:
+            needed = led.select("digest").union(leaders.select("leader")).distinct()
+            texts = written(_texts_of(docs, needed), "near-texts")
+            verified = _verified(pairs, texts, "near-verified-0")
+        else:
+            new = pairs.join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
+            verified = verified.unionByName(_verified(new, texts, f"near-verified-{turn}"))
+        like = _links(verified).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(1).alias("like"))
+        met = led.join(like, (F.least("leader", "digest") == F.col("_a")) & (F.greatest("leader", "digest") == F.col("_b")), "left")
+        unlike = met.groupBy("bucket", "digest").agg(F.first("size").alias("size"), F.max("like").alias("like")).where("like IS NULL")
+        open_ = unlike.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti")
+        rows = written(open_.select("bucket", "size", "digest"), f"near-open-{turn}")
+        turn += 1
+
+
+def _border_pairs(led: DataFrame, verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Pairs to compare next, from the comparisons with leaders (``led``): a text that was near but
+    not like a leader of another component, with duplicates of that leader as far from it as can
+    still be like the text. For each text and component the ``most`` duplicates that most leaders
+    lead to; the others follow in later rounds while the text stays outside the component.
+    ``verified`` are all pairs compared so far."""
+    border = led.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
+    border = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
+    own = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
+    # A leader without links has no duplicates; the leader of a link is in its duplicate's component.
+    groups = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
+    apart = border.join(groups, "leader").join(own, "digest", "left").where(F.coalesce("own", "digest") != F.col("component")).drop("own")
+    links = led.where(F.col("similarity") >= SIMILAR)
+    near = links.select("leader", F.col("digest").alias("other"), F.col("similarity").alias("like"))
+    near = near.union(near.select(F.col("other").alias("leader"), F.col("leader").alias("other"), "like"))
+    met = apart.join(near, "leader").where(F.col("like") - (1 - SIMILAR) <= F.col("similarity") + 1e-9)
+    pairs = met.groupBy("digest", "other", "component").agg(F.count("*").alias("ways"))
+    known = verified.select("leader", "digest").union(verified.select("digest", "leader")).withColumnRenamed("leader", "other")
+    new = pairs.join(known, ["digest", "other"], "left_anti")
+    order = W.partitionBy("digest", "component").orderBy(F.desc("ways"), "other")
+    ranked = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most + 1)
+    return ranked.select(*_sorted_pair("other", "digest"), "rank").groupBy("leader", "digest").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
+
+
+def _all_labels(led: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components of all links: of those with leaders, and of border pairs in rounds that end when
+    none was left out."""
+    labels = written(components(_links(led)), "near-labels")
+    verified, most = led, 1
+    while True:
+        border = written(_border_pairs(led, verified, labels, most), "near-border")
+        last = border.agg(F.max("last")).first()[0]
+        if last is None:
+            return labels
+        new = _verified(border.where(F.col("rank") <= most).select("leader", "digest"), texts, "near-verified-border")
+        verified = verified.unionByName(new)
+        links = _links(new)
+        if not links.isEmpty():
+            links = links.union(labels.where("node <> label").select("node", "label"))
+            labels = written(components(links), "near-labels")
+        if last <= most:  # nothing was left out
+            return labels
+        most *= 16
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -258,24 +329,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     than SHINGLE have one shingle. Repeated rows are in one class, null ids take part.
     """
     own = _digested(docs)
-    rows = written(_buckets(own), "near-buckets").distinct()
-    texts = verified = None
-    for level, bucket in enumerate(_LEVELS):
-        led = written(_with_leaders(rows, bucket), f"near-led-{level}")
-        pairs = led.select("leader", "digest").distinct()
-        if texts is None:
-            needed = pairs.select("digest").union(pairs.select("leader")).distinct()
-            texts = written(_texts_of(own, needed), "near-texts")
-            verified = _verified(pairs, texts, "near-verified-0")
-        else:
-            new = pairs.join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
-            verified = verified.unionByName(_verified(new, texts, f"near-verified-{level}"))
-        if level + 1 < LEVELS:  # all members of a bucket meet again if not all are like its leader
-            unlike = verified.where(F.col("similarity") < SIMILAR).select("leader", "digest")
-            unsettled = led.join(unlike, ["leader", "digest"], "left_semi").select(bucket).distinct()
-            rows = led.join(unsettled, bucket, "left_semi").select(*_LEVELS[level + 1 :], "digest").distinct()
-    hubs = _verified(_hub_pairs(verified), texts, "near-verified-hubs")
-    labels = components(_links(verified.unionByName(hubs)))
+    led, texts = _led_pairs(written(_buckets(own), "near-buckets").distinct(), own)
+    labels = _all_labels(led, texts)
     label = labels.select(F.col("node").alias("digest"), "label")
     return own.drop("text").join(label, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
 

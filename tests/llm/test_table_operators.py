@@ -235,3 +235,51 @@ def test_a_family_linked_only_through_its_base(spark):
     rows = [(i, variant(i)) for i in range(1, 40)] + [(50, " ".join(base))]
     found = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in found} == {1}
+
+
+def families(seed: int) -> list[str]:
+    """Texts on templates: members of families fill one in differently, far from one another or
+    near, and pairs of members are alike; chains drift away from their first text."""
+    r = random.Random(seed)
+    out = []
+    for share in (0.5, 0.7, 0.8):
+        base = [f"w{r.randint(0, 10**9)}" for _ in range(240)]
+        own = int(len(base) * (1 - share) / 2)
+        for _ in range(14):
+            text, at = list(base), r.randrange(len(base) - own)
+            text[at : at + own] = [f"v{r.randint(0, 10**9)}" for _ in range(own)]
+            for _ in range(r.choice((1, 1, 2, 3))):
+                out.append(" ".join(text))
+                for j in r.sample(range(len(base)), r.choice((1, 2, 4))):
+                    text[j] = f"x{r.randint(0, 10**9)}"
+    return out
+
+
+def test_families_on_templates_against_all_pairs(spark, monkeypatch):
+    """No pair of texts that agree in a band is lost. One band that all members of a template share
+    makes each template one bucket, and rounds have few leaders."""
+    import pyarrow as pa
+
+    from retally.llm.common import shingle_hashes, word_hashes
+
+    texts = families(12)
+    hashes, where = shingle_hashes(*word_hashes(pa.array(texts), plain=True), near_dup.SHINGLE)
+    runs = [hashes[a:b] for a, b in zip(where[:-1], where[1:])]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dup.similarity(runs[i], runs[j], near_dup.BORDER) >= near_dup.SIMILAR:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    monkeypatch.setattr(near_dup, "FEW", 2)
+    monkeypatch.setattr(near_dup, "MOST_LEADERS", 4)
+    own = near_dup._digested(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    monkeypatch.setattr(near_dup, "_buckets", lambda docs: docs.select(F.lit(7).cast("long").alias("bucket"), (F.size(F.split("text", " ")) - 4).alias("size"), "digest"))
+    found = near_dup.classes(own.select("doc_id", "text")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {i: root(i) for i in range(len(texts))}
