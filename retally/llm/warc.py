@@ -27,9 +27,9 @@ from retally.session import shared_folder
 #: Size at which a task begins another file, and size of the blocks that readers look through.
 FILE_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
-#: Longest header that is looked for; a candidate with a longer one is none.
+#: Bytes read at first for a header; where it does not end in them, more are read.
 HEADER_BYTES = 64 << 10
-MAGIC = b"WARC/1."
+MAGIC, END = b"WARC/1.", b"\r\n\r\n"
 #: Bodies of at least so many bytes are written once, their repetitions as revisits.
 REVISIT_BYTES = 0
 # Fixed value: profile of a revisit with the same payload.
@@ -135,6 +135,11 @@ class _File:
         self.file.seek(start)
         return self.file.read(max(0, stop - start))
 
+    def read_on(self, start: int, data: bytes) -> bytes:
+        """``data``, which was read from ``start``, with as much again as it has, or with nothing
+        more at the file's end."""
+        return data + self.read(start + len(data), start + 2 * len(data) + HEADER_BYTES)
+
     def close(self) -> None:
         self.file.close()
 
@@ -144,7 +149,7 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int, int] | None
     if what stands there is no header."""
     if data[at : at + len(MAGIC)] != MAGIC:
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    end = data.find(END, at)
     if end < 0:
         return None
     version, *lines = data[at:end].split(b"\r\n")
@@ -178,30 +183,78 @@ def _dealt(manifest: DataFrame, blocks: DataFrame, block: int, *by: str) -> Data
 
 
 def candidates(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
-    """Every place that looks like a record: ``path``, ``at``, ``successor``, and ``leaves``, the
-    first place behind its block that the chain from here comes to; null if the chain breaks
-    off inside the block."""
+    """Every place that looks like a record: ``path``, ``at``, ``successor``, ``leaves``, the first
+    place behind its block that the chain from here comes to (null if the chain breaks off
+    inside the block), and ``steps``, the records of the chain inside the block. Headers may
+    end behind the block, however far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 file = _File(path)
                 data = file.read(start, stop + HEADER_BYTES)
-                file.close()
-                next_of, at = {}, data.find(MAGIC)
+                next_of, at, header = {}, data.find(MAGIC), _Headers()
                 while 0 <= at < stop - start:
-                    if found := parse_header(data, at):
-                        next_of[start + at] = start + found[1] + found[2] + 4
+                    if _VERSION.match(data, at):
+                        while data.find(END, max(at, header.end)) < 0 and header.end <= at:
+                            more = file.read_on(start, data)
+                            if len(more) == len(data):
+                                break
+                            data = more
+                        if found := header.at(data, at):
+                            next_of[start + at] = start + found[0] + found[1] + 4
                     at = data.find(MAGIC, at + 1)
-                leaves = {}
+                file.close()
+                leaves, steps = {}, {}
                 for place in reversed(next_of):
                     after = next_of[place]
                     leaves[place] = after if after >= stop else leaves.get(after)
+                    steps[place] = 1 + steps.get(after, 0)
                 if next_of:
-                    columns = [pa.array([path] * len(next_of)), pa.array(list(next_of)), pa.array(list(next_of.values())), pa.array([leaves[p] for p in next_of], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["path", "at", "successor", "leaves"])
-
-    return _dealt(manifest, _blocks(manifest, block), block, "path", "start").mapInArrow(run, "path string, at bigint, successor bigint, leaves bigint")
+                    columns = [pa.array([path] * len(next_of)), pa.array(list(next_of)), pa.array(list(next_of.values()))]
+                    columns += [pa.array([x[p] for p in next_of], pa.int64()) for x in (leaves, steps)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["path", "at", "successor", "leaves", "steps"])
+
+    return _dealt(manifest, _blocks(manifest, block), block, "path", "start").mapInArrow(run, "path string, at bigint, successor bigint, leaves bigint, steps bigint")
+
+
+_VERSION, _LENGTH = re.compile(rb"WARC/1\.\d\r\n"), re.compile(rb"\s*content-length\s*:\s*(.*?)\s*", re.IGNORECASE | re.DOTALL)
+
+
+class _Headers:
+    """What ``parse_header`` says of places in one block's data, in order. Places before the same
+    header's end share its lines, each of which is looked at once, so many places before a
+    distant end cost no more than few."""
+
+    def __init__(self):
+        self.end = self.seen = 0  # places before the end, down to where its lines were seen
+        self.lines: list[tuple[int, bytes]] = []  # lengths, the last line first
+        self.bad = 0  # start of the last line without a colon
+
+    def at(self, data: bytes, at: int) -> tuple[int, int] | None:
+        """Where the block of a record at ``at`` starts, and its length."""
+        if at >= self.end:
+            self.end = data.find(END, at)
+            if self.end < 0:
+                self.end = 0
+                return None
+            self.lines, self.bad, stop = [], -1, self.end
+            while stop > at:
+                start = data.rfind(b"\r\n", at, stop) + 2
+                if start < 2:
+                    break
+                line = data[start:stop]
+                if b":" not in line:
+                    self.bad = start
+                    break
+                if found := _LENGTH.fullmatch(line):
+                    self.lines.append((start, found[1]))
+                stop = start - 2
+        first = data.find(b"\r\n", at) + 2
+        if first <= self.bad or first > self.end or not self.lines or self.lines[0][0] < first:
+            return None
+        length = self.lines[0][1]
+        return (self.end + 4, int(length)) if re.fullmatch(rb"\d{1,18}", length) else None
 
 
 def entries(found: DataFrame, most_blocks: int) -> DataFrame:
@@ -230,11 +283,18 @@ def read(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """All records of archives: ``path``, ``at``, ``kind``, ``record_id``, ``headers``, ``content``.
 
     ``manifest`` has ``path`` and ``n_bytes``; paths are URIs or plain paths every executor
-    reaches. A chain that breaks off (a damaged file) ends there.
+    reaches. A chain that breaks off (a damaged file) ends there; with ``n_records`` in the
+    manifest, a file with another number of records fails.
     """
+    strict = "n_records" in manifest.columns
     most = manifest.agg(F.max("n_bytes")).first()[0] or 0
     found = written(candidates(manifest, block), "warc-candidates")
     reached = entries(found, math.ceil(most / block))
+    if strict:
+        counted = reached.join(found, ["path", "at"]).groupBy("path").agg(F.sum("steps").alias("n"))
+        wrong = manifest.join(counted, "path", "left").where(F.coalesce("n", F.lit(0)) != F.col("n_records")).first()
+        if wrong:
+            raise ValueError(f"{wrong['path']} has {wrong['n'] or 0} records that can be read, not {wrong['n_records']}")
     starts = reached.withColumn("start", F.floor(F.col("at") / block) * block)
     dealt = _blocks(manifest, block).join(starts, ["path", "start"]).select("path", "at", "stop")
 
@@ -244,8 +304,12 @@ def read(manifest: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
                 file, rows, size = _File(path), [], 0
                 while at < stop:
                     head = file.read(at, at + HEADER_BYTES)
+                    while _VERSION.match(head) and END not in head and len(more := file.read_on(at, head)) > len(head):
+                        head = more
                     parsed = parse_header(head, 0)
                     if parsed is None:
+                        if strict:
+                            raise ValueError(f"no record at {at} of {path}")
                         break
                     fields, begins, length = parsed
                     content = head[begins : begins + length] if begins + length <= len(head) else file.read(at + begins, at + begins + length)

@@ -53,6 +53,17 @@ def test_a_damaged_file_is_read_up_to_the_damage(spark, folder):
     assert warc.read(manifest, 128).where("kind <> 'warcinfo'").count() == 4
 
 
+@pytest.mark.parametrize("block", [1000, 1 << 20])
+def test_a_very_long_url_and_a_wrong_count(spark, folder, block):
+    urls = ["u", "v" * 200_000, " " * 70_000, "w", trap(3)]
+    pages = spark.createDataFrame([(i, u, f"p{i}", 1) for i, u in enumerate(urls)], PAGES).coalesce(1)
+    manifest = warc.write(pages, f"file://{folder}/warc-long")
+    got = warc.read(manifest, block).where("kind <> 'warcinfo'").collect()
+    assert sorted((r["record_id"], len(r["headers"]["warc-target-uri"])) for r in got) == [(f"<urn:x-page:{i}>", len(warc._line(u))) for i, u in enumerate(urls)]
+    with pytest.raises(ValueError, match="records"):
+        warc.read(manifest.withColumn("n_records", F.col("n_records") + 1), block)
+
+
 def test_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
 
