@@ -72,26 +72,27 @@ MOST_CONTEXTS = 20_000
 #: Contexts that a task sorts at a time, of as many grams as it takes.
 SORT_ROWS = 4_000
 
-# Place of an anchor in one number: a hash of the text, first start, bytes from there to the
-# anchor, bytes from the first start to the last.
-_TAG_BITS, _LOW_BITS = 18, 31
+# Place of an anchor in its text in one number: first start, bytes from there to the anchor, bytes
+# from the first start to the last.
+_LOW_BITS = 31
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``tag`` (tells texts of one id apart) and ``text`` of all documents."""
+    """``doc_id``, ``tag`` (64 bits of hash, which tell texts of one id apart) and ``text`` of all
+    documents."""
     return docs.select("doc_id", _tag(F.col("text")).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _tag(text: F.Column) -> F.Column:
-    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(1 << _TAG_BITS)).cast("long")
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _pack(tag: np.ndarray, low: np.ndarray, off: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return (tag << (_LOW_BITS + 14)) | (low << 14) | (off << 7) | span
+def _pack(low: np.ndarray, off: np.ndarray, span: np.ndarray) -> np.ndarray:
+    return (low << 14) | (off << 7) | span
 
 
 def _unpack(packed: np.ndarray) -> tuple[np.ndarray, ...]:
-    return packed >> (_LOW_BITS + 14), (packed >> 14) & ((1 << _LOW_BITS) - 1), (packed >> 7) & 127, packed & 127
+    return packed >> 14, (packed >> 7) & 127, packed & 127
 
 
 def _third_or_later(key: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -104,9 +105,12 @@ def _third_or_later(key: np.ndarray, context: np.ndarray) -> np.ndarray:
     return out
 
 
+PLACES = "key bigint, context bigint, doc_id bigint, tag bigint, place bigint"
+
+
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """``key``, ``context``, ``doc_id``, ``place`` of every anchor, and whether it is ``sure`` to be
-    equal to others of its task."""
+    """``key``, ``context``, ``doc_id``, ``tag``, ``place`` of every anchor, and whether it is ``sure``
+    to be equal to others of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +120,14 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 found = anchors(data, offsets)
                 text = found["text"]
                 low = found["low"] - offsets[text]
-                place = _pack(tags[start + text], low, found["at"] - found["low"], found["high"] - found["low"])
+                place = _pack(low, found["at"] - found["low"], found["high"] - found["low"])
                 made.append((found["key"].view(np.int64), found["context"].view(np.int64), start + text, place))
             key, context, row, place = (np.concatenate(x) for x in zip(*made))
-            columns = [pa.array(key), pa.array(context), batch.column(0).take(pa.array(row)), pa.array(place), pa.array(_third_or_later(key, context))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "place", "sure"])
+            columns = [pa.array(key), pa.array(context), batch.column(0).take(pa.array(row)), pa.array(tags[row]), pa.array(place), pa.array(_third_or_later(key, context))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "tag", "place", "sure"])
 
     chosen = docs.where(f"octet_length(text) >= {LENGTH}")
-    return chosen.mapInArrow(run, "key bigint, context bigint, doc_id bigint, place bigint, sure boolean")
+    return chosen.mapInArrow(run, f"{PLACES}, sure boolean")
 
 
 class _Meeting:
@@ -201,7 +205,7 @@ CONTEXTS = "key bigint, context bigint, doc_id bigint, tag bigint, low bigint, o
 def _contexts(docs: DataFrame, different: DataFrame) -> DataFrame:
     """The bytes of different contexts, from their documents."""
     place = F.struct("key", "context", "place")
-    listed = different.groupBy("doc_id", F.shiftright("place", _LOW_BITS + 14).alias("tag")).agg(F.collect_list(place).alias("places"))
+    listed = different.groupBy("doc_id", "tag").agg(F.collect_list(place).alias("places"))
     mine = listed.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "places")
     unique = docs.join(mine, docs["doc_id"].eqNullSafe(mine["_doc"]) & (docs["tag"] == mine["_tag"])).select("doc_id", "tag", "text", "places")
 
@@ -212,7 +216,7 @@ def _contexts(docs: DataFrame, different: DataFrame) -> DataFrame:
                 lists = batch.column(3).slice(at, len(piece))
                 of = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
-                _, low, off, span = _unpack(flat.field(2).to_numpy())
+                low, off, span = _unpack(flat.field(2).to_numpy())
                 raw, begin = data.tobytes(), (offsets[of] + low).tolist()
                 cut = [raw[a : a + LENGTH + s] for a, s in zip(begin, span.tolist())]
                 take = pa.array(at + of)
@@ -399,15 +403,15 @@ def _sorted_strings(contexts: DataFrame) -> DataFrame:
 
 def _spans_of(places: DataFrame) -> DataFrame:
     """``doc_id``, ``tag``, ``start``, ``stop`` of contexts that are covered whole."""
-    low = F.shiftright("place", 14).bitwiseAND((1 << _LOW_BITS) - 1)
+    low = F.shiftright("place", 14)
     stop = low + F.col("place").bitwiseAND(127) + LENGTH
-    return places.select("doc_id", F.shiftright("place", _LOW_BITS + 14).alias("tag"), low.alias("start"), stop.alias("stop"))
+    return places.select("doc_id", "tag", low.alias("start"), stop.alias("stop"))
 
 
 def repeated_spans(docs: DataFrame, most: int = MOST_CONTEXTS) -> DataFrame:
     """``doc_id``, ``tag``, ``start``, ``stop``: parts of documents (of ``_identified``) that are
     covered by strings that start elsewhere too; parts overlap."""
-    met = written(_meet(_anchor_rows(docs), "key bigint, context bigint, doc_id bigint, place bigint"), "repeats-met")
+    met = written(_meet(_anchor_rows(docs), PLACES), "repeats-met")
     spans = _spans_of(met.where("kind = 0"))
     contexts = written(_contexts(docs, met.where("kind = 1")), "repeats-contexts")
     step = 0

@@ -61,6 +61,17 @@ def test_repeated_rows_null_ids_and_one_id_for_two_texts(spark):
     assert gone == [("1", 400, 400, 1), ("1", 400, 400, 1), ("2", 90, 0, 0), ("2", 400, 0, 0), ("None", 150, 0, 0), ("None", 250, 250, 1)]
 
 
+def test_many_texts_under_a_null_id(spark):
+    """5,000 different texts of one id: what one of them repeats is not cut from another."""
+    r = random.Random(6)
+    prose = lambda n: "".join(r.choices("abcdefghij", k=n))
+    passages = [prose(230) for _ in range(40)]
+    rows = [prose(r.randint(120, 260)) + (r.choice(passages) if i % 2 else prose(230)) + prose(40) for i in range(5000)]
+    found = suffix_dedup.dedup(spark.createDataFrame([(None, t) for t in rows], "doc_id long, text string").repartition(4)).collect()
+    got = {x["text"]: ([tuple(s) for s in x["spans"]], bytes(x["kept"])) for x in found}
+    assert len(found) == len(rows) and got == dict(zip(rows, brute(rows)))
+
+
 def test_empty_table(spark):
     assert suffix_dedup.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
