@@ -5,7 +5,8 @@ product is then the smallest distance. Centres of lists are fitted to a bounded
 penalty on size. Every vector is put into the list of its nearest centre and, near a boundary,
 into others too. A query finds near centres through a graph that each task holds in memory,
 keeps those whose distance is within a ratio of the nearest one's, and is compared exactly with
-the vectors of their lists.
+the vectors of their lists. The ratio is chosen by recall: a bounded number of queries is compared
+with all vectors, and the ratio grows until they find enough of their nearest ones.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import Window as W
 
 from retally.llm.common import written
 
-#: Vectors the centres are fitted to, at about so many chosen by hash.
-SAMPLE = 20_000
+#: Vectors the centres are fitted to, at about so many chosen by hash: at least, and for each list.
+SAMPLE, SAMPLE_OF_LIST = 20_000, 20
 #: Vectors in a list, as far as the number of lists allows, and most lists (the size of what
 #: each task holds). Longer lists are dealt to several blocks of BLOCK vectors.
 LIST = 200
@@ -29,9 +30,12 @@ MOST_LISTS = 4096
 BLOCK = 4000
 #: A vector is in every list (at most REPLICAS) whose centre is within this ratio of its nearest.
 REPLICAS, REPLICA_RATIO = 2, 1.02
-#: A query looks into the lists whose centre is within this ratio of its nearest, and into the
-#: nearest few whatever the ratio.
+#: A query looks into the lists whose centre is within a ratio of its nearest, at least this one,
+#: and into the nearest few whatever the ratio.
 PROBE_RATIO, LEAST_PROBES = 1.18, 8
+#: Recall that the ratio is widened to, by so many steps, on so many queries compared with all
+#: vectors. Promised is 0.9; the margin covers what other queries may differ by.
+RECALL, WIDER, MEASURED = 0.95, 1.03, 200
 #: Neighbours of a centre in the graph, and nearest centres that are expanded at any distance.
 DEGREE, LEAST_QUEUE = 24, 16
 
@@ -140,14 +144,39 @@ def lists_of(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.n
     return rows, near[rows, which]
 
 
-def probes_of(queries: np.ndarray, graph: CentreGraph) -> tuple[np.ndarray, np.ndarray]:
+def probes_of(queries: np.ndarray, graph: CentreGraph, ratio: float = PROBE_RATIO) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists each query looks into."""
-    far = graph.search(queries, PROBE_RATIO)
+    far = graph.search(queries, ratio)
     nearest = np.sort(far, 1)[:, : LEAST_PROBES]
-    limit = np.maximum(nearest[:, 0] * PROBE_RATIO**2, nearest[:, -1])
+    limit = np.maximum(nearest[:, 0] * ratio**2, nearest[:, -1])
     return np.nonzero((far <= limit[:, None]) & np.isfinite(far))
 
 
+def recall_of(queries: np.ndarray, near: list[np.ndarray], graph: CentreGraph, norm: float, ratio: float) -> float:
+    """Share of the nearest vectors (``near``, for each query) that are in a list it looks into."""
+    row, where = probes_of(aimed(queries, norm), graph, ratio)
+    looks = np.zeros((len(queries), len(graph.centres)), bool)
+    looks[row, where] = True
+    of = np.repeat(np.arange(len(near)), [len(x) for x in near])
+    if not len(of):
+        return 1.0
+    vector, where = lists_of(lifted(np.concatenate(near), norm), graph.centres)
+    found = np.zeros(len(of), bool)
+    np.logical_or.at(found, vector, looks[of[vector], where])
+    return float(found.mean())
+
+
+def wide_enough(queries: np.ndarray, near: list[np.ndarray], centres: np.ndarray, norm: float) -> float:
+    """The least ratio from PROBE_RATIO on, in steps, with a recall of RECALL for ``queries``; at
+    worst the one that leads to all lists."""
+    graph, ratio = CentreGraph(centres), PROBE_RATIO
+    while recall_of(queries, near, graph, norm, ratio) < RECALL:
+        ratio *= WIDER
+        if ratio > 1e3:
+            return float("inf")
+    return ratio
+
+
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """``id`` and ``vector`` of the rows that take part, each once.
 
@@ -181,8 +210,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def fit_index(vectors: DataFrame, norm: float, n_lists: int, n_vectors: int) -> np.ndarray:
-    """Centres of the lists, fitted in one task to about SAMPLE vectors chosen by hash."""
-    share = min(1.0, SAMPLE / max(n_vectors, 1))
+    """Centres of the lists, fitted in one task to about SAMPLE vectors chosen by hash, more for
+    many lists (SAMPLE_OF_LIST each, and MOST_LISTS at most)."""
+    share = min(1.0, max(SAMPLE, SAMPLE_OF_LIST * n_lists) / max(n_vectors, 1))
     chance = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
     sample = vectors.where(chance < share).select("vector")
 
@@ -202,6 +232,50 @@ def fit_index(vectors: DataFrame, norm: float, n_lists: int, n_vectors: int) ->
     return np.frombuffer(bytes(found[0][0]), np.float64).reshape(-1, width)
 
 
+def exact_neighbours(vectors: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k vectors with the largest inner products for each of a few queries, by comparison with
+    all ``vectors``, but for the query's own. Each task gives k for each query."""
+    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        m, width = asked.shape
+        best, held = np.full((m, k), -np.inf), np.zeros((m, k, width))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = _matrix(batch.column(0).slice(at, 4096))
+                scores = asked @ part.T
+                top = np.argpartition(-scores, min(k, len(part) - 1), 1)[:, : k + 1]
+                own = (part[top] == asked[:, None, :]).all(2)
+                some = np.where(own, -np.inf, np.take_along_axis(scores, top, 1))
+                both, rows = np.concatenate([best, some], 1), np.concatenate([held, part[top]], 1)
+                keep = np.argsort(-both, 1, kind="stable")[:, :k]
+                best, held = np.take_along_axis(both, keep, 1), np.take_along_axis(rows, keep[:, :, None], 1)
+        q, j = np.nonzero(np.isfinite(best))
+        if len(q):
+            columns = [pa.array(q, pa.int32()), pa.array(best[q, j]), pa.array([x.tobytes() for x in held[q, j]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["query", "score", "vector"])
+
+    found = vectors.select("vector").mapInArrow(run, "query int, score double, vector binary")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vector"))
+    near: list[list[bytes]] = [[] for _ in queries]
+    for r in found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "vector").collect():  # MEASURED * k rows
+        near[r["query"]].append(bytes(r["vector"]))
+    return [np.frombuffer(b"".join(x), np.float64).reshape(-1, queries.shape[1]) for x in near]
+
+
+def measured_ratio(vectors: DataFrame, asked: DataFrame, centres: np.ndarray, norm: float, k: int) -> float:
+    """The ratio with which at most MEASURED of ``asked`` (``query``, ``vector``), chosen by hash, find
+    enough of their k nearest among all ``vectors``."""
+    if len(centres) <= LEAST_PROBES:
+        return PROBE_RATIO
+    chosen = asked.select("query", "vector").orderBy(F.xxhash64("query"), "vector").limit(MEASURED).collect()
+    if not chosen:
+        return PROBE_RATIO
+    queries = np.array([r["vector"] for r in chosen], np.float64)
+    return wide_enough(queries, exact_neighbours(vectors, queries, k), centres, norm)
+
+
 POSTINGS = "list int, ids array<bigint>, vector binary"
 
 
@@ -222,6 +296,10 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int) ->
     n_lists = max(1, min(MOST_LISTS, n // LIST))
     centres = fit_index(vectors, norm, n_lists, n)
     shared = spark.sparkContext.broadcast(centres)  # at most MOST_LISTS rows
+    # Queries with equal vectors are one; 64 bits of hash tell different vectors apart.
+    asked = rows.where(is_query).select("id", "vector", F.xxhash64("vector").alias("query"))
+    different = asked.groupBy("query", "vector").agg(F.count("*").alias("n")).select("query", "vector")
+    ratio = measured_ratio(vectors, different, centres, norm, k)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +336,7 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int) ->
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 matrix = _matrix(part.column(1))
-                row, where = probes_of(aimed(matrix, norm), graph)
+                row, where = probes_of(aimed(matrix, norm), graph, ratio)
                 times = dealt.value[where]
                 row, where = np.repeat(row, times), np.repeat(where, times)
                 block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -276,9 +354,6 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: F.Column, k: int) ->
                 )
 
     sides = "list int, block int, kind tinyint, query bigint, ids array<bigint>, vector binary"
-    # Queries with equal vectors are one; 64 bits of hash tell different vectors apart.
-    asked = rows.where(is_query).select("id", "vector", F.xxhash64("vector").alias("query"))
-    different = asked.groupBy("query", "vector").agg(F.count("*").alias("n")).select("query", "vector")
     both = postings.mapInArrow(block_of, sides).unionByName(different.mapInArrow(probe, sides))
     met = both.repartition("list", "block").sortWithinPartitions("list", "block", "kind")
     found = met.mapInArrow(lambda b: _meet(b, k + 1), "query bigint, ids binary, scores binary")

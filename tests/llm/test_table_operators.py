@@ -119,6 +119,25 @@ def test_graph_search_finds_the_nearest_centres():
     assert np.allclose(far[np.isfinite(far)], exact[np.isfinite(far)])
 
 
+def test_recall_does_not_shrink_with_the_number_of_lists(spark):
+    """With many lists of vectors without structure, the least ratio finds too few; the measured one
+    finds enough, for other queries than those it was measured on too."""
+    draw = np.random.default_rng(3)
+    matrix = draw.normal(size=(12_000, 64))
+    matrix /= np.sqrt((matrix * matrix).sum(1))[:, None]
+    norm = 1.0
+    centres = ann.fit_centres(ann.lifted(matrix, norm), 1200, rounds=4)
+    graph = ann.CentreGraph(centres)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "query long, vector array<double>").repartition(3)
+    exact = lambda part: [matrix[[j for j in np.argsort(-(matrix @ q), kind="stable")[:21] if (matrix[j] != q).any()][:20]] for q in part]
+    near = ann.exact_neighbours(frame, matrix[:40], 20)
+    assert all(sorted(map(tuple, a)) == sorted(map(tuple, b)) for a, b in zip(near, exact(matrix[:40])))
+    others = matrix[500:600]
+    assert ann.recall_of(others, exact(others), graph, norm, ann.PROBE_RATIO) < 0.9
+    ratio = ann.measured_ratio(frame, frame, centres, norm, 20)
+    assert ann.recall_of(others, exact(others), graph, norm, ratio) >= 0.9
+
+
 def test_hypergeometric_draws(spark):
     for total, kind, drawn in ((10, 4, 5), (40, 39, 20), (7, 0, 3), (6, 6, 2), (1000, 300, 500), (0, 0, 0)):
         sql = mixing._hypergeometric("n", "k", "d", "chance")
