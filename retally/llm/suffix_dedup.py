@@ -11,7 +11,8 @@ row; the bytes that all of them span are its context.
    mergesorts whose comparisons find the common extension by binary search over prefix
    hashes: eight steps for any two suffixes. Neighbours in sorted order with common extensions
    of l bytes before and r bytes after their anchors share a string if l + r reaches LENGTH.
-   What hashes call equal is compared byte by byte.
+   What these hashes call equal is compared byte by byte. Equal contexts of step 1, which are
+   most repeats, are not: they are equal if their 64-bit hashes are.
 """
 
 from __future__ import annotations
