@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, suffix_dedup, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -54,6 +54,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digests(table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.digests(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
@@ -65,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op2_chat": chat.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_conversation_repair": repair.ORACLE,
 }
