@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc
+from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc, whitening
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -58,6 +58,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.digests(table(spark, folder, "conversations"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components_of(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_whitening": op12_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
