@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retally.llm import ann, byte_bpe, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc, whitening
+from retally.llm import ann, byte_bpe, cap_links, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc, whitening
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
@@ -62,6 +62,10 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.components_of(table(spark, folder, "embeddings"))
 
 
+def op13_cap_links(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_links.link_counts(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_whitening": op12_whitening,
+    "op13_cap_links": op13_cap_links,
 }
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
@@ -82,4 +87,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_conversation_repair": repair.ORACLE,
+    "op13_cap_links": cap_links.ORACLE,
 }
