@@ -1,14 +1,16 @@
 """SQL over the given tables that gives the result of each registered query.
 
-Averages are written as exact decimal sums over counts, so that they do not depend on the
-order of addition.
+Averages are written as exact sums over counts, so that they do not depend on the order of
+addition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from .queries import AS_OF, COPIES, END, SAMPLE, SAMPLE_SHIFT, SEED, START
+from .queries import AS_OF, COPIES, END, FIRST_COMMIT, SAMPLE, SAMPLE_SHIFT, SEED, START
+
+FIRST_COMMIT_S = int(FIRST_COMMIT.timestamp())
 
 EVENT_LOG = """
 SELECT event_id AS globaleventid,
@@ -67,12 +69,20 @@ TABLES = {
 }
 
 RANGE = f"event_date BETWEEN {START} AND {END}"
-ROW_MEAN = (
-    "CAST(sum(CAST(goldstein AS DECIMAL(18,4))) AS DOUBLE) / nullif(count(goldstein), 0)"
-)
-MEAN_OF_MEANS = (
-    "CAST(sum(CAST(avg_goldstein AS DECIMAL(28,12))) AS DOUBLE) / nullif(count(avg_goldstein), 0)"
-)
+
+
+def _nearest(column: str) -> str:
+    """The double nearest to the exact sum of a column of doubles: the sum in units of 2^-100, then
+    its 62 leading bits, with a last one that says whether anything follows, are rounded once."""
+    total = f"sum(CAST({column} * pow(2, 100) AS HUGEINT))"
+    cut = f"greatest(length(bin(abs({total}))) - 62, 0)"
+    unit = f"CAST(pow(2, {cut}) AS HUGEINT)"
+    lead = f"CAST(abs({total}) // {unit} AS BIGINT) | CASE WHEN abs({total}) % {unit} = 0 THEN 0 ELSE 1 END"
+    return f"(sign({total}) * CAST({lead} AS DOUBLE) * pow(2, {cut} - 100))"
+
+
+ROW_MEAN = f"{_nearest('goldstein')} / nullif(count(goldstein), 0)"
+MEAN_OF_MEANS = f"{_nearest('avg_goldstein')} / nullif(count(avg_goldstein), 0)"
 CONFLICT = "CAST(sum(CASE WHEN quad_class IN (3, 4) THEN total_events ELSE 0 END) AS BIGINT)"
 TOTAL = "CAST(sum(total_events) AS BIGINT) AS total_events"
 DAY = "CAST(strptime(CAST(event_date AS VARCHAR), '%Y%m%d') AS DATE)"
@@ -212,6 +222,17 @@ def _touched_counts() -> str:
     return f"{TOUCHED} {' UNION ALL '.join(parts)}"
 
 
+def _timed_view(name: str) -> str:
+    """A view after all changes, with the time of the last batch that touched each group."""
+    keys = KEYS[name]
+    last = f"SELECT {keys}, max(batch_id) AS batch_id FROM touched GROUP BY {keys}"
+    return (
+        f"{TOUCHED}, last AS ({last}), changed AS ({_view(AFTER_ALL, name)})"
+        f" SELECT changed.*, CAST({FIRST_COMMIT_S} + 3600 * last.batch_id AS BIGINT) AS updated_at_s"
+        f" FROM changed JOIN last USING ({keys})"
+    )
+
+
 # --- text files --------------------------------------------------------------------------
 
 
@@ -276,7 +297,7 @@ def oracles() -> dict[str, str]:
         sql[f"view_{name}"] = _view(LINES, name)
         sql[f"recompute_{name}"] = _recompute(name)
         sql[f"changelog_delta_{name}"] = _view(AFTER_ALL, name)
-        sql[f"stream_view_{name}"] = _view(AFTER_ALL, name)
+        sql[f"stream_view_{name}"] = _timed_view(name)
 
     sql["date_bounds"] = f"""
     SELECT *, CAST(strptime(CAST(min_event_date AS VARCHAR), '%Y%m%d') AS DATE) AS min_day,
@@ -467,9 +488,50 @@ def oracles() -> dict[str, str]:
     FROM ({_changed({}, late=True)}) AS t WHERE {RANGE}
     """
     sql["stream_text"] = _view(_changed({}, "cameo_code <> '190'"), "quad")
+    sql["stream_ids"] = f"""
+    SELECT {KEPT_LINES} AS n_rows, {KEPT_LINES} AS n_ids, CAST(1 AS BIGINT) AS first_id, {KEPT_LINES} AS last_id,
+           CAST({KEPT_LINES} * ({KEPT_LINES} + 1) // 2 AS BIGINT) AS sum_ids
+    """
+    sql["stream_rejects"] = f"""
+    SELECT CASE WHEN cameo_code = '190' THEN 'bad num_events' ELSE CAST(quad_class AS VARCHAR) END AS kind,
+           count(*) AS n_lines
+    FROM ({EVENT_LOG}) AS ev GROUP BY kind
+    """
+    sql["stream_table"] = sql["compacted_table"] = AFTER_ALL
+    sql["stream_table_views"] = sql["crash_replay_views"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS view, count(*) AS n_groups, count(*) AS n_alike FROM ({_view(AFTER_ALL, name)}) AS v"
+        for name in KEYS
+    )
+    sql["crash_replay_dyad"] = _timed_view("dyad")
+    sql["compacted_cameo_range"] = f"SELECT * FROM ({_view(AFTER_ALL, 'cameo')}) AS v WHERE event_date BETWEEN 20240101 AND 20240131"
+    appended = sql["append_sample"]
+    sql["stream_append"] = f"""
+    WITH b AS ({_view(EVENT_LOG, "quad")}), a AS ({_view(appended, "quad")})
+    SELECT event_date, quad_class, {_diff("total_events")}, {_diff("total_articles")},
+           CASE WHEN b.total_events = a.total_events AND b.total_articles = a.total_articles
+               AND a.avg_goldstein IS NOT DISTINCT FROM b.avg_goldstein THEN 'same' ELSE 'changed' END AS status
+    FROM b JOIN a USING (event_date, quad_class)
+    """
+    sql["stream_sql"] = f"""
+    WITH days AS (SELECT event_date, {TOTAL} FROM ({_view(AFTER_ALL, "quad")}) AS q WHERE {RANGE} GROUP BY event_date),
+    codes AS ({_view(AFTER_ALL, "cameo")})
+    SELECT event_date, days.total_events, cameo_code FROM days JOIN codes USING (event_date)
+    QUALIFY row_number() OVER (PARTITION BY event_date ORDER BY codes.total_events DESC, cameo_code DESC) = 1
+    """
+    sql["seeded_table"] = f"""
+    WITH seed AS (SELECT * FROM (VALUES
+      (1, 19790101, 'AFR', 'FRA', '043', 1, 4, 1, CAST(2.8 AS DOUBLE)), (2, 19790101, 'AFR', 'FRA', '050', 2, 9, 1, 3.5),
+      (3, 19790101, 'ARG', 'CHL', '172', 2, 4, 4, -5.0), (4, 19790101, 'CHN', 'CHNGOV', '0841', 1, 6, 2, 7.0)) AS t({COLUMNS}))
+    SELECT * FROM ({EVENT_LOG}) AS ev WHERE globaleventid > 2
+    UNION ALL SELECT * FROM seed WHERE globaleventid NOT IN (SELECT event_id FROM events WHERE event_id > 2)
+    """
+    digits = """CASE globaleventid % 4 WHEN 0 THEN goldstein / CAST(7.0 AS DOUBLE) WHEN 1 THEN goldstein * CAST(1e-11 AS DOUBLE)
+      WHEN 2 THEN goldstein * CAST(2500.0 AS DOUBLE) / CAST(3.0 AS DOUBLE) ELSE goldstein END"""
+    sql["exact_scores"] = _view(_changed({"goldstein": digits}, "globaleventid % 2 = 0"), "quad")
     sql["stream_notices"] = _touched_counts()
     sql["stream_freshness"] = f"""
-    SELECT view, max(batch_id) AS last_batch, max(batch_id) > 0 AS updated
+    SELECT view, max(batch_id) AS last_batch, max(batch_id) > 0 AS updated,
+           CAST({FIRST_COMMIT_S} + 3600 * max(batch_id) AS BIGINT) AS updated_at_s
     FROM ({_touched_counts()}) AS t WHERE keys_changed > 0 GROUP BY view
     """
     sql["stream_kpis"] = _kpis(_view(AFTER_ALL, "quad"))

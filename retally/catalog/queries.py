@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import operator
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import keyed_events, line_events
+from ..fixtures import keyed_events, line_events, seed_events
 from ..functions.dates import in_date_range, to_day, to_ymd
 from ..functions.labels import percent
 from ..operators import changelog, keyed
@@ -17,7 +20,7 @@ from ..schemas import KEY, LINE_FIELDS
 from ..session import shared_folder
 from ..sources import changes as feeds
 from ..sources import event_table, event_text, lines
-from ..streaming.maintain import maintain
+from ..streaming.maintain import maintain, maintain_from_lines
 from ..streaming.store import ViewStore
 from . import scenario
 
@@ -339,6 +342,14 @@ def _register_changes() -> None:
 _register_changes()
 
 
+@_register("exact_scores")
+def exact_scores(spark, folder):
+    """Means of scores of many digits and very different sizes, after half of them were retracted."""
+    events = scenario.many_digits(keyed_events(spark, folder))
+    signed = views.entering(events).unionByName(views.signed(scenario.odd_deletes(events)))
+    return views.from_signed(signed, views.QUAD)
+
+
 @_register("changed_table")
 def changed_table(spark, folder):
     events = keyed_events(spark, folder)
@@ -412,13 +423,20 @@ def text_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _write_text(
-    spark: SparkSession, folder: str, path: str, mostly_short: bool, rare_first: bool = False, odd_headers: bool = False
+    spark: SparkSession,
+    folder: str,
+    path: str,
+    mostly_short: bool,
+    rare_first: bool = False,
+    odd_headers: bool = False,
+    bad_fields: bool = False,
 ) -> None:
     """The event log as messy text: a header per file, lines of both layouts (clicks in the
     rarer one), stray NUL and CR characters, and error events as lines of a wrong size.
 
     ``rare_first`` puts the lines of the rarer layout before all others. With ``odd_headers``
     the first line of a file is its first data line once more, or differs from file to file.
+    With ``bad_fields`` error events have lines of the right size whose count is a word, in several files.
     """
     events = text_events(spark, folder)
     names = [name for name, _, _ in LINE_FIELDS]
@@ -426,13 +444,15 @@ def _write_text(
     full = F.concat_ws("\t", *texts.values())
     short = F.concat_ws("\t", *[texts[n] for n in names[:8] + names[14:]])
     wrong = F.concat_ws("\t", *[texts[n] for n in names[:12]])
+    if bad_fields:
+        wrong = F.concat_ws("\t", *[F.lit("many") if n == "num_events" else texts[n] for n in names])
     click, error = scenario.has_code(scenario.CLICK), scenario.has_code(scenario.ERROR)
     line = F.when(error, wrong).when(click != F.lit(mostly_short), short).otherwise(full)
     stray = F.when(scenario.has_code(scenario.SIGNUP), F.concat(F.lit("\0"), line, F.lit("\r")))
     lines_ = events.select(F.coalesce(stray, line).alias("line"), (~click).alias("common"))
     if rare_first:
         lines_ = lines_.orderBy("common")
-    elif odd_headers:
+    elif odd_headers or bad_fields:
         lines_ = lines_.repartition(4, "line")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     body = lines_.select("line", place.alias("place"), F.spark_partition_id().alias("part"))
@@ -517,49 +537,81 @@ def stored_table(spark, folder):
     return stored.drop("event_month")
 
 
+def _text_store(spark: SparkSession, folder: str, bad_fields: bool = False) -> ViewStore:
+    """A store kept from a stream of text files, a file or more a batch."""
+    kind = "bad" if bad_fields else "full"
+    path = _once(spark, folder, kind, lambda path: _write_text(spark, folder, path, False, bad_fields=bad_fields))
+
+    def make(root: str) -> None:
+        arriving = lines.stream_lines(spark, path, max_files=2)
+        maintain_from_lines(arriving, root, f"{root}-checkpoint", {"availableNow": True}, table=True).awaitTermination()
+
+    return ViewStore(spark, _once(spark, folder, f"{kind}-text-views", make), table=True)
+
+
 @_register("stream_text")
 def stream_text(spark, folder):
     """Text files taken in as a stream that keeps the views; the class view."""
-    path = _text_folder(spark, folder)
+    return _text_store(spark, folder).view("quad").drop("last_updated")
 
-    def make(root: str) -> None:
-        arriving = lines.stream_lines(spark, path)
-        events = event_text.parse_lines(arriving)
-        records = changelog.insert_records(events)
-        maintain(records, root, f"{root}-checkpoint", {"availableNow": True}).awaitTermination()
 
-    root = _once(spark, folder, "text-views", make)
-    return ViewStore(spark, root).view("quad").drop("last_updated")
+@_register("stream_ids")
+def stream_ids(spark, folder):
+    """Ids that a stream of text files gives: they follow each other from batch to batch."""
+    return _text_store(spark, folder).events().agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct(KEY).alias("n_ids"),
+        F.min(KEY).alias("first_id"),
+        F.max(KEY).alias("last_id"),
+        F.sum(KEY).cast("bigint").alias("sum_ids"),
+    )
+
+
+@_register("stream_rejects")
+def stream_rejects(spark, folder):
+    """Events and rejected lines of the same stream, by class and by bad field."""
+    store = _text_store(spark, folder, bad_fields=True)
+    good = store.events().groupBy(F.col("quad_class").cast("string").alias("kind"))
+    bad = store.rejects().groupBy(F.concat(F.lit("bad "), "problem").alias("kind"))
+    n = F.count(F.lit(1)).alias("n_lines")
+    return good.agg(n).unionByName(bad.agg(n))
 
 
 # --- change stream -----------------------------------------------------------------------
 
+#: Time of the first batch of the stores below; one hour more for each batch.
+FIRST_COMMIT = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
+
+
+def commit_time(batch_id: int) -> datetime.datetime:
+    return FIRST_COMMIT + datetime.timedelta(hours=batch_id)
+
+
+def _stream(spark: SparkSession, folder: str, root: str) -> None:
+    """Views and their table from the streaming query: a snapshot first, then, after a restart
+    from the checkpoint, one round of changes."""
+    events = keyed_events(spark, folder)
+    feed = f"{root}-feed"
+    for records in (changelog.snapshot_records(events), scenario.all_changes(events)):
+        feeds.write_changes(records, feed)
+        changes, now = feeds.stream_changes(spark, feed), {"availableNow": True}
+        maintain(changes, root, f"{root}-checkpoint", now, clock=commit_time, table=True).awaitTermination()
+
 
 def _stream_store(spark: SparkSession, folder: str) -> ViewStore:
-    """A store kept by the streaming query: a snapshot first, then, after a restart from the
-    checkpoint, one round of changes."""
+    return ViewStore(spark, _once(spark, folder, "views", lambda root: _stream(spark, folder, root)), table=True)
 
-    def make(root: str) -> None:
-        events = keyed_events(spark, folder)
-        feed = f"{root}-feed"
-        for records in (changelog.snapshot_records(events), scenario.all_changes(events)):
-            feeds.write_changes(records, feed)
-            query = maintain(
-                feeds.stream_changes(spark, feed),
-                root,
-                f"{root}-checkpoint",
-                {"availableNow": True},
-            )
-            query.awaitTermination()
 
-    return ViewStore(spark, _once(spark, folder, "views", make))
+def _with_seconds(view: DataFrame) -> DataFrame:
+    """A view with the time of its groups' last change in seconds, whatever the session's zone."""
+    return view.withColumn("last_updated", F.unix_seconds("last_updated")).withColumnRenamed("last_updated", "updated_at_s")
 
 
 def _register_stream() -> None:
     for name in views.VIEWS:
 
         def maintained(spark, folder, name=name):
-            return _stream_store(spark, folder).view(name).drop("last_updated")
+            return _with_seconds(_stream_store(spark, folder).view(name))
 
         QUERIES[f"stream_view_{name}"] = maintained
 
@@ -575,7 +627,7 @@ def stream_notices(spark, folder):
 @_register("stream_freshness")
 def stream_freshness(spark, folder):
     fresh = _stream_store(spark, folder).freshness(since_batch=0)
-    return fresh.select("view", "last_batch", "updated")
+    return fresh.select("view", "last_batch", "updated", F.unix_seconds("last_updated").alias("updated_at_s"))
 
 
 @_register("stream_kpis")
@@ -588,9 +640,142 @@ def stream_top_dyads(spark, folder):
     return reports.top_dyads(_stream_store(spark, folder).view("dyad"), START, END)
 
 
+@_register("stream_table")
+def stream_table(spark, folder):
+    """The table that the change stream leaves."""
+    return _stream_store(spark, folder).events().select(*keyed_events(spark, folder).columns)
+
+
+def _matches(store: ViewStore) -> DataFrame:
+    """Per view: its groups, and those that recomputation over the stored table gives alike."""
+    events, found = store.events(), []
+    for name, spec in views.VIEWS.items():
+        same = reduce(operator.and_, [F.col(f"v.{c}").eqNullSafe(F.col(f"r.{c}")) for c in spec.keys])
+        v, r = store.view(name).drop("last_updated"), views.full(events, spec)
+        measures = [c for c in v.columns if c not in spec.keys]
+        alike = reduce(operator.and_, [F.col(f"v.{c}").eqNullSafe(F.col(f"r.{c}")) for c in measures])
+        both = v.withColumn("v_there", F.lit(1)).alias("v").join(r.withColumn("r_there", F.lit(1)).alias("r"), same, "full")
+        there = F.col("v_there").isNotNull() & F.col("r_there").isNotNull()
+        found.append(both.agg(F.lit(name).alias("view"), F.count(F.lit(1)).alias("n_groups"), F.count_if(there & alike).alias("n_alike")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@_register("stream_table_views")
+def stream_table_views(spark, folder):
+    """Recomputation over the stored table against the views kept by the same stream."""
+    return _matches(_stream_store(spark, folder))
+
+
+def _folded_store(spark: SparkSession, folder: str) -> ViewStore:
+    """A store of its own whose log is folded after every batch."""
+
+    def make(root: str) -> None:
+        store, events = ViewStore(spark, root, commit_time, table=True), keyed_events(spark, folder)
+        for batch_id, records in enumerate((changelog.snapshot_records(events), scenario.all_changes(events))):
+            store.apply(records, batch_id)
+            store.compact()
+
+    return ViewStore(spark, _once(spark, folder, "folded", make), commit_time, table=True)
+
+
 @_register("compacted_dyad")
 def compacted_dyad(spark, folder):
-    """The pair view after its log was summed into a new base."""
-    store = _stream_store(spark, folder)
-    store.compact()
-    return store.view("dyad").drop("last_updated")
+    """The pair view after its log was folded into a new base twice."""
+    return _folded_store(spark, folder).view("dyad").drop("last_updated")
+
+
+@_register("compacted_table")
+def compacted_table(spark, folder):
+    """The table after its log was folded, bucket by bucket."""
+    return _folded_store(spark, folder).events().select(*keyed_events(spark, folder).columns)
+
+
+@_register("compacted_cameo_range")
+def compacted_cameo_range(spark, folder):
+    """The code view of some months of the folded store: files of other months are not read."""
+    dates = (20240101, 20240131)
+    return _folded_store(spark, folder).view("cameo", dates=dates).drop("last_updated")
+
+
+class _Stopping(ViewStore):
+    """A store whose writer stops once, after a batch is written and before it is committed."""
+
+    stops_at: int | None = None
+
+    def _write_record(self, record: dict) -> bool:
+        if record["batch_id"] == self.stops_at:
+            self.stops_at = None
+            raise InterruptedError("stopped before the commit record")
+        return super()._write_record(record)
+
+
+def _crashed_store(spark: SparkSession, folder: str) -> ViewStore:
+    """A store whose writer stops between log and commit record of batch 1, comes back and replays
+    it, and gets every batch once more afterwards."""
+
+    def make(root: str) -> None:
+        events = keyed_events(spark, folder)
+        batches = [changelog.snapshot_records(events), scenario.all_changes(events)]
+        store = _Stopping(spark, root, commit_time, table=True)
+        store.stops_at = 1
+        store.apply(batches[0], 0, "feed")
+        try:
+            store.apply(batches[1], 1, "feed")
+        except InterruptedError:
+            half = ViewStore(spark, root, commit_time, table=True)
+            if half.committed_batches() != [0]:
+                raise ValueError("a batch without a commit record is seen") from None
+        for batch_id, records in [(1, batches[1]), (0, batches[0]), (1, batches[1])]:
+            ViewStore(spark, root, commit_time, table=True).apply(records, batch_id, "feed")
+
+    return ViewStore(spark, _once(spark, folder, "crashed", make), table=True)
+
+
+@_register("crash_replay_views")
+def crash_replay_views(spark, folder):
+    """Views and table after a crash, a replay and duplicate deliveries: all groups once."""
+    return _matches(_crashed_store(spark, folder))
+
+
+@_register("crash_replay_dyad")
+def crash_replay_dyad(spark, folder):
+    return _with_seconds(_crashed_store(spark, folder).view("dyad"))
+
+
+@_register("stream_append")
+def stream_append(spark, folder):
+    """What a batch of sampled events under new keys adds to the class view of a store."""
+    events = keyed_events(spark, folder)
+
+    def make(root: str) -> None:
+        store = ViewStore(spark, root, commit_time)
+        store.apply(changelog.snapshot_records(events), 0)
+        new = keyed.shift_ids(keyed.sample_keys(events, SAMPLE, SEED), keyed.id_range(events)[1] + SAMPLE_SHIFT)
+        store.apply(changelog.insert_records(new), 1)
+
+    store = ViewStore(spark, _once(spark, folder, "appended", make))
+    before = views.full(events, views.QUAD)
+    return reports.compare_totals(before, store.view("quad").drop("last_updated"), *views.QUAD.keys)
+
+
+@_register("stream_sql")
+def stream_sql(spark, folder):
+    """SQL over the stored views under their table names: days by events, with their busiest code."""
+    _stream_store(spark, folder).register()
+    return spark.sql(
+        """
+        SELECT d.event_date, d.total_events, c.cameo_code
+        FROM (SELECT event_date, CAST(sum(total_events) AS BIGINT) AS total_events
+              FROM daily_event_volume_by_quadclass WHERE event_date BETWEEN :s AND :e GROUP BY event_date) d
+        JOIN (SELECT event_date, max_by(cameo_code, struct(total_events, cameo_code)) AS cameo_code
+              FROM daily_cameo_metrics GROUP BY event_date) c ON c.event_date = d.event_date
+        """,
+        args={"s": START, "e": END},
+    )
+
+
+@_register("seeded_table")
+def seeded_table(spark, folder):
+    """The event log with the sample events that a new table starts with, where their keys are free."""
+    events = keyed_events(spark, folder).filter(F.col(KEY) > 2)
+    return keyed.insert_ignore(events, seed_events(spark).select(*events.columns))

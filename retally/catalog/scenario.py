@@ -103,3 +103,15 @@ def all_changes(events: DataFrame) -> DataFrame:
     """All changes of the round as change records, from one pass over the table. Runs a
     query for the key range."""
     return records(events, *[change for kind in _kinds(events).values() for change in kind])
+
+
+def many_digits(events: DataFrame) -> DataFrame:
+    """The events with scores of many digits: thirds and sevenths, very small and large ones."""
+    kind, score = F.col(KEY) % 4, F.col("goldstein")
+    made = F.when(kind == 0, score / F.lit(7.0)).when(kind == 1, score * F.lit(1e-11)).when(kind == 2, score * F.lit(2500.0) / F.lit(3.0))
+    return events.withColumn("goldstein", made.otherwise(score))
+
+
+def odd_deletes(events: DataFrame) -> DataFrame:
+    """Every second event deleted, as change records."""
+    return records(events, Change("delete", {}, None, F.col(KEY) % 2 == 1))

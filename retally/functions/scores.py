@@ -1,51 +1,125 @@
-"""Exact averages of doubles.
+"""Exact averages of doubles by a superaccumulator.
 
 A sum of doubles depends on the order of addition, so two runs of a shuffled aggregate can
-differ, and adding then retracting a value can leave a residue. Scores are therefore summed
-as whole multiples of 10^-scale in 64-bit integers: order does not matter, retraction is
-exact, and the sums stay inside generated code. A score with more digits than the scale
-holds fails the job instead of being cut. Averages of averages are summed as decimals.
+differ, and adding then retracting a value can leave a residue. Here a double is cut into
+digits of 32 bits at fixed places, and each place has a 64-bit sum of its own: an aggregate
+column like any other, inside generated code. Order does not matter, a retraction takes
+exactly away what was added, and the sum is rounded once, to the nearest double, when it is read.
+
+The places hold doubles below 2^63 whose last bit is worth 2^-128 or more, so all of at least
+3e-23 in size and many smaller ones. A score beyond that, NaN or infinity fails the job; it is
+never cut. A place takes 2^31 rows of one group between two sums without overflow at the worst,
+and an overflow fails under ANSI rules.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Digits kept of a score. Scores have one or two; a 64-bit sum holds 9e13 of them.
-SCORE_SCALE = 4
+#: Worth of the last bit of each digit, as powers of two, and bits of a digit.
+PLACES = (-128, -96, -64, -32, 0, 32)
+DIGIT = 32
+#: Largest power of two that a score stays below, and doubles from which on all are whole.
+_LIMIT, _WHOLE = 2.0**63, 2.0**53
+_MASK = (1 << DIGIT) - 1
 
-#: Digits kept of an average below 1000 when averaging averages; a sum holds 1e10 of them.
-MEAN_SCALE = 12
 
+def _whole(x: Column) -> Column:
+    """The whole part of a double below 2^63, towards zero."""
+    return x.cast("bigint")
 
-def fixed(value: Column, scale: int = SCORE_SCALE) -> Column:
-    """``value`` as a whole number of 10^-scale units."""
-    return F.rint(value * F.lit(10.0**scale)).cast("bigint")
 
+def digits(value: Column) -> list[Column]:
+    """The digits of a double, one for each of PLACES, with the sign of the double. What is smaller than
+    the last place is left out."""
+    out = []
+    for place in PLACES[:-1]:
+        above = value * F.lit(2.0 ** -(place + DIGIT))
+        part = F.when(F.abs(above) < _WHOLE, above - _whole(above).cast("double")).otherwise(F.lit(0.0))
+        out.append(_whole(part * F.lit(2.0**DIGIT)))
+    return [*out, _whole(value * F.lit(2.0 ** -PLACES[-1]))]
 
-def fixed_score(value: Column, scale: int = SCORE_SCALE) -> Column:
-    """The same for a score, which must have no more digits than that."""
-    units = value * F.lit(10.0**scale)
-    message = F.concat(F.lit(f"a score with more than {scale} decimal digits: "), value.cast("string"))
-    fits = units.isNull() | (F.abs(units - F.rint(units)) <= F.lit(1e-6))
-    return F.when(fits, F.rint(units).cast("bigint")).otherwise(F.raise_error(message).cast("bigint"))
 
+def checked(value: Column) -> Column:
+    """``value``, or a failing job if its digits would not hold it exactly."""
+    units = value * F.lit(2.0 ** -PLACES[0])
+    whole = (F.abs(units) >= _WHOLE) | (units == _whole(F.when(F.abs(units) < _WHOLE, units).otherwise(F.lit(0.0))).cast("double"))
+    fits = (F.abs(value) < _LIMIT) & whole
+    message = F.concat(F.lit("a score that exact sums do not hold: "), value.cast("string"))
+    return F.when(value.isNull() | fits, value).otherwise(F.raise_error(message).cast("double"))
 
-def fixed_mean(total: Column, count: Column, scale: int = SCORE_SCALE) -> Column:
-    """Mean from a fixed-point sum and a count; NULL when nothing was counted."""
-    unit = F.lit(Decimal(1).scaleb(-scale))
-    return (total.cast("decimal(25,0)") * unit).cast("double") / F.nullif(count, F.lit(0))
 
+def _carried(sums: Column) -> Column:
+    """Array of sums by place as digits of 0 to 2^32 - 1, and the signed rest above them."""
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("digits"))
 
-def mean(value: Column, scale: int = SCORE_SCALE) -> Column:
+    def step(state: Column, one: Column) -> Column:
+        total = state["carry"] + one
+        return F.struct(
+            F.shiftright(total, DIGIT).alias("carry"),
+            F.array_append(state["digits"], total.bitwiseAND(F.lit(_MASK).cast("bigint"))).alias("digits"),
+        )
+
+    return F.aggregate(sums, start, step, lambda state: F.array_append(state["digits"], state["carry"]))
+
+
+def _let(value: Column, function) -> Column:
+    """``function`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _nearest(sums: Column) -> Column:
+    """The double nearest to an array of sums by place, whatever places are in use.
+
+    The 62 leading bits, with a last bit that says whether anything follows, round as the whole
+    number does.
+    """
+
+    def of_size(size: Column) -> Column:
+        at = F.array_max(F.transform(size, lambda d, i: F.when(d > 0, i)))
+        hi = F.get(size, at)
+        below = lambda n: F.coalesce(F.get(size, at - F.lit(n)), F.lit(0).cast("bigint"))
+        next_two = F.shiftleft(below(1), DIGIT).bitwiseOR(below(2))
+        bits = F.length(F.bin(hi))
+        shift = lambda name, x, n: F.call_function(name, x, n)
+        lead = shift("shiftleft", hi, F.lit(62) - bits).bitwiseOR(shift("shiftrightunsigned", next_two, bits + F.lit(2)))
+        cut = shift("shiftleft", F.lit(1).cast("bigint"), bits + F.lit(2)) - F.lit(1)
+        rest = (next_two.bitwiseAND(cut) != 0) | F.exists(F.transform(size, lambda d, i: (i < at - F.lit(2)) & (d > 0)), lambda b: b)
+        whole = lead.bitwiseOR(F.when(rest, F.lit(1)).otherwise(F.lit(0)).cast("bigint")).cast("double")
+        return F.when(at.isNull(), F.lit(0.0)).otherwise(whole * F.pow(F.lit(2.0), F.lit(DIGIT) * at + F.lit(PLACES[0] - 62) + bits))
+
+    def signed(own: Column) -> Column:
+        negative = F.element_at(_carried(own), -1) < 0
+        return F.when(negative, -_let(_carried(F.transform(own, lambda d: -d)), of_size)).otherwise(_let(_carried(own), of_size))
+
+    return _let(sums, signed)
+
+
+def total(sums: Sequence[Column]) -> Column:
+    """The double nearest to the sum, from one sum for each of PLACES."""
+    # Nearly always only the middle places count: these fit a decimal, which also rounds once.
+    low, mid, high = (x.cast("decimal(38,0)") for x in sums[2:5])
+    others = reduce(lambda a, b: a & b, [s == 0 for s in (*sums[:2], *sums[5:])])
+    simple = others & (F.abs(sums[4]) < F.lit(1 << 58))
+    units = (high * F.lit(1 << DIGIT) + mid) * F.lit(1 << DIGIT) + low
+    return F.when(simple, units.cast("double") * F.lit(2.0 ** PLACES[2])).otherwise(_nearest(F.array(*sums)))
+
+
+def mean_of_sums(sums: Sequence[Column], count: Column) -> Column:
+    """Mean from the sums by place and a count; NULL when nothing was counted."""
+    return total(sums) / F.nullif(count, F.lit(0))
+
+
+def mean(value: Column) -> Column:
     """Aggregate: exact mean of a double column, NULLs ignored, one weight per row."""
-    return fixed_mean(F.sum(fixed_score(value, scale)), F.count(value), scale)
+    return mean_of_sums([F.coalesce(F.sum(d), F.lit(0)) for d in digits(checked(value))], F.count(value))
 
 
 def mean_of_means(average: Column) -> Column:
-    """Aggregate: unweighted mean of group averages (not the mean over the rows behind them)."""
-    total = F.sum(fixed(average, MEAN_SCALE).cast("decimal(15,0)"))
-    return fixed_mean(total, F.count(average), MEAN_SCALE)
+    """Aggregate: unweighted mean of group averages (not the mean over the rows behind them). What an
+    average has below 2^-128 is left out."""
+    return mean_of_sums([F.coalesce(F.sum(d), F.lit(0)) for d in digits(average)], F.count(average))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import fixed_mean, fixed_score
+from ..functions import scores
 from ..operators.changelog import signed_rows
 
 
@@ -32,17 +32,20 @@ VIEWS = {spec.name: spec for spec in (QUAD, DYAD, ACTOR, CAMEO)}
 
 ALL_KEYS = ("event_date", "quad_class", "source_actor", "target_actor", "cameo_code")
 MEASURED = ("num_events", "num_articles", "goldstein")
-SUMS = ("d_events", "d_articles", "d_score", "d_scored", "d_rows")
+#: Sums of the digits of scores, by place.
+SCORE_SUMS = tuple(f"d_score_{n}" for n in range(len(scores.PLACES)))
+SUMS = ("d_events", "d_articles", *SCORE_SUMS, "d_scored", "d_rows")
 
 
 def _measures(sign: Column) -> list[Column]:
     """What one event adds to each sum, as whole numbers."""
-    score = fixed_score(F.col("goldstein"))
+    score, none = F.col("goldstein"), F.lit(0).cast("bigint")
+    parts = zip(SCORE_SUMS, scores.digits(scores.checked(score)))
     return [
         (sign * F.col("num_events").cast("bigint")).alias("d_events"),
         (sign * F.col("num_articles").cast("bigint")).alias("d_articles"),
-        F.coalesce(sign * score, F.lit(0).cast("bigint")).alias("d_score"),
-        F.when(score.isNotNull(), sign).otherwise(F.lit(0).cast("bigint")).alias("d_scored"),
+        *[F.coalesce(sign * part, none).alias(name) for name, part in parts],
+        F.when(score.isNotNull(), sign).otherwise(none).alias("d_scored"),
         sign.alias("d_rows"),
     ]
 
@@ -56,7 +59,7 @@ def _shown(df: DataFrame, spec: ViewSpec, *extra: str) -> DataFrame:
     columns = [F.col("d_events").alias("total_events")]
     if spec.has_articles:
         columns.append(F.col("d_articles").alias("total_articles"))
-    columns.append(fixed_mean(F.col("d_score"), F.col("d_scored")).alias("avg_goldstein"))
+    columns.append(scores.mean_of_sums([F.col(c) for c in SCORE_SUMS], F.col("d_scored")).alias("avg_goldstein"))
     return df.select(*spec.keys, *columns, *extra)
 
 

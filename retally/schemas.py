@@ -59,7 +59,7 @@ DELTA = T.StructType(
         T.StructField("cameo_code", T.StringType()),
         T.StructField("d_events", T.LongType()),
         T.StructField("d_articles", T.LongType()),
-        T.StructField("d_score", T.LongType()),
+        *[T.StructField(f"d_score_{n}", T.LongType()) for n in range(6)],
         T.StructField("d_scored", T.LongType()),
         T.StructField("d_rows", T.LongType()),
         T.StructField("committed_at", T.TimestampType()),
@@ -67,7 +67,27 @@ DELTA = T.StructType(
     ]
 )
 
-#: One row per view and batch, written last: the commit record of the batch.
+#: What a batch leaves of one key: the row, or that it is deleted.
+IMAGE = T.StructType(
+    [
+        T.StructField(KEY, T.LongType()),
+        T.StructField("event", EVENT),
+        T.StructField("deleted", T.BooleanType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
+    ]
+)
+
+#: A text line that is no event, and its first bad field.
+REJECT = T.StructType(
+    [
+        T.StructField("value", T.StringType()),
+        T.StructField("problem", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
+#: One row per view and batch: what a commit record tells readers.
 NOTICE = T.StructType(
     [
         T.StructField("view", T.StringType()),

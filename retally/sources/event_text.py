@@ -181,12 +181,6 @@ def line_report(lines: DataFrame) -> DataFrame:
     return counts.withColumn("loaded", F.col("n_fields").isin(FULL, SHORT))
 
 
-def parse_lines(lines: DataFrame, layout: int = FULL) -> DataFrame:
-    """Typed events without ids; narrow steps only, so ``lines`` may be a stream."""
-    events = events_of(parse(data_lines(lines), layout))
-    return events.select(F.lit(None).cast("long").alias(KEY), *_NAMES)
-
-
 def write_lines(events: DataFrame, path: str, layout: int = FULL) -> None:
     """Events as tab-separated text in the given layout, a header in every file."""
     kept = [

@@ -222,6 +222,6 @@ def test_written_lines_read_back(spark, file, values, folder):
 
 def test_lines_are_parsed_once(spark, file):
     """The text is split in one place of the plan, not again inside a filter."""
-    df = text.parse_lines(lines.read_lines(spark, file(full())))
+    df = text.events_of(text.parse(lines.data_lines(lines.read_lines(spark, file(full())))))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
