@@ -7,13 +7,15 @@ a metric (the Steinhaus transform of the insert-and-delete distance).
 
 A sketch takes, under one random order of all occurrence-labelled shingles, the least ones of a
 text and retains their order in the text, so it differs between texts with the same shingles in
-another order. A band is a pair of sketches. Texts that agree in a band, its bucket, are compared
-with the bucket's leader, the least text of it by digest. Those that are not like it elect
-leaders again, more of them in every round, until each text was like a leader or was one. By
-the triangle inequality, two alike texts of a bucket that were not compared then have a leader
-that one of them is like and the other is near: such texts are compared too, unless links have
-made them one class before. So all alike texts that agree in a band end in one class, and pairs
-are listed only as far as neither links nor distances decide them.
+another order. A band is a pair of sketches; texts that agree in a band are a bucket.
+
+All members of a bucket are compared with its leader, the least text of it by digest, and links
+make components. Most buckets are then in one component. In the others every pair of texts of
+different components is decided inside a task: by the triangle inequality from the distances to
+the leader, by the number of shingles in common, or by alignment; a pair is looked at in
+the first such bucket it has in common. Large buckets are split into blocks that meet two by two,
+but for blocks that lie in one component. So the number of jobs does not depend on the size of
+buckets, no pair that agrees in a band is left undecided, and no pair is listed.
 """
 
 from __future__ import annotations
@@ -33,11 +35,12 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands of SKETCHES sketches with LEAST least shingles each. Texts with a similarity of 0.8
 #: agree in a band with a chance of about 0.8**(LEAST * SKETCHES), so in none with 3e-5.
 BANDS, SKETCHES, LEAST = 20, 2, 2
-#: Open texts of a bucket up to which all of them are leaders from the second round on; else the
-#: leaders grow in number so many times with every round, up to the most of one round.
-FEW, MORE, MOST_LEADERS = 16, 4, 64
 #: Members compared with one copy of their leader.
 MEMBERS = 500
+#: Texts of a block of a bucket that links with its leader do not settle. Two blocks meet in a task.
+BLOCK = 400
+#: Columns of the matrices by which common shingles of a block are counted.
+_COLUMNS = 4096
 
 _U = np.uint64
 
@@ -110,19 +113,11 @@ def _buckets(texts: DataFrame) -> DataFrame:
     return texts.select("digest", "text").mapInArrow(run, BUCKETS)
 
 
-def _elected(rows: DataFrame, turn: int) -> DataFrame:
-    """``bucket``, ``leader`` and its ``leader_size`` for buckets with several of ``rows``: one leader
-    each in the first round; later all texts of small buckets, and of larger ones the least
-    text of each of so many parts that texts are dealt to by hash."""
-    leader = F.min(F.struct("digest", "size"))
-    if not turn:
-        found = rows.groupBy("bucket").agg(leader.alias("leader"), F.max("digest").alias("_most")).where("leader.digest <> _most")
-    else:
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("_open")).where("_open > 1")
-        parts = min(MORE**turn, MOST_LEADERS)
-        part = F.when(F.col("_open") <= FEW, F.xxhash64("digest")).otherwise(F.pmod(F.xxhash64(F.lit(turn), "digest"), F.lit(parts)))
-        found = rows.join(sizes, "bucket").groupBy("bucket", part.alias("_part")).agg(leader.alias("leader"))
-    return found.select("bucket", F.col("leader.digest").alias("leader"), F.col("leader.size").alias("leader_size"))
+def _leaders(rows: DataFrame) -> DataFrame:
+    """``bucket``, ``leader`` and its ``leader_size`` for buckets of several texts."""
+    found = rows.groupBy("bucket").agg(F.min(F.struct("digest", "size")).alias("leader"), F.max("digest").alias("_most"))
+    several = found.where("leader.digest <> _most")
+    return several.select("bucket", F.col("leader.digest").alias("leader"), F.col("leader.size").alias("leader_size"))
 
 
 def common_in_order(a: np.ndarray, b: np.ndarray, least: float) -> int:
@@ -234,77 +229,152 @@ def _sorted_pair(a: str, b: str) -> list[F.Column]:
     return [F.least(a, b).alias("leader"), F.greatest(a, b).alias("digest")]
 
 
-def _led_pairs(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The compared pairs of texts with leaders of their buckets (``rows``), with similarities, and
-    the texts that take part. Ends when each row was like a leader of its bucket or was one.
-    Texts of too different lengths cannot be near and are not compared."""
-    texts = verified = None
-    turn = 0
-    while True:
-        leaders = written(_elected(rows, turn), f"near-leaders-{turn}")
-        if turn and leaders.isEmpty():
-            return verified, texts
-        led = written(rows.join(leaders, "bucket").where("leader <> digest"), f"near-led-{turn}")
-        near = F.least("size", "leader_size") >= BORDER * F.greatest("size", "leader_size")
-        pairs = led.where(near).select(*_sorted_pair("leader", "digest")).distinct()
-        if not turn:
-            needed = led.select("digest").union(leaders.select("leader")).distinct()
-            texts = written(_texts_of(docs, needed), "near-texts")
-            verified = _verified(pairs, texts, "near-verified-0")
-        else:
-            new = pairs.join(verified.select("leader", "digest"), ["leader", "digest"], "left_anti")
-            verified = verified.unionByName(_verified(new, texts, f"near-verified-{turn}"))
-        like = _links(verified).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(1).alias("like"))
-        met = led.join(like, (F.least("leader", "digest") == F.col("_a")) & (F.greatest("leader", "digest") == F.col("_b")), "left")
-        unlike = met.groupBy("bucket", "digest").agg(F.first("size").alias("size"), F.max("like").alias("like")).where("like IS NULL")
-        open_ = unlike.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti")
-        rows = written(open_.select("bucket", "size", "digest"), f"near-open-{turn}")
-        turn += 1
-
-
-def _border_pairs(led: DataFrame, verified: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Pairs to compare next, from the comparisons with leaders (``led``): a text that was near but
-    not like a leader of another component, with duplicates of that leader as far from it as can
-    still be like the text. For each text and component the ``most`` duplicates that most leaders
-    lead to; the others follow in later rounds while the text stays outside the component.
-    ``verified`` are all pairs compared so far."""
-    border = led.where((F.col("similarity") >= BORDER) & (F.col("similarity") < SIMILAR))
-    border = border.select("leader", "digest", "similarity").union(border.select("digest", "leader", "similarity"))
-    own = labels.select(F.col("node").alias("digest"), F.col("label").alias("own"))
-    # A leader without links has no duplicates; the leader of a link is in its duplicate's component.
-    groups = labels.select(F.col("node").alias("leader"), F.col("label").alias("component"))
-    apart = border.join(groups, "leader").join(own, "digest", "left").where(F.coalesce("own", "digest") != F.col("component")).drop("own")
-    links = led.where(F.col("similarity") >= SIMILAR)
-    near = links.select("leader", F.col("digest").alias("other"), F.col("similarity").alias("like"))
-    near = near.union(near.select(F.col("other").alias("leader"), F.col("leader").alias("other"), "like"))
-    met = apart.join(near, "leader").where(F.col("like") - (1 - SIMILAR) <= F.col("similarity") + 1e-9)
-    pairs = met.groupBy("digest", "other", "component").agg(F.count("*").alias("ways"))
-    known = verified.select("leader", "digest").union(verified.select("digest", "leader")).withColumnRenamed("leader", "other")
-    new = pairs.join(known, ["digest", "other"], "left_anti")
-    order = W.partitionBy("digest", "component").orderBy(F.desc("ways"), "other")
-    ranked = new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most + 1)
-    return ranked.select(*_sorted_pair("other", "digest"), "rank").groupBy("leader", "digest").agg(F.min("rank").alias("rank"), F.max("rank").alias("last"))
-
-
-def _all_labels(led: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components of all links: of those with leaders, and of border pairs in rounds that end when
-    none was left out."""
-    labels = written(components(_links(led)), "near-labels")
-    verified, most = led, 1
-    while True:
-        border = written(_border_pairs(led, verified, labels, most), "near-border")
-        last = border.agg(F.max("last")).first()[0]
-        if last is None:
-            return labels
-        new = _verified(border.where(F.col("rank") <= most).select("leader", "digest"), texts, "near-verified-border")
-        verified = verified.unionByName(new)
-        links = _links(new)
-        if not links.isEmpty():
-            links = links.union(labels.where("node <> label").select("node", "label"))
-            labels = written(components(links), "near-labels")
-        if last <= most:  # nothing was left out
-            return labels
-        most *= 16
+def _members(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts compared with the leaders of their buckets: the members of buckets of several texts with
+    their component and least and most distance from the leader (``bucket``, ``digest``, ``component``,
+    ``low``, ``high``), the links, and the texts that take part.
+
+    Texts of too different lengths cannot be near and are not aligned; their lengths bound the distance.
+    """
+    leaders = written(_leaders(rows), "near-leaders")
+    led = written(rows.join(leaders, "bucket"), "near-led")
+    texts = written(_texts_of(docs, led.select("digest").distinct()), "near-texts")
+    others = led.where("leader <> digest")
+    ratio = F.least("size", "leader_size") / F.greatest("size", "leader_size")
+    pairs = others.where(ratio >= BORDER).select(*_sorted_pair("leader", "digest")).distinct()
+    verified = _verified(pairs, texts, "near-verified")
+    links = _links(verified)
+    labels = components(links)
+    known = verified.select(F.col("leader").alias("_a"), F.col("digest").alias("_b"), "similarity")
+    met = led.join(known, (F.least("leader", "digest") == F.col("_a")) & (F.greatest("leader", "digest") == F.col("_b")), "left")
+    met = met.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
+    own = F.col("leader") == F.col("digest")
+    far = 1 - F.coalesce("similarity", ratio)
+    exact = F.col("similarity") >= BORDER
+    members = met.select(
+        "bucket",
+        "digest",
+        F.coalesce("label", "digest").alias("component"),
+        F.when(own, 0.0).otherwise(far).alias("low"),
+        F.when(own, 0.0).when(exact, far).otherwise(1.0).alias("high"),
+    )
+    return written(members, "near-members"), labels.select(F.col("node").alias("a"), F.col("label").alias("b")), texts
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """The members that a text of another component of their bucket may be like: by the triangle
+    inequality, some other component comes near enough to the leader."""
+    each = members.groupBy("bucket", "component").agg(F.min("low").alias("low"))
+    first = each.groupBy("bucket").agg(F.min(F.struct("low", "component")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    second = each.join(first, "bucket").where("component <> first.component").groupBy("bucket").agg(F.min("low").alias("second"))
+    bounds = first.join(second, "bucket").select("bucket", F.col("first.component").alias("_c"), F.col("first.low").alias("_low"), "second")
+    nearest = F.when(F.col("component") == F.col("_c"), F.col("second")).otherwise(F.col("_low"))
+    kept = members.join(bounds, "bucket").where(nearest - F.col("high") <= 1 - SIMILAR + 1e-9)
+    return kept.select("bucket", "digest", "component", "low", "high")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` in the tasks they meet in (``a``, ``b``, and ``second`` for those of block b): blocks follow
+    components, and two blocks of one component do not meet."""
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("component", "digest"))
+    placed = written(rows.withColumn("place", place).withColumn("block", F.expr(f"(place - 1) div {BLOCK}")).drop("place"), "near-blocks")
+    block = placed.groupBy("bucket", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    one = block.select("bucket", F.col("block").alias("a"), F.col("least").alias("la"), F.col("most").alias("ma"))
+    two = block.select("bucket", F.col("block").alias("b"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    met = one.join(two, "bucket").where((F.col("a") <= F.col("b")) & ~((F.col("la") == F.col("mb")) & (F.col("lb") == F.col("ma"))))
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("block"), F.lit(False).alias("second")))).otherwise(
+        F.array(F.struct(F.col("a").alias("block"), F.lit(False).alias("second")), F.struct(F.col("b").alias("block"), F.lit(True).alias("second")))
+    )
+    tasks = met.select("bucket", "a", "b", F.explode(sides).alias("side")).select("bucket", "a", "b", "side.*")
+    return placed.join(tasks, ["bucket", "block"]).drop("block")
+
+
+LINKED = "a binary, b binary"
+
+
+def _settled(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of different components that share a bucket, as far as they join components."""
+    rows = written(_open_members(members), "near-open")
+    buckets = rows.groupBy("digest").agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS
+    full = _blocks(rows).join(buckets, "digest").join(texts, "digest")
+    columns = ["bucket", "a", "b", "second", "digest", "component", "low", "high", "buckets", "text"]
+    dealt = full.select(columns).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "second", "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = _links_of_blocks(key, held)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches:
+            for start, piece in text_pieces(batch.column(9)):
+                hashes, where = shingle_hashes(*word_hashes(piece, plain=True), SHINGLE)
+                rest = batch.slice(start, len(piece))
+                for i, row in enumerate(zip(*(rest.column(c).to_pylist() for c in range(9)))):
+                    if row[:3] != key:
+                        if held:
+                            yield from close()
+                        key, held = row[:3], []
+                    held.append((*row[3:], hashes[where[i] : where[i + 1]].copy()))
+        if held:
+            yield from close()
+
+    return written(dealt.mapInArrow(run, LINKED), "near-settled")
+
+
+def _common_bounds(runs: list[np.ndarray]) -> np.ndarray:
+    """For each two sequences an upper bound of the elements they have in common, in any order."""
+    sizes = [len(r) for r in runs]
+    names, codes, times = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(runs)), sizes)
+    shared = times > 1  # most shingles stand in one place only
+    column = np.cumsum(shared) - 1
+    keep = shared[codes]
+    of, at = of[keep], column[codes[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    out = np.zeros((len(runs), len(runs)), np.float32)
+    for lo in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(at, [lo, lo + _COLUMNS])
+        counts = np.zeros((len(runs), _COLUMNS), np.float32)
+        np.add.at(counts, (of[a:b], at[a:b] - lo), 1)
+        out += counts @ (counts > 0).astype(np.float32).T
+    return np.minimum(out, out.T)
+
+
+def _links_of_blocks(key: tuple[int, int, int], rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    """Links that join components, among the texts of one task."""
+    bucket, a, b = key
+    second, digests, components_, low, high, buckets, runs = zip(*rows)
+    n = len(rows)
+    sizes = np.array([len(r) for r in runs], float)
+    low, high, second = np.array(low), np.array(high), np.array(second)
+    common = _common_bounds(list(runs))
+    apart = np.triu(np.ones((n, n), bool), 1)
+    if a != b:
+        apart &= second[:, None] != second[None, :]
+    apart &= np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None]) <= 1 - SIMILAR + 1e-9
+    apart &= common >= SIMILAR / (1 + SIMILAR) * (sizes[:, None] + sizes[None, :]) - 1e-6
+    parent = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found = []
+    sets = [frozenset(x) for x in buckets]
+    for i, j in np.argwhere(apart):
+        x, y = root(components_[i]), root(components_[j])
+        if x == y or min(sets[i] & sets[j]) != bucket:
+            continue
+        if similarity(runs[i], runs[j], SIMILAR) >= SIMILAR:
+            parent[max(x, y)] = min(x, y)
+            found.append((digests[i], digests[j]))
+    return found
 
 
 def _digested(docs: DataFrame) -> DataFrame:
@@ -329,8 +399,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     than SHINGLE have one shingle. Repeated rows are in one class, null ids take part.
     """
     own = _digested(docs)
-    led, texts = _led_pairs(written(_buckets(own), "near-buckets").distinct(), own)
-    labels = _all_labels(led, texts)
+    members, links, texts = _members(written(_buckets(own), "near-buckets").distinct(), own)
+    labels = components(links.unionByName(_settled(members, texts)))
     label = labels.select(F.col("node").alias("digest"), "label")
     return own.drop("text").join(label, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
 
@@ -350,9 +420,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = written(near_classes(docs), "near-classes")
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("digest").alias("d"))).alias("best"))
     chosen = best.select(F.col("best.id").alias("_id"), F.col("best.d").alias("_digest"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_own", F.substring(F.unhex(F.sha2(text, 256)), 1, 16))
-    kept = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
+    # The row is packed, so that no column of it can be taken for one of these.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
     order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    first = kept.withColumn("_n", F.row_number().over(W.partitionBy("_id", "_digest").orderBy(order))).where("_n = 1")
-    return first.select(docs.columns)
+    rows = docs.select(row.alias("row"), own.alias("own"), order.alias("order"))
+    kept = rows.join(chosen, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_digest")))
+    first = kept.groupBy("_id", "_digest").agg(F.min_by("row", "order").alias("row"))
+    return first.select("row.*").select(docs.columns)

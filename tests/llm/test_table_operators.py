@@ -287,7 +287,7 @@ def families(seed: int) -> list[str]:
 
 def test_families_on_templates_against_all_pairs(spark, monkeypatch):
     """No pair of texts that agree in a band is lost. One band that all members of a template share
-    makes each template one bucket, and rounds have few leaders."""
+    makes all texts one bucket, and blocks are small."""
     import pyarrow as pa
 
     from retally.llm.common import shingle_hashes, word_hashes
@@ -307,8 +307,7 @@ def test_families_on_templates_against_all_pairs(spark, monkeypatch):
             if near_dup.similarity(runs[i], runs[j], near_dup.BORDER) >= near_dup.SIMILAR:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
-    monkeypatch.setattr(near_dup, "FEW", 2)
-    monkeypatch.setattr(near_dup, "MOST_LEADERS", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", 9)
     own = near_dup._digested(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     monkeypatch.setattr(near_dup, "_buckets", lambda docs: docs.select(F.lit(7).cast("long").alias("bucket"), (F.size(F.split("text", " ")) - 4).alias("size"), "digest"))
     found = near_dup.classes(own.select("doc_id", "text")).collect()
