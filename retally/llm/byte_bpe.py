@@ -13,7 +13,6 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +23,8 @@ from retally.llm.common import free_name, text_pieces
 
 #: Slices whose merges a worker keeps; when full, the cache starts anew.
 CACHE_SLICES = 300_000
+#: Slices that are merged side by side, and the longest ones that are; longer ones are not kept.
+ROUND_SLICES, LONGEST = 8192, 256
 #: Code points in a row of the scan.
 SCAN_ROW = 256
 _NONE = 1 << 40  # rank of a pair that never merges
@@ -132,7 +133,7 @@ def token_starts(points: np.ndarray, between: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ranks of byte strings; encodes slices with a cache."""
+    """Ranks of byte strings; encodes slices with a cache of their ids, kept as bytes of 32-bit numbers."""
 
     def __init__(self, file: bytes):
         pairs = [line.split() for line in file.splitlines() if line]
@@ -141,29 +142,64 @@ class Vocabulary:
         self.lengths = np.zeros(max(self.pieces) + 1, np.int64)
         for rank, piece in self.pieces.items():
             self.lengths[rank] = len(piece)
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one slice: the leftmost pair of lowest rank is merged until none is left."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        if len(piece) > 256:
-            return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := min(pairs)) != _NONE:
-            at = pairs.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1], _NONE)
-            if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at], _NONE)
-        return tuple(map(ranks.__getitem__, parts))
-
-    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
-        """The same with a heap and linked parts: n log n for slices of any length."""
+        self.cache: dict[bytes, bytes] = {}
+        # Every two pieces that are a piece together, and its rank.
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)])
+        ranks, width = self.ranks, len(self.lengths)
+        found = {
+            ranks[piece[:i]] * width + ranks[piece[i:]]: rank
+            for piece, rank in ranks.items()
+            for i in range(1, len(piece))
+            if piece[:i] in ranks and piece[i:] in ranks
+        }
+        self.pairs = np.array(sorted(found), np.int64)
+        self.joined = np.array([found[p] for p in self.pairs.tolist()], np.int64)
+
+    def _rank_of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        names = a * len(self.lengths) + b
+        at = np.minimum(np.searchsorted(self.pairs, names), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == names, self.joined[at], _NONE)
+
+    def merge_all(self, slices: list[bytes]) -> list[bytes]:
+        """Ids of several slices, merged side by side: in each round the leftmost pair of lowest rank
+        of every slice, until a slice has none."""
+        out: list[bytes] = [b""] * len(slices)
+        lengths = np.fromiter(map(len, slices), np.int64, len(slices))
+        names = np.arange(len(slices))  # of the slices that go on
+        parts = self.of_byte[np.frombuffer(b"".join(slices), np.uint8)]
+        starts = np.cumsum(lengths) - lengths
+        rank = np.full(len(parts), _NONE)  # of each part with the next one
+        rank[:-1] = self._rank_of_pairs(parts[:-1], parts[1:])
+        rank[starts + lengths - 1] = _NONE
+        while len(names):
+            best = np.minimum.reduceat(rank, starts)
+            done = best == _NONE
+            if done.any():
+                ids = parts.astype(np.int32)
+                for k in np.flatnonzero(done).tolist():
+                    out[names[k]] = ids[starts[k] : starts[k] + lengths[k]].tobytes()
+                keep = np.repeat(~done, lengths)
+                parts, rank, names, lengths, best = parts[keep], rank[keep], names[~done], lengths[~done], best[~done]
+                if not len(names):
+                    break
+                starts = np.cumsum(lengths) - lengths
+            hits = np.flatnonzero(rank == np.repeat(best, lengths))
+            at = hits[np.searchsorted(hits, starts)]  # the first one of each slice
+            parts[at] = best
+            rank[at] = rank[at + 1]
+            keep = np.ones(len(parts), bool)
+            keep[at + 1] = False
+            parts, rank, lengths = parts[keep], rank[keep], lengths - 1
+            at -= np.arange(len(at))
+            starts = np.cumsum(lengths) - lengths
+            right = at[at < starts + lengths - 1]
+            rank[right] = self._rank_of_pairs(parts[right], parts[right + 1])
+            left = at[at > starts]
+            rank[left - 1] = self._rank_of_pairs(parts[left - 1], parts[left])
+        return out
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one slice with a heap and linked parts: n log n for slices of any length."""
         import heapq
 
         n, ranks = len(piece), self.ranks
@@ -193,17 +229,26 @@ class Vocabulary:
         while i < n:
             out.append(ranks[piece[i : end[i]]])
             i = after[i]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
-    def encode(self, slices: list[bytes]) -> list[tuple[int, ...]]:
+    def encode(self, slices: list[bytes]) -> list[bytes]:
         if len(self.cache) > CACHE_SLICES:
             self.cache.clear()
-        cache, out = self.cache, []
-        for piece in slices:
-            ids = cache.get(piece)
-            if ids is None:
-                ids = cache[piece] = self.merge(piece)
-            out.append(ids)
+        cache = self.cache
+        out = list(map(cache.get, slices))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if missing:
+            new = list({slices[i] for i in missing})
+            long = [piece for piece in new if len(piece) > LONGEST]
+            short = [piece for piece in new if len(piece) <= LONGEST]
+            for at in range(0, len(short), ROUND_SLICES):
+                part = short[at : at + ROUND_SLICES]
+                cache.update(zip(part, self.merge_all(part)))
+            cache.update((piece, self.merge_long(piece)) for piece in long)
+            for i in missing:
+                out[i] = cache[slices[i]]
+            for piece in long:
+                del cache[piece]
         return out
 
 
@@ -222,8 +267,8 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray,
     ends = np.minimum(following, stops[text]) if len(starts) else starts
     data = joined.encode()
     found = vocabulary.encode([data[a:b] for a, b in zip(at[starts].tolist(), at[ends].tolist())])
-    counts = np.fromiter(map(len, found), np.int64, len(found))
-    ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+    counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ids = np.frombuffer(b"".join(found), np.int32)
     tokens_before = np.concatenate(([0], np.cumsum(counts)))
     where = tokens_before[np.append(np.searchsorted(text, np.arange(len(texts))), len(starts))]
     total = np.concatenate(([0], np.cumsum(vocabulary.lengths[ids])))
