@@ -3,8 +3,8 @@
 A template is a function from messages (pairs of role and text) to one string. Successive
 prefixes of a conversation are rendered and neighbours compared: what the longer output adds
 is the new turn's span, and a template whose output for a prefix changes afterwards is found
-out. A turn's text is located by rendering the turn once more with a mark in its place. A
-conversation of n turns costs n renderings of its prefixes, as nothing is known of the
+out. A turn's text is located by rendering the turn once more with a mark in its place that no
+message of the conversation holds. A conversation of n turns costs n renderings of its prefixes, as nothing is known of the
 template; memory holds one conversation.
 """
 
@@ -24,7 +24,7 @@ Template = Callable[[list[Message]], str]
 CONTROLS = r"</?s>|\[/?INST\]|\[/?ROLE\]|\[/TURN\]"
 _ESCAPED = re.compile(rf"\\|[<\[](?=(?<=<)/?s>|(?<=\[)(?:/?INST\]|/?ROLE\]|/TURN\]))")
 _UNESCAPED = re.compile(r"\\(\\?)")
-_MARK = "\ue000"
+_EDGE, _INSIDE = "\ue000", "\ue001"
 
 
 def escape(text: str) -> str:
@@ -50,22 +50,31 @@ def instruction_template(messages: list[Message]) -> str:
     return "".join(out)
 
 
+def mark_for(messages: list[Message]) -> str:
+    """A text that stands nowhere in the messages, also not across their edges: a run of one code
+    point that is longer than any of theirs, between two others."""
+    inside = _INSIDE
+    while any(inside in part for message in messages for part in message):
+        inside += _INSIDE
+    return _EDGE + inside + _EDGE
+
+
 def spans(messages: list[Message], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The formatted conversation, per turn (start, stop, start of its text, stop of its text) in
     code points, and whether the template rewrote what it had given for a shorter prefix.
 
     A turn whose prefix was rewritten starts where the outputs first differ.
     """
-    shorter, found, rewritten = template([]), [], False
+    shorter, found, rewritten, mark = template([]), [], False, mark_for(messages)
     for i, (role, _) in enumerate(messages):
         longer = template(messages[: i + 1])
         start = len(shorter)
         if not longer.startswith(shorter):
             rewritten = True
             start = next((k for k, (a, b) in enumerate(zip(shorter, longer)) if a != b), min(len(shorter), len(longer)))
-        marked = template([*messages[:i], (role, _MARK)])
-        at = marked.find(_MARK, min(start, len(marked)))
-        behind = len(marked) - at - len(_MARK)
+        marked = template([*messages[:i], (role, mark)])
+        at = marked.find(mark, min(start, len(marked)))
+        behind = len(marked) - at - len(mark)
         inside = (at, max(at, len(longer) - behind)) if at >= 0 else (start, start)
         found.append((start, len(longer), *inside))
         shorter = longer

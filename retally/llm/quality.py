@@ -65,7 +65,7 @@ class Indicators:
         return found.astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled weights of the indicators, squares of their ratios, and (slope, offset) of the
     probability. ``weights``: how many documents each row stands for."""
     good = labels == 1
@@ -87,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: i
     def descend(train: np.ndarray) -> tuple[np.ndarray, float]:
         w, bias, dual = np.zeros(WIDTH), 0.0, np.zeros(len(rows))
         cost = PENALTY * np.where(good, len(rows) / (2 * good.sum()), len(rows) / (2 * (~good).sum()))
-        for _ in range(ROUNDS):
+        for _ in range(rounds):
             for i in order.permutation(train):
                 row, x = rows[i], values[i]
                 slope = sign[i] * (w[row] @ x + bias) - 1.0
@@ -140,19 +140,22 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = SAMPLE_PER_LABEL, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model, from about ``per_label`` labelled documents of each label.
 
     Rows are chosen by a hash of the id against a share, so the sample needs no sort and its
     size is bounded (its deviation is that of a binomial count). All data that reaches the one
-    fitting task, and the model that reaches the driver, are of that bounded size.
+    fitting task, and the model that reaches the driver, are of that bounded size: of each text its
+    different indicators, 4 bytes each and WIDTH at most, so 2 * ``per_label`` * WIDTH * 4 bytes at the
+    very worst, when all chosen texts are megabytes long, and a hundredth of that on usual ones.
     """
     known = labelled(labels, label)
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, per_label / max(sizes.get(1, 0), 1))).otherwise(min(1.0, per_label / max(sizes.get(0, 0), 1)))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(chance < share).select(F.col("doc_id").alias("_id"), "label", (1 / share).alias("weight"))
-    texts = docs.join(F.broadcast(sample), docs["doc_id"] == sample["_id"]).select("_id", "text", "label", "weight")
+    named = docs.select(F.col("doc_id").alias("_id"), "text")  # no other column is looked at
+    texts = named.join(F.broadcast(sample), "_id").select("_id", "text", "label", "weight")
     # One text of each id, however often its rows are repeated.
     order = F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("text")))
     texts = texts.withColumn("_n", order).where("_n = 1").drop("_n")
@@ -174,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label:
             rows += [np.frombuffer(x, np.int32) for x in batch.column(3).to_pylist()]
             marks += batch.column(1).to_pylist()
             stands += batch.column(2).to_pylist()
-        model = fit(rows, np.array(marks, int), np.array(stands, float))
+        model = fit(rows, np.array(marks, int), np.array(stands, float), rounds=rounds)
         yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary()) for m in model], names=["w", "squares", "curve"])
 
     sampled = texts.mapInArrow(features, "_id bigint, label int, weight double, found binary")

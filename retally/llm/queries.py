@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from retally.llm import ann, byte_bpe, cap_links, chat, fingerprints, mixing, near_dup, quality, repair, suffix_dedup, token_files, warc, whitening
 from retally.llm.common import table
 
 #: Folder of the public vocabularies; the driver reads them and sends them to the executors.
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

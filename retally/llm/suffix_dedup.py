@@ -440,10 +440,13 @@ def dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     new columns get underscores in front where ``docs`` has columns of these names.
     """
     names = [free_name(docs, n) for n in ("spans", "kept")]
-    marked = repeated_spans(_identified(docs)).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    mine = marked.select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    same = docs["doc_id"].eqNullSafe(mine["__doc"]) & (_tag(docs["text"]) == mine["__tag"])
-    joined = docs.join(mine, same, "left").select(*[docs[c] for c in docs.columns], "__spans")
+    marked = repeated_spans(_identified(docs)).groupBy("doc_id", "tag").agg(
+        F.collect_set(F.struct("start", "stop")).alias("spans")  # rows that are equal all add the same ones
+    )
+    doc, tag, listed = (free_name(docs, n) for n in ("_doc", "_tag", "_spans"))
+    mine = marked.select(F.col("doc_id").alias(doc), F.col("tag").alias(tag), F.col("spans").alias(listed))
+    same = docs["doc_id"].eqNullSafe(mine[doc]) & (_tag(docs["text"]) == mine[tag])
+    joined = docs.join(mine, same, "left").select(*[docs[c] for c in docs.columns], listed)
     at_text, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,9 +51,7 @@ def _tokenizer(definition: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at a time
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_str(definition)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_str(definition)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -88,7 +86,8 @@ class WordEncoder:
 
     Words of letters only are one piece each and go to the library's model at once, many at a
     time; its last token of a word says so. A comma or full stop behind a letter is a token of
-    its own. All other new words go through the whole tokenizer.
+    its own. All other new words go through the whole tokenizer, and so do, uncut, texts with the
+    string of an added token, which the library looks for before anything else.
     """
 
     def __init__(self, definition: str):
@@ -101,6 +100,9 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix and not bare["model"].get("continuing_subword_prefix"):
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        added = [token["content"].lower() for token in json.loads(definition).get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.mark = os.path.commonprefix(added)[:1]  # a first look for one character
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
@@ -129,6 +131,14 @@ class WordEncoder:
         """The ids of each text, as bytes of little-endian integers of ``kind``."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
+        # A lower-case match is enough of a reason: words are kept in lower case.
+        odd = [i for i, text in enumerate(texts) if self.mark in text and self.added.search(text.lower())] if self.added else []
+        if odd:
+            whole = self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)
+            alone = {i: np.array(found.ids, self.kind).tobytes() for i, found in zip(odd, whole)}
+            rest = self.encode([text for i, text in enumerate(texts) if i not in alone])
+            others = iter(rest)
+            return [alone[i] if i in alone else next(others) for i in range(len(texts))]
         lines = [_words(text) for text in texts]
         words = list(chain.from_iterable(lines))
         found = list(map(self.cache.get, words))

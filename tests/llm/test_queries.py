@@ -103,7 +103,6 @@ def test_quality(spark):
 
 def test_token_files(spark, documents):
     tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/word_bpe_49k.json")
-    tokenizer.encode_special_tokens = True
     want, start = {}, 0
     for doc_id, text in documents:
         ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]

@@ -54,7 +54,6 @@ def test_word_encoder_equals_the_library():
     with open(WORDS) as file:
         definition = file.read()
     library, texts = Tokenizer.from_str(definition), odd_texts(3000, 2)
-    library.encode_special_tokens = True
     encoder = token_files.WordEncoder(definition)
     for _ in range(2):  # from the library, then from the cache
         got = [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)]
