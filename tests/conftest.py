@@ -21,7 +21,7 @@ SEED_SCHEMA = (
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(
-        4, app="tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+        4, app="tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.sql.maxMetadataStringLength": "4000"}
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
