@@ -67,17 +67,20 @@ _LETTERS = _byte_letters()
 _ODD_CASE = re.compile("[\u03a3\u0130]")
 
 
-def _spelled(word: str) -> str | None:
-    """A word of letters only as its model takes it, without the steps before the model; None for
-    any other word."""
-    if not word.isalpha():
-        return None
-    if word.isascii():
-        return word.lower()
-    lower = word.lower()
-    if _ODD_CASE.search(word) or not lower.isalpha() or not unicodedata.is_normalized("NFC", word):
-        return None
-    return lower.encode().decode("latin-1").translate(_LETTERS)
+#: The same for one byte of each of many words that line feeds separate.
+_LETTERS_OF_LINES = {b: c for b, c in _LETTERS.items() if b != 0x0A}
+
+
+def _spelled(words: list[str]) -> list[str]:
+    """Words of letters as their model takes them, without the steps before the model. None of them
+    is one of ``_unlike``."""
+    lines = "\n".join(words).lower()
+    return lines.encode().decode("latin-1").translate(_LETTERS_OF_LINES).split("\n") if words else []
+
+
+def _unlike(word: str) -> bool:
+    """Whether a word of letters may change in other ways than letter by letter."""
+    return bool(_ODD_CASE.search(word)) or not word.lower().isalpha() or not unicodedata.is_normalized("NFC", word)
 
 
 class WordEncoder:
@@ -108,20 +111,22 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         cache, size = self.cache, self.kind.itemsize
         stems = {w: w[:-1] for w in words if w[-1] in ".," and w[-2:-1].isalpha() and w[-2] != "\u0130"}
-        whole = {w for w in words if w not in stems} | {s for s in stems.values() if s not in cache} | set(".,")
-        spelled = {w: s for w in whole if (s := _spelled(w)) is not None} if self.ends.any() else {}
-        names, letters = list(spelled), list(spelled.values())
+        whole = words.difference(stems)
+        whole.update(s for s in stems.values() if s not in cache)
+        whole.update(".,")
+        names = [w for w in whole if w.isalpha()] if self.ends.any() else []
+        if not (joined := "".join(names)).isascii() and (_ODD_CASE.search(joined) or not unicodedata.is_normalized("NFC", "\n".join(names))):
+            names = [w for w in names if w.isascii() or not _unlike(w)]
+        letters = _spelled(names)
         for at in range(0, len(names), 2000):
             part = names[at : at + 2000]
             (found,) = self.model.encode_batch_fast([letters[at : at + 2000]], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
-            data = ids.tobytes()
-            for word, a, b in zip(part, [0, *stops], stops, strict=False):
-                cache[word] = data[a:b]
             if len(stops) != len(part):
                 raise ValueError("the tokenizer does not mark the ends of words")
-        others = [w for w in whole if w not in spelled]
+            cache.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
+        others = list(whole.difference(names))
         for word, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             cache[word] = np.array(found.ids, self.kind).tobytes()
         for word, stem in stems.items():
