@@ -419,6 +419,12 @@ def oracles() -> dict[str, str]:
            AS id_list
     FROM ({COPIED}) AS c GROUP BY template_id
     """
+    sql["id_pieces"] = f"""
+    SELECT cameo_code, (n - 1) // 100 AS piece, string_agg(CAST(globaleventid AS VARCHAR), ',' ORDER BY globaleventid) AS id_list
+    FROM (SELECT cameo_code, globaleventid, row_number() OVER (PARTITION BY cameo_code ORDER BY globaleventid) AS n
+          FROM ({EVENT_LOG}) AS ev) AS numbered
+    GROUP BY cameo_code, piece
+    """
     sql["parse_ids"] = f"SELECT template_id, globaleventid FROM ({COPIED}) AS c"
     sql["scalar_fns"] = f"""
     SELECT globaleventid, {DAY} AS event_day,

@@ -281,6 +281,12 @@ def id_list(spark, folder):
     return keyed.id_list(_copies(keyed_events(spark, folder), "template_id"), "template_id")
 
 
+@_register("id_pieces")
+def id_pieces(spark, folder):
+    """Ids of the events of each code in pieces of a hundred; one code has most of the events."""
+    return keyed.id_pieces(keyed_events(spark, folder), "cameo_code", size=100)
+
+
 @_register("parse_ids")
 def parse_ids(spark, folder):
     listed = id_list(spark, folder)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import KEY
+from ..session import written
 
 
 def latest_patch(patch: DataFrame, order: str, key: str = KEY) -> DataFrame:
@@ -170,12 +171,36 @@ def id_list(rows: DataFrame, by: str, key: str = KEY) -> DataFrame:
     """Keys per group as comma-separated text in ascending order.
 
     A list is built in one task, so groups must be small by construction (the copies of one
-    row, say).
+    row, say); ``id_pieces`` takes groups of any size.
     """
     ids = F.sort_array(F.collect_list(key)).cast("array<string>")
     return rows.groupBy(by).agg(F.array_join(ids, ",").alias("id_list"))
 
 
+#: Ids in one piece of a list.
+PIECE_IDS = 10_000
+
+
+def id_pieces(rows: DataFrame, by: str, key: str = KEY, size: int = PIECE_IDS) -> DataFrame:
+    """The keys of each group in ascending order as pieces of ``size`` ids: ``by``, ``piece`` from 0,
+    ``id_list``. A group may hold any share of all rows.
+
+    Rows are range-partitioned by group and key, so a large group lies in several partitions. An id's
+    place is that within its partition after the group's ids in the partitions before, whose counts are
+    one row for each group and partition. Repeated keys keep their number.
+    """
+    ranged = rows.select(by, key).repartitionByRange(by, key).withColumn("_part", F.spark_partition_id())
+    placed = written(ranged, "id-ranges")  # so that both uses see the same partitions
+    counts = placed.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(key))
+    joined = placed.withColumn("_within", within).join(starts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    piece = F.expr(f"(_before + _within - 1) div {size}")
+    ids = F.sort_array(F.collect_list(key)).cast("array<string>")
+    return joined.groupBy(by, piece.alias("piece")).agg(F.array_join(ids, ",").alias("id_list"))
+
+
 def parse_ids(text: Column) -> Column:
     """Comma-separated ids as an array of longs."""
     return F.split(text, ",").cast("array<bigint>")

@@ -34,8 +34,12 @@ def split_fields(value: Column) -> Column:
 def detect_layout(lines: DataFrame) -> int:
     """The layout of the data lines: short only if it is strictly more common. Runs one
     aggregate over all lines, of two numbers."""
+    return _layout_of(data_lines(lines))
+
+
+def _layout_of(data: DataFrame) -> int:
     n = F.size(split_fields(F.col("value")))
-    seen = data_lines(lines).agg(F.count_if(n == SHORT).alias("short"), F.count_if(n == FULL).alias("full")).head()
+    seen = data.agg(F.count_if(n == SHORT).alias("short"), F.count_if(n == FULL).alias("full")).head()
     return SHORT if seen["short"] > seen["full"] else FULL
 
 
@@ -165,11 +169,12 @@ def rejected_lines(
 
 def _parse_file(spark, path, offset, limit, layout) -> DataFrame:
     lines = read_lines(spark, path)
-    if layout is None:
-        layout = detect_layout(lines)
-    if offset is None and limit is None:
+    data = None
+    if layout is None or (offset is None and limit is None):
         data = data_lines(lines)
-    else:
+    if layout is None:
+        layout = _layout_of(data)
+    if offset is not None or limit is not None:
         data = slice_lines(lines, offset or 0, limit)
     return parse(data, layout)
 

@@ -1,7 +1,8 @@
 """Positions in text input: data lines, line numbers and dense row numbers without a global sort.
 
 Every row carries the file and the start of the input split it came from. The first line of a
-file is known by its place, in batches and in streams. Row numbers come from one aggregate of
+file is known by its place: the scan numbers its rows, a pass over them finds the first number of
+each file, and rows with these numbers are left out by a join on one 64-bit column. Row numbers come from one aggregate of
 rows per split and prefix sums of two levels, splits inside a file and files inside ranges of
 names, so no task sees all splits. The scan is the same in both passes, so the numbers are
 reproducible when a task is run again.
@@ -9,7 +10,6 @@ reproducible when a task is run again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import written
 
 SPLIT = ["file", "split_start"]
 
@@ -47,12 +47,29 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return _text_lines(reader, path)
 
 
+#: First lines that are sent to all tasks: eight bytes a file. With more files than that they are
+#: found by a pass of their own over the lines of each split.
+MOST_FILES = 1_000_000
+
+
 def data_lines(lines: DataFrame) -> DataFrame:
-    """Lines without the first line of each file, whatever it says; ``lines`` may be a stream.
+    """Lines without the first line of each file, whatever it says.
 
-    Lines of a split arrive in order, so the first one of a split that starts at 0 is the
-    file's first.
+    Runs a pass over the lines that counts them by file. Steps stay narrow, so rows keep the order of
+    the scan. In a stream this is for the batches (``maintain_from_lines``).
     """
+    chosen = lines.select("value", *SPLIT)
+    tagged = chosen.withColumn("_tag", F.monotonically_increasing_id())
+    firsts = tagged.where("split_start = 0").groupBy("file").agg(F.min("_tag").alias("_tag")).select("_tag")
+    firsts = written(firsts, "first-lines")
+    if firsts.count() > MOST_FILES:
+        return _without_first_rows(chosen)
+    return tagged.join(F.broadcast(firsts), "_tag", "left_anti").select("value", *SPLIT)
+
+
+def _without_first_rows(lines: DataFrame) -> DataFrame:
+    """The same for any number of files: lines of a split arrive in order, so the first one of a
+    split that starts at 0 is the file's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -67,24 +84,18 @@ def data_lines(lines: DataFrame) -> DataFrame:
             before = (batch.column(1)[-1].as_py(), int(starts[-1]))
             yield batch.filter(pa.array(~(first & (starts == 0))))
 
-    return lines.select("value", *SPLIT).mapInArrow(run, lines.select("value", *SPLIT).schema)
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that all that uses it sees the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return lines.mapInArrow(run, lines.schema)
 
 
-def _split_offsets(tagged: DataFrame) -> DataFrame:
-    """Per split: its first tag and the rows in all splits before it. Runs the counting pass."""
-    counts = tagged.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("_rows"), F.min("_tag").alias("_first_tag"))
-    splits = _written(counts, "splits")
+def _split_offsets(tagged: DataFrame, headed: bool = False) -> DataFrame:
+    """Per split: its first tag and the rows in all splits before it. Runs the counting pass. With
+    ``headed`` the first row of a file does not count."""
+    rows = F.count(F.lit(1)) - F.when(F.lit(headed) & (F.col("split_start") == 0), 1).otherwise(0)
+    counts = tagged.groupBy(*SPLIT).agg(rows.alias("_rows"), F.min("_tag").alias("_first_tag"))
+    splits = written(counts, "splits")
     files = splits.groupBy("file").agg(F.sum("_rows").alias("_file_rows"))
     ranges = files.repartitionByRange("file").withColumn("_range", F.spark_partition_id())
-    placed = _written(ranges, "files")
+    placed = written(ranges, "files")
     earlier = (Window.unboundedPreceding, -1)
     # One row per partition of a shuffle: as few as its setting says, whatever the input.
     totals = placed.groupBy("_range").agg(F.sum("_file_rows").alias("_range_rows"))
@@ -96,7 +107,7 @@ def _split_offsets(tagged: DataFrame) -> DataFrame:
     in_file = Window.partitionBy("file").orderBy("split_start").rowsBetween(*earlier)
     located = splits.withColumn("_in_file", F.coalesce(F.sum("_rows").over(in_file), F.lit(0))).join(files, "file")
     before = F.col("_before_range") + F.col("_in_range") + F.col("_in_file")
-    return _written(located.select(*SPLIT, "_first_tag", before.alias("_before")), "offsets")
+    return written(located.select(*SPLIT, "_first_tag", before.alias("_before")), "offsets")
 
 
 def number_rows(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
@@ -114,7 +125,12 @@ def number_rows(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
 
 def number_lines(lines: DataFrame) -> DataFrame:
     """Data lines with their position ``data_no`` from 0."""
-    return number_rows(data_lines(lines), "data_no")
+    tagged = lines.select("value", *SPLIT).withColumn("_tag", F.monotonically_increasing_id())
+    located = tagged.join(_split_offsets(tagged, headed=True), SPLIT)
+    first, place = F.col("split_start") == 0, F.col("_tag") - F.col("_first_tag")
+    number = F.col("_before") + place - F.when(first, 1).otherwise(0)
+    data = located.where(~(first & (place == 0)))
+    return data.withColumn("data_no", number).select("value", *SPLIT, "data_no")
 
 
 def slice_lines(lines: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -13,16 +13,14 @@ from retally.sources import changes as feeds
 from retally.streaming.store import ViewStore
 
 FOLDER = "/root/testdata/sf0.001"
-STREAMED = {name for name in QUERIES if name.startswith(("stream_", "load_", "compacted_", "crash_"))}
-#: Python drops the first line of text files here, and does nothing else.
-TEXT = {"line_report"}
+STREAMED = {name for name in QUERIES if name.startswith(("stream_", "compacted_", "crash_"))}
 
 
 def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED - TEXT))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
 def test_no_python_and_no_products(spark, name):
     plan = physical(entry.queries()[name](spark, FOLDER))
     for unwanted in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "Arrow"):
