@@ -6,12 +6,15 @@ documents below a cut, which is found digit by digit. Places are cut into blocks
 gives is a quota of blocks. A tree splits the quotas of all sources among output shards: each
 node gives half of its blocks to either child, and how many of each source is a draw of the
 multivariate hypergeometric distribution, so a shard's composition is that of a random sample
-and all quotas are met exactly. Shards then draw disjoint runs of each source's permuted
+and all quotas are met exactly. Sources hang in groups under a second tree, whose rows are
+drawn group by group. Shards then draw disjoint runs of each source's permuted
 blocks, and rows are shuffled within their shard.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,8 +25,10 @@ from retally.llm.common import WORD, written
 WEIGHTS = (5, 2, 1)
 #: Size of the mix in sizes of all documents; most copies of a source.
 TOTAL, MOST = 1.5, 2
-#: Output shards are 2**LEVELS; documents in a block, about.
-LEVELS, BLOCK = 4, 64
+#: Output shards are 2**LEVELS at least, and of about so many words; documents in a block, about.
+LEVELS, SHARD_WORDS, BLOCK = 4, 64_000_000, 64
+#: Sources whose quotas are split in one row, and groups of sources in one row of the next tier.
+GROUP = 256
 SEED = "mix-1"
 
 #: Bits of a place, and of a digit of the search for the cut.
@@ -141,28 +146,66 @@ def _hypergeometric(total: str, kind: str, drawn: str, chance: str) -> str:
     )
 
 
+def _halved(rows: DataFrame, level: int, tier: int) -> DataFrame:
+    """``rows`` (``node``, ``group``, ``quotas``, ``drawn``) with ``left``: how many of the ``drawn`` blocks
+    that go to the left half of the node's shards come from each of the group's members."""
+    seed = SEED if tier == 0 else f"{SEED}/{tier}"
+    chance = f"(pmod(xxhash64('{seed}', node, {level}, q.rank), 9007199254740992L) / 9007199254740992D)"
+    draw = _hypergeometric("a.total", "q.quota", "a.drawn", chance)
+    total = "aggregate(quotas, 0L, (s, q) -> s + q.quota)"
+    # One member after the other: the rest of the group and of the draw go down as it is made.
+    left = (
+        f"aggregate(quotas, struct({total} as total, drawn, cast(array() as array<bigint>) as made),"
+        f" (a, q) -> transform(array({draw}), x -> struct(a.total - q.quota as total, a.drawn - x as drawn, concat(a.made, array(x)) as made))[0],"
+        f" a -> a.made)"
+    )
+    return rows.select("node", "group", "quotas", F.expr(left).alias("left"))
+
+
+def _children(made: DataFrame) -> DataFrame:
+    """The two halves of each row: the left one has what was drawn, the right one the rest."""
+    both = F.expr(
+        "explode(array("
+        "struct(node * 2 as node, transform(quotas, (q, i) -> struct(q.rank as rank, left[i] as quota)) as quotas),"
+        "struct(node * 2 + 1 as node, transform(quotas, (q, i) -> struct(q.rank as rank, q.quota - left[i] as quota)) as quotas)))"
+    )
+    return made.select("group", both.alias("child")).select("child.node", "group", "child.quotas")
+
+
 def split(sources: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Blocks per ``shard`` and source ``rank``: ``quota`` and ``first``, the source's blocks that
-    earlier shards have. A node's row holds one number per source."""
-    nodes = sources.agg(F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("quotas")).select(F.lit(0).cast("long").alias("node"), "quotas")
-    chance = f"(pmod(xxhash64('{SEED}', node, {{level}}, q.rank), 9007199254740992L) / 9007199254740992D)"
+    earlier shards have.
+
+    The tree has two sides. Shards are halved level by level; sources hang under groups of GROUP, groups
+    under groups of groups. At a node the top groups' quotas are drawn first, then those of each group's
+    members given the group's draw, which is the same distribution. A row holds the numbers of one group,
+    so rows are dealt to tasks and stay as short with millions of sources as with hundreds.
+    """
+    n = (sources.agg(F.max("rank")).first()[0] or 0) + 1
+    tiers = [sources.select("rank", F.col("quota").cast("bigint").alias("quota"))]
+    while n > GROUP:
+        n = -(-n // GROUP)
+        tiers.append(tiers[-1].groupBy(F.expr(f"rank div {GROUP}").alias("rank")).agg(F.sum("quota").alias("quota")))
+    deep = len(tiers) > 1
+    kept = (lambda df, name: written(df, name)) if deep else (lambda df, name: df)
+    rows = []
+    for tier in tiers:
+        member = F.sort_array(F.collect_list(F.struct("rank", "quota"))).alias("quotas")  # GROUP at most
+        grouped = tier.groupBy(F.expr(f"rank div {GROUP}").alias("group")).agg(member)
+        rows.append(kept(grouped.select(F.lit(0).cast("bigint").alias("node"), "group", "quotas"), "mix-groups"))
     for level in range(levels):
-        draw = _hypergeometric("a.total", "q.quota", "a.drawn", chance.format(level=level))
-        total = "aggregate(quotas, 0L, (s, q) -> s + q.quota)"
-        # One source after the other: the rest of the node and of the draw go down as it is made.
-        left = (
-            f"aggregate(quotas, struct({total} as total, {total} div 2 as drawn, cast(array() as array<bigint>) as made),"
-            f" (a, q) -> transform(array({draw}), x -> struct(a.total - q.quota as total, a.drawn - x as drawn, concat(a.made, array(x)) as made))[0],"
-            f" a -> a.made)"
-        )
-        made = nodes.select("node", "quotas", F.expr(left).alias("left"))
-        both = F.expr(
-            "explode(array("
-            "struct(node * 2 as node, transform(quotas, (q, i) -> struct(q.rank as rank, left[i] as quota)) as quotas),"
-            "struct(node * 2 + 1 as node, transform(quotas, (q, i) -> struct(q.rank as rank, q.quota - left[i] as quota)) as quotas)))"
-        )
-        nodes = made.select(both.alias("child")).select("child.node", "child.quotas")
-    cells = nodes.select(F.col("node").cast("int").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.rank", "q.quota")
+        drawn = None
+        for tier in reversed(range(len(tiers))):
+            if drawn is None:
+                given = rows[tier].withColumn("drawn", F.expr("aggregate(quotas, 0L, (s, q) -> s + q.quota) div 2"))
+            else:
+                given = rows[tier].join(drawn, ["node", "group"])
+            made = kept(_halved(given, level, tier), f"mix-halves-{level}")
+            if tier:
+                each = F.expr("inline(transform(quotas, (q, i) -> struct(q.rank as group, left[i] as drawn)))")
+                drawn = made.select("node", each)
+            rows[tier] = _children(made)
+    cells = rows[0].select(F.col("node").cast("int").alias("shard"), F.explode("quotas").alias("q")).select("shard", "q.rank", "q.quota")
     before = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return cells.withColumn("first", F.coalesce(F.sum("quota").over(before), F.lit(0)))
 
@@ -189,9 +232,17 @@ def plan(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     return plan_of(slim, **options)
 
 
-def plan_of(slim: DataFrame, block: int = BLOCK, levels: int = LEVELS, **shares) -> tuple[DataFrame, DataFrame]:
-    """The same from ``source``, ``size`` and ``place``."""
+def levels_for(words: float) -> int:
+    """Levels of the tree of shards for a mix of so many words: LEVELS at least."""
+    return max(LEVELS, math.ceil(math.log2(max(words, 1) / SHARD_WORDS)))
+
+
+def plan_of(slim: DataFrame, block: int = BLOCK, levels: int | None = None, **shares) -> tuple[DataFrame, DataFrame]:
+    """The same from ``source``, ``size`` and ``place``. The number of shards follows the mix's words
+    unless ``levels`` says how often they are halved."""
     sources = written(with_quotas(with_cuts(slim, targets(slim, **shares)), block), "mix-quotas")
+    if levels is None:
+        levels = levels_for(sources.agg(F.sum("target")).first()[0] or 0)
     return sources, written(draws(sources, split(sources, levels)), "mix-draws")
 
 

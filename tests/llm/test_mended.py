@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from retally.llm import ann, chat, near_dup, quality, suffix_dedup, token_files
+from retally.llm import ann, chat, mixing, near_dup, quality, suffix_dedup, token_files
 from retally.llm.queries import TOKENIZERS
 
 WORDS = f"{TOKENIZERS}/word_bpe_49k.json"
@@ -139,6 +140,36 @@ def test_quality_equals_a_dense_model(spark):
     assert max(abs(r["score"] - want[r["doc_id"]]) for r in got) < 1e-6
 
 
+# --- many sources ------------------------------------------------------------------------------
+
+
+def test_ten_thousand_sources_are_split_in_short_rows(spark):
+    """Three tiers of groups; every quota is met exactly, shards are equal, no source favours one."""
+    sources = spark.range(10_000).select(F.col("id").alias("rank"), F.when(F.col("id") == 7, 50_000).otherwise(F.col("id") % 13).cast("long").alias("quota"))
+    before = mixing.GROUP
+    mixing.GROUP = 30
+    try:
+        cells = mixing.split(sources, levels=3).collect()
+    finally:
+        mixing.GROUP = before
+    got, first, shards = {}, {}, [0] * 8
+    for r in sorted(cells, key=lambda r: r["shard"]):
+        assert r["first"] == got.get(r["rank"], 0) and r["quota"] >= 0
+        got[r["rank"]] = got.get(r["rank"], 0) + r["quota"]
+        shards[r["shard"]] += r["quota"]
+    assert got == {i: 50_000 if i == 7 else i % 13 for i in range(10_000)}
+    assert max(shards) - min(shards) <= 1
+    hot = [r["quota"] for r in cells if r["rank"] == 7]
+    assert all(abs(q - 50_000 / 8) < 600 for q in hot)
+    twelve = [sum(r["quota"] for r in cells if r["rank"] % 13 == 12 and r["shard"] == k) for k in range(8)]
+    assert max(twelve) - min(twelve) < 0.15 * sum(twelve) / 8
+
+
+def test_shards_follow_the_words():
+    assert mixing.levels_for(0) == mixing.levels_for(1e9) == mixing.LEVELS
+    assert mixing.levels_for(mixing.SHARD_WORDS * 1000) == 10
+
+
 # --- the whole search on many lists ------------------------------------------------------------
 
 
