@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from ..functions.labels import CONFLICT_CLASSES, QUAD_LABELS
 from .queries import AS_OF, COPIES, END, FIRST_COMMIT, SAMPLE, SAMPLE_SHIFT, SEED, START
 
 FIRST_COMMIT_S = int(FIRST_COMMIT.timestamp())
@@ -83,7 +84,7 @@ def _nearest(column: str) -> str:
 
 ROW_MEAN = f"{_nearest('goldstein')} / nullif(count(goldstein), 0)"
 MEAN_OF_MEANS = f"{_nearest('avg_goldstein')} / nullif(count(avg_goldstein), 0)"
-CONFLICT = "CAST(sum(CASE WHEN quad_class IN (3, 4) THEN total_events ELSE 0 END) AS BIGINT)"
+CONFLICT = f"CAST(sum(CASE WHEN quad_class IN {CONFLICT_CLASSES} THEN total_events ELSE 0 END) AS BIGINT)"
 TOTAL = "CAST(sum(total_events) AS BIGINT) AS total_events"
 DAY = "CAST(strptime(CAST(event_date AS VARCHAR), '%Y%m%d') AS DATE)"
 WIDTH = "(SELECT max(event_id) - min(event_id) + 1 FROM events)"
@@ -133,10 +134,7 @@ def _top(n: int, keys: str) -> str:
 PAIR = "source_actor, target_actor"
 COUNTRY = "source_actor IS NOT NULL AND length(source_actor) = 3"
 BOTH = "source_actor IS NOT NULL AND target_actor IS NOT NULL"
-LABEL = (
-    "CASE quad_class WHEN 1 THEN 'Q1 Verbal Coop' WHEN 2 THEN 'Q2 Material Coop'"
-    " WHEN 3 THEN 'Q3 Verbal Conflict' WHEN 4 THEN 'Q4 Material Conflict' ELSE {other} END"
-)
+LABEL = "CASE quad_class " + " ".join(f"WHEN {n} THEN '{label}'" for n, label in QUAD_LABELS.items()) + " ELSE {other} END"
 TOP_DYADS = _over_view(LINES, "dyad", PAIR, "mean_goldstein", BOTH, _top(20, PAIR))
 
 # --- the event log after changes of one kind, and after all of them ----------------------
