@@ -114,15 +114,16 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix polynomial hashes of a byte array: equal substrings have equal hashes anywhere."""
+    """Prefix polynomial hashes of a byte array: equal substrings have equal hashes anywhere. Hashes of
+    another ``base`` and other values of bytes are independent of these."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE, values: np.ndarray = BYTE_VALUE):
         n = len(data)
-        terms = BYTE_VALUE[data]
-        terms *= powers(BASE, n)
+        terms = values[data]
+        terms *= powers(base, n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
-        self.inverse = powers(BASE_INVERSE, n + 1)
+        self.inverse = powers(BASE_INVERSE if base == BASE else pow(base, -1, 1 << 64), n + 1)
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of data[start:stop], element by element."""

@@ -11,8 +11,11 @@ row; the bytes that all of them span are its context.
    mergesorts whose comparisons find the common extension by binary search over prefix
    hashes: eight steps for any two suffixes. Neighbours in sorted order with common extensions
    of l bytes before and r bytes after their anchors share a string if l + r reaches LENGTH.
-   What these hashes call equal is compared byte by byte. Equal contexts of step 1, which are
-   most repeats, are not: they are equal if their 64-bit hashes are.
+   What these hashes call equal is compared byte by byte.
+
+Contexts of step 1, which are most repeats, are not sent around as bytes: they count as equal only if
+a second hash of all their bytes, of another base and other values of bytes, agrees too. Contexts on
+which the two hashes disagree are different ones, and go on to step 2.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from retally.llm.common import Prefix, bytes_of, free_name, mix, text_pieces, wr
 
 LENGTH = 200
 GRAM = 80
+#: Base and values of bytes of the second hash of a context.
+_PROOF_BASE, _PROOF_VALUE = 0xD1342543DE82EF95, mix(np.arange(256, dtype=np.uint64), 23) | np.uint64(1)
 #: Starts that one anchor is looked for in.
 SPAN = LENGTH - GRAM + 1
 
@@ -37,8 +42,9 @@ SPAN = LENGTH - GRAM + 1
 def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """All anchors of the texts in ``data``: ``text``, ``at`` (from the start of the data), ``key``
     (hash of the gram), ``low`` and ``high`` (first and last start of its strings), ``context``
-    (hash of the bytes from low to high + LENGTH and of the anchor's place in them)."""
-    names = ("text", "at", "key", "low", "high", "context")
+    (hash of the bytes from low to high + LENGTH and of the anchor's place in them), ``proof`` (another
+    one of these bytes)."""
+    names = ("text", "at", "key", "low", "high", "context", "proof")
     n = len(data)
     if n < LENGTH:
         return {name: np.zeros(0, np.int64) for name in names}
@@ -65,7 +71,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(starts)) - 1
     low, high, at = starts[first], starts[last], at[first]
     shape = mix(((at - low) * 256 + (high - low)).astype(np.uint64), 3)
-    return {"text": text_of[low], "at": at, "key": keys[at], "low": low, "high": high, "context": mix(prefix.of(low, high + LENGTH) ^ shape, 2)}
+    context = mix(prefix.of(low, high + LENGTH) ^ shape, 2)
+    proof = Prefix(data, _PROOF_BASE, _PROOF_VALUE).of(low, high + LENGTH)
+    return {"text": text_of[low], "at": at, "key": keys[at], "low": low, "high": high, "context": context, "proof": proof}
 
 
 #: Contexts of one gram that are sorted together; more are first told apart by longer strings.
@@ -96,21 +104,23 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, ...]:
     return packed >> 14, (packed >> 7) & 127, packed & 127
 
 
-def _third_or_later(key: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """Which rows have two others with their key and context before them: these are equal to
+def _third_or_later(key: np.ndarray, context: np.ndarray, proof: np.ndarray) -> np.ndarray:
+    """Which rows have two others with their key, context and proof before them: these are equal to
     others for sure, and nothing else depends on them, so they need not meet their key."""
-    order = np.lexsort((context, key))
-    same = (key[order][1:] == key[order][:-1]) & (context[order][1:] == context[order][:-1])
+    order = np.lexsort((proof, context, key))
+    same = np.ones(max(len(key) - 1, 0), bool)
+    for part in (key, context, proof):
+        same &= part[order][1:] == part[order][:-1]
     out = np.zeros(len(key), bool)
     out[order[2:]] = same[1:] & same[:-1]
     return out
 
 
-PLACES = "key bigint, context bigint, doc_id bigint, tag bigint, place bigint"
+PLACES = "key bigint, context bigint, proof bigint, doc_id bigint, tag bigint, place bigint"
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """``key``, ``context``, ``doc_id``, ``tag``, ``place`` of every anchor, and whether it is ``sure``
+    """``key``, ``context``, ``proof``, ``doc_id``, ``tag``, ``place`` of every anchor, and whether it is ``sure``
     to be equal to others of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +132,18 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 text = found["text"]
                 low = found["low"] - offsets[text]
                 place = _pack(low, found["at"] - found["low"], found["high"] - found["low"])
-                made.append((found["key"].view(np.int64), found["context"].view(np.int64), start + text, place))
-            key, context, row, place = (np.concatenate(x) for x in zip(*made))
-            columns = [pa.array(key), pa.array(context), batch.column(0).take(pa.array(row)), pa.array(tags[row]), pa.array(place), pa.array(_third_or_later(key, context))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "tag", "place", "sure"])
+                made.append((*(found[c].view(np.int64) for c in ("key", "context", "proof")), start + text, place))
+            key, context, proof, row, place = (np.concatenate(x) for x in zip(*made))
+            sure = _third_or_later(key, context, proof)
+            columns = [pa.array(key), pa.array(context), pa.array(proof), batch.column(0).take(pa.array(row)), pa.array(tags[row]), pa.array(place), pa.array(sure)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "proof", "doc_id", "tag", "place", "sure"])
 
     chosen = docs.where(f"octet_length(text) >= {LENGTH}")
     return chosen.mapInArrow(run, f"{PLACES}, sure boolean")
 
 
 class _Meeting:
-    """Rows of one partition in order of key and context: which contexts occur again, and which
+    """Rows of one partition in order of key, context and proof: which contexts occur again, and which
     meet others of their key. Between batches it keeps at most two rows of the context that is
     not over, and one of another context of its key as a witness."""
 
@@ -148,12 +159,12 @@ class _Meeting:
         if self.rest is not None:
             rows = pa.concat_tables([self.rest, rows])
         n = rows.num_rows
-        key, context = (rows.column(i).to_numpy() for i in (0, 1))
+        key, context, proof = (rows.column(i).to_numpy() for i in (0, 1, 2))
         given = np.concatenate([self.given, np.zeros(n - kept, bool)])
         equal = np.concatenate([self.equal, np.zeros(n - kept, bool)])
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new_context = new_key.copy()
-        new_context[1:] |= context[1:] != context[:-1]
+        new_context[1:] |= (context[1:] != context[:-1]) | (proof[1:] != proof[:-1])
         of = np.cumsum(new_context) - 1
         first = np.flatnonzero(new_context)
         sizes = np.diff(np.append(first, n))
@@ -176,7 +187,7 @@ class _Meeting:
 
 
 def _meet(rows: DataFrame, payload: str) -> DataFrame:
-    """``rows`` (key, context, ..., sure) with ``kind`` instead of ``sure``: 0 for each row whose
+    """``rows`` (key, context, proof, ..., sure) with ``kind`` instead of ``sure``: 0 for each row whose
     context occurs again, and 1 for one row of each context whose key has others. Rows that are
     sure go anywhere, so a very frequent string does not fill one task."""
     names = rows.columns[:-1]
@@ -195,17 +206,17 @@ def _meet(rows: DataFrame, payload: str) -> DataFrame:
             for found, kind in parts:
                 yield from found.append_column("kind", pa.array(kind, pa.int8())).combine_chunks().to_batches()
 
-    to = F.when(F.col("sure"), F.xxhash64(*names[2:])).otherwise(F.col("key"))
-    dealt = rows.withColumn("to", to).repartition("to").sortWithinPartitions("sure", *names[:2])
+    to = F.when(F.col("sure"), F.xxhash64(*names[3:])).otherwise(F.col("key"))
+    dealt = rows.withColumn("to", to).repartition("to").sortWithinPartitions("sure", *names[:3])
     return dealt.mapInArrow(run, f"{payload}, kind tinyint")
 
 
-CONTEXTS = "key bigint, context bigint, doc_id bigint, tag bigint, low bigint, off int, span int, bytes binary"
+CONTEXTS = "key bigint, context bigint, proof bigint, doc_id bigint, tag bigint, low bigint, off int, span int, bytes binary"
 
 
 def _contexts(docs: DataFrame, different: DataFrame) -> DataFrame:
     """The bytes of different contexts, from their documents."""
-    place = F.struct("key", "context", "place")
+    place = F.struct("key", "context", "proof", "place")
     listed = different.groupBy("doc_id", "tag").agg(F.collect_list(place).alias("places"))
     mine = listed.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "places")
     unique = docs.join(mine, docs["doc_id"].eqNullSafe(mine["_doc"]) & (docs["tag"] == mine["_tag"])).select("doc_id", "tag", "text", "places")
@@ -217,12 +228,12 @@ def _contexts(docs: DataFrame, different: DataFrame) -> DataFrame:
                 lists = batch.column(3).slice(at, len(piece))
                 of = np.repeat(np.arange(len(piece)), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
-                low, off, span = _unpack(flat.field(2).to_numpy())
+                low, off, span = _unpack(flat.field(3).to_numpy())
                 raw, begin = data.tobytes(), (offsets[of] + low).tolist()
                 cut = [raw[a : a + LENGTH + s] for a, s in zip(begin, span.tolist())]
                 take = pa.array(at + of)
-                columns = [flat.field(0), flat.field(1), batch.column(0).take(take), batch.column(1).take(take), pa.array(low), pa.array(off, pa.int32()), pa.array(span, pa.int32()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "doc_id", "tag", "low", "off", "span", "bytes"])
+                columns = [flat.field(0), flat.field(1), flat.field(2), batch.column(0).take(take), batch.column(1).take(take), pa.array(low), pa.array(off, pa.int32()), pa.array(span, pa.int32()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "proof", "doc_id", "tag", "low", "off", "span", "bytes"])
 
     return unique.mapInArrow(run, CONTEXTS)
 
@@ -236,20 +247,20 @@ def _told_apart(contexts: DataFrame, hot: DataFrame, step: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, tag, low, off, span, data in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
+            for doc_id, tag, low, off, span, data in zip(*(batch.column(i).to_pylist() for i in range(3, 9))):
                 for cell in range((off - span) // width, off // width + 1):
                     most, least = min(off, cell * width + width - 1), max(off - span, cell * width)  # places
                     part = data[off - most : off - least + LENGTH]
                     anchor = most
                     core = part[most - cell * width : most - (cell * width + width - 1) + LENGTH]
                     key = hashlib.blake2b(core + bytes([step, cell]), digest_size=8).digest()
-                    context = hashlib.blake2b(part + bytes([anchor]), digest_size=8).digest()
-                    numbers = (int.from_bytes(x, "little", signed=True) for x in (key, context))
+                    context = hashlib.blake2b(part + bytes([anchor]), digest_size=16).digest()
+                    numbers = (int.from_bytes(x, "little", signed=True) for x in (key, context[:8], context[8:]))
                     rows.append((*numbers, doc_id, tag, low + off - most, anchor, most - least, part))
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+                kinds = [pa.int64()] * 6 + [pa.int32()] * 2 + [pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                sure = _third_or_later(columns[0].to_numpy(), columns[1].to_numpy())
+                sure = _third_or_later(*(c.to_numpy() for c in columns[:3]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sure)], names=[*names, "sure"])
 
     return contexts.join(hot, "key", "left_semi").select(contexts.columns).mapInArrow(run, f"{CONTEXTS}, sure boolean")

@@ -94,3 +94,22 @@ def test_mergesort_sorts_each_group():
     assert [(group[i], blobs[i]) for i in ahead] == sorted(zip(group, blobs))
     behind = suffix_dedup.Suffixes(data, begin + length, length, back=True).sorted(group)
     assert [(group[i], blobs[i][::-1]) for i in behind] == sorted((g, b[::-1]) for g, b in zip(group, blobs))
+
+
+def test_contexts_whose_first_hashes_agree_by_chance_are_different():
+    """With a first hash that is always the same, the second one and the bytes decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(5)
+    texts = ["".join(draw.choice(list("abcdef"), 260)) for _ in range(4)]
+    texts[3] = texts[0]
+    data, offsets = suffix_dedup.bytes_of(pa.array(texts))
+    found = suffix_dedup.anchors(data, offsets)
+    one = np.zeros(len(found["key"]), np.uint64)
+    meeting = suffix_dedup._Meeting()
+    order = np.lexsort((found["proof"], one, one))
+    table = pa.table({"key": one[order].view(np.int64), "context": one[order].view(np.int64), "proof": found["proof"][order].view(np.int64), "text": found["text"][order]})
+    equal, _, met = meeting.add(table)
+    texts_equal = set(met.column("text").to_numpy()[equal].tolist())
+    assert texts_equal == {0, 3}
