@@ -15,9 +15,8 @@ and an overflow fails under ANSI rules.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Worth of the last bit of each digit, as powers of two, and bits of a digit.
@@ -25,101 +24,84 @@ PLACES = (-128, -96, -64, -32, 0, 32)
 DIGIT = 32
 #: Largest power of two that a score stays below, and doubles from which on all are whole.
 _LIMIT, _WHOLE = 2.0**63, 2.0**53
-_MASK = (1 << DIGIT) - 1
 
+# Expressions are SQL text: they are long, and text is parsed by Spark at once.
 
-def _whole(x: Column) -> Column:
-    """The whole part of a double below 2^63, towards zero."""
-    return x.cast("bigint")
 
+def _double(x: float) -> str:
+    return f"{x!r}D"
 
-def digits(value: Column) -> list[Column]:
-    """The digits of a double, one for each of PLACES, with the sign of the double. What is smaller than
-    the last place is left out."""
-    out = []
-    for place in PLACES[:-1]:
-        above = value * F.lit(2.0 ** -(place + DIGIT))
-        part = F.when(F.abs(above) < _WHOLE, above - _whole(above).cast("double")).otherwise(F.lit(0.0))
-        out.append(_whole(part * F.lit(2.0**DIGIT)))
-    return [*out, _whole(value * F.lit(2.0 ** -PLACES[-1]))]
 
+def _digit(value: str, place: int) -> str:
+    """The digit of ``value`` at a place, with the sign of the double."""
+    if place == PLACES[-1]:
+        return f"CAST({value} * {_double(2.0**-place)} AS BIGINT)"
+    above = f"({value} * {_double(2.0 ** -(place + DIGIT))})"
+    part = f"CASE WHEN abs({above}) < {_double(_WHOLE)} THEN {above} - CAST(CAST({above} AS BIGINT) AS DOUBLE) ELSE 0D END"
+    return f"CAST(({part}) * {_double(2.0**DIGIT)} AS BIGINT)"
 
-def checked(value: Column) -> Column:
-    """``value``, or a failing job if its digits would not hold it exactly."""
-    units = value * F.lit(2.0 ** -PLACES[0])
-    whole = (F.abs(units) >= _WHOLE) | (units == _whole(F.when(F.abs(units) < _WHOLE, units).otherwise(F.lit(0.0))).cast("double"))
-    fits = (F.abs(value) < _LIMIT) & whole
-    message = F.concat(F.lit("a score that exact sums do not hold: "), value.cast("string"))
-    return F.when(value.isNull() | fits, value).otherwise(F.raise_error(message).cast("double"))
 
+def digits(value: str, checked: bool = True) -> list[str]:
+    """SQL for the digits of a double column, one for each of PLACES. What is smaller than the last place
+    is left out, or fails the job if ``checked``; so does what is too large."""
+    first, *others = (_digit(value, place) for place in PLACES)
+    if checked:
+        units = f"({value} * {_double(2.0 ** -PLACES[0])})"
+        whole = f"(abs({units}) >= {_double(_WHOLE)} OR {units} = CAST(CAST({units} AS BIGINT) AS DOUBLE))"
+        error = f"raise_error(concat('a score that exact sums do not hold: ', CAST({value} AS STRING)))"
+        first = f"CASE WHEN {value} IS NULL OR (abs({value}) < {_double(_LIMIT)} AND {whole}) THEN {first} ELSE CAST({error} AS BIGINT) END"
+    return [first, *others]
 
-def _carried(sums: Column) -> Column:
-    """Array of sums by place as digits of 0 to 2^32 - 1, and the signed rest above them."""
-    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("digits"))
 
-    def step(state: Column, one: Column) -> Column:
-        total = state["carry"] + one
-        return F.struct(
-            F.shiftright(total, DIGIT).alias("carry"),
-            F.array_append(state["digits"], total.bitwiseAND(F.lit(_MASK).cast("bigint"))).alias("digits"),
-        )
+def total(sums: Sequence[str]) -> str:
+    """SQL for the double nearest to the sum, from the names of one sum for each of PLACES.
 
-    return F.aggregate(sums, start, step, lambda state: F.array_append(state["digits"], state["carry"]))
-
-
-def _let(value: Column, function) -> Column:
-    """``function`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), function), F.lit(0))
-
-
-def _nearest(sums: Column) -> Column:
-    """The double nearest to an array of sums by place, whatever places are in use.
-
-    The 62 leading bits, with a last bit that says whether anything follows, round as the whole
-    number does.
+    Nearly always only the middle places count: these fit a decimal, and casting that rounds once. Else
+    carries make the lower digits positive: a whole part, 64 bits behind it and 64 more. The decimal
+    that holds the leading bits gets one more bit that says whether anything follows.
     """
-
-    def of_size(size: Column) -> Column:
-        at = F.array_max(F.transform(size, lambda d, i: F.when(d > 0, i)))
-        hi = F.get(size, at)
-        below = lambda n: F.coalesce(F.get(size, at - F.lit(n)), F.lit(0).cast("bigint"))
-        next_two = F.shiftleft(below(1), DIGIT).bitwiseOR(below(2))
-        bits = F.length(F.bin(hi))
-        shift = lambda name, x, n: F.call_function(name, x, n)
-        lead = shift("shiftleft", hi, F.lit(62) - bits).bitwiseOR(shift("shiftrightunsigned", next_two, bits + F.lit(2)))
-        cut = shift("shiftleft", F.lit(1).cast("bigint"), bits + F.lit(2)) - F.lit(1)
-        rest = (next_two.bitwiseAND(cut) != 0) | F.exists(F.transform(size, lambda d, i: (i < at - F.lit(2)) & (d > 0)), lambda b: b)
-        whole = lead.bitwiseOR(F.when(rest, F.lit(1)).otherwise(F.lit(0)).cast("bigint")).cast("double")
-        return F.when(at.isNull(), F.lit(0.0)).otherwise(whole * F.pow(F.lit(2.0), F.lit(DIGIT) * at + F.lit(PLACES[0] - 62) + bits))
-
-    def signed(own: Column) -> Column:
-        negative = F.element_at(_carried(own), -1) < 0
-        return F.when(negative, -_let(_carried(F.transform(own, lambda d: -d)), of_size)).otherwise(_let(_carried(own), of_size))
-
-    return _let(sums, signed)
-
-
-def total(sums: Sequence[Column]) -> Column:
-    """The double nearest to the sum, from one sum for each of PLACES."""
-    # Nearly always only the middle places count: these fit a decimal, which also rounds once.
-    low, mid, high = (x.cast("decimal(38,0)") for x in sums[2:5])
-    others = reduce(lambda a, b: a & b, [s == 0 for s in (*sums[:2], *sums[5:])])
-    simple = others & (F.abs(sums[4]) < F.lit(1 << 58))
-    units = (high * F.lit(1 << DIGIT) + mid) * F.lit(1 << DIGIT) + low
-    return F.when(simple, units.cast("double") * F.lit(2.0 ** PLACES[2])).otherwise(_nearest(F.array(*sums)))
-
-
-def mean_of_sums(sums: Sequence[Column], count: Column) -> Column:
-    """Mean from the sums by place and a count; NULL when nothing was counted."""
-    return total(sums) / F.nullif(count, F.lit(0))
-
-
-def mean(value: Column) -> Column:
-    """Aggregate: exact mean of a double column, NULLs ignored, one weight per row."""
-    return mean_of_sums([F.coalesce(F.sum(d), F.lit(0)) for d in digits(checked(value))], F.count(value))
-
-
-def mean_of_means(average: Column) -> Column:
-    """Aggregate: unweighted mean of group averages (not the mean over the rows behind them). What an
-    average has below 2^-128 is left out."""
-    return mean_of_sums([F.coalesce(F.sum(d), F.lit(0)) for d in digits(average)], F.count(average))
+    s0, s1, s2, s3, s4, s5 = sums
+    wide, mask, shift = "CAST({} AS DECIMAL(38,0))".format, f"{(1 << DIGIT) - 1}L", f"{1 << DIGIT}L"
+    t1 = f"({s1} + shiftright({s0}, {DIGIT}))"
+    t2 = f"({s2} + shiftright({t1}, {DIGIT}))"
+    t3 = f"({s3} + shiftright({t2}, {DIGIT}))"
+    whole = f"({wide(s5)} * {shift} + {s4} + shiftright({t3}, {DIGIT}))"
+    behind = f"({wide(f'({t3} & {mask})')} * {shift} + ({t2} & {mask}))"
+    rest = f"({wide(f'({t1} & {mask})')} * {shift} + ({s0} & {mask}))"
+    both = f"({whole} * {1 << 64}BD + {behind})"
+    middle = f"(({wide(s4)} * {shift} + {s3}) * {shift} + {s2})"
+    simple = f"{s0} = 0 AND {s1} = 0 AND {s5} = 0 AND abs({s4}) < {1 << 58}L"
+    return (
+        f"CASE WHEN {simple} THEN CAST({middle} AS DOUBLE) * {_double(2.0**-64)}"
+        f" WHEN abs({whole}) >= {1 << 61}BD THEN CAST({whole} * 2 + CASE WHEN {behind} + {rest} = 0 THEN 0 ELSE 1 END AS DOUBLE) / 2D"
+        f" WHEN abs({both}) >= {1 << 62}BD THEN CAST({both} * 2 + CASE WHEN {rest} = 0 THEN 0 ELSE 1 END AS DOUBLE) * {_double(2.0**-65)}"
+        f" ELSE CAST({both} * {1 << 64}BD + {rest} AS DOUBLE) * {_double(2.0**-128)} END"
+    )
+
+
+def mean_of_sums(sums: Sequence[str], count: str) -> Column:
+    """Mean from the names of the sums by place and of a count; NULL when nothing was counted."""
+    return F.expr(f"({total(sums)}) / nullif({count}, 0)")
+
+
+def _aggregate(value: str, checked: bool) -> Column:
+    parts = ", ".join(f"'s{n}', coalesce(sum({d}), 0L)" for n, d in enumerate(digits(value, checked)))
+    return F.expr(f"named_struct({parts}, 'n', count({value}))")
+
+
+def mean(value: str) -> Column:
+    """Aggregate: the exact sums of a double column, NULLs ignored, one weight per row. ``rounded`` makes
+    the mean of it."""
+    return _aggregate(value, checked=True)
+
+
+def mean_of_means(average: str) -> Column:
+    """Aggregate: the same for the unweighted mean of group averages (not the mean over the rows behind
+    them). What an average has below 2^-128 is left out."""
+    return _aggregate(average, checked=False)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the means of aggregates by ``mean`` or ``mean_of_means`` in their place."""
+    means = {n: mean_of_sums([f"{n}.s{k}" for k in range(len(PLACES))], f"{n}.n") for n in names}
+    return df.withColumns(means)

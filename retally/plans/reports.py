@@ -18,7 +18,7 @@ from ..functions.labels import (
     label_or_q_class,
     percent,
 )
-from ..functions.scores import mean, mean_of_means
+from ..functions.scores import mean, mean_of_means, rounded
 from .views import VIEWS
 
 TOP_ACTORS = 250
@@ -32,7 +32,8 @@ def _total() -> F.Column:
 
 
 def _mean(name: str = "mean_goldstein") -> F.Column:
-    return mean_of_means(F.col("avg_goldstein")).alias(name)
+    """Sums of averages; ``rounded`` gives the mean."""
+    return mean_of_means("avg_goldstein").alias(name)
 
 
 def _top(df: DataFrame, n: int, *names: str) -> DataFrame:
@@ -69,10 +70,11 @@ def kpis(quad_view: DataFrame, start: int, end: int) -> DataFrame:
         F.coalesce(
             F.sum(conflict_only(F.col("quad_class"), F.col("total_events"))), F.lit(0)
         ).alias("conflict_events"),
-        F.coalesce(_mean(), F.lit(0.0)).alias("mean_goldstein"),
+        _mean(),
     )
     rate = percent(F.col("conflict_events"), F.col("total_events"))
-    return sums.withColumn("conflict_rate", rate)
+    mean_score = F.coalesce("mean_goldstein", F.lit(0.0))
+    return rounded(sums, "mean_goldstein").withColumns({"mean_goldstein": mean_score, "conflict_rate": rate})
 
 
 def trend(quad_view: DataFrame, start: int, end: int) -> DataFrame:
@@ -83,14 +85,15 @@ def trend(quad_view: DataFrame, start: int, end: int) -> DataFrame:
         _mean(),
     )
     day = to_day(F.col("event_date")).alias("event_day")
-    return daily.select(day, "total_events", "conflict_events", "mean_goldstein").orderBy("event_day")
+    shown = rounded(daily, "mean_goldstein")
+    return shown.select(day, "total_events", "conflict_events", "mean_goldstein").orderBy("event_day")
 
 
 def quad_dist(quad_view: DataFrame, start: int, end: int) -> DataFrame:
     """Per class with its label: events and mean of the daily averages."""
     per_class = in_date_range(quad_view, start, end).groupBy("quad_class")
     sums = per_class.agg(_total(), _mean("avg_goldstein"))
-    labelled = sums.withColumn("quad_label", label_or_class(F.col("quad_class")))
+    labelled = rounded(sums, "avg_goldstein").withColumn("quad_label", label_or_class(F.col("quad_class")))
     return labelled.orderBy("quad_class")
 
 
@@ -114,20 +117,20 @@ def top_actors(actor_view: DataFrame, start: int, end: int, n: int = TOP_ACTORS)
         country_level(F.col("source_actor"))
     )
     sums = countries.groupBy(F.col("source_actor").alias("iso3")).agg(_total(), _mean())
-    return _top(sums.filter(F.col("total_events") > 0), n, "iso3")
+    return rounded(_top(sums.filter(F.col("total_events") > 0), n, "iso3"), "mean_goldstein")
 
 
 def top_dyads(dyad_view: DataFrame, start: int, end: int, n: int = TOP_N) -> DataFrame:
     """Busiest ordered pairs of actors."""
     pair = ("source_actor", "target_actor")
     sums = _with_keys(in_date_range(dyad_view, start, end), *pair).groupBy(*pair)
-    return _top(sums.agg(_total(), _mean()), n, *pair)
+    return rounded(_top(sums.agg(_total(), _mean()), n, *pair), "mean_goldstein")
 
 
 def top_cameo(cameo_view: DataFrame, start: int, end: int, n: int = TOP_N) -> DataFrame:
     """Busiest event codes."""
     sums = _with_keys(in_date_range(cameo_view, start, end), "cameo_code").groupBy("cameo_code")
-    return _top(sums.agg(_total(), _mean()), n, "cameo_code")
+    return rounded(_top(sums.agg(_total(), _mean()), n, "cameo_code"), "mean_goldstein")
 
 
 def bottom_up(top: DataFrame, n: int, name: str) -> DataFrame:
@@ -174,7 +177,7 @@ def heatmap_grid(cells: DataFrame) -> DataFrame:
 def rollup_daily(quad_view: DataFrame, start: int, end: int) -> DataFrame:
     """Events per day and class, from the view."""
     sums = in_date_range(quad_view, start, end).groupBy("event_date", "quad_class")
-    return sums.agg(_total(), _mean("avg_goldstein"))
+    return rounded(sums.agg(_total(), _mean("avg_goldstein")), "avg_goldstein")
 
 
 def rollup_actors(actor_view: DataFrame, start: int, end: int, n: int = TOP_ACTORS) -> DataFrame:
@@ -183,7 +186,7 @@ def rollup_actors(actor_view: DataFrame, start: int, end: int, n: int = TOP_ACTO
         country_level(F.col("source_actor"))
     )
     sums = countries.groupBy("source_actor").agg(_total(), _mean("avg_goldstein"))
-    return _top(sums, n, "source_actor")
+    return rounded(_top(sums, n, "source_actor"), "avg_goldstein")
 
 
 def rollup_dyads(dyad_view: DataFrame, start: int, end: int, n: int = TOP_RAW) -> DataFrame:
@@ -218,33 +221,35 @@ def dashboard(
 
 
 def _raw(events: DataFrame, start: int, end: int, *keys: str) -> DataFrame:
+    """Events and sums of scores by key; callers round the means of the rows they show."""
     sums = in_date_range(events, start, end).groupBy(*keys)
     return sums.agg(
         F.sum(F.col("num_events").cast("bigint")).alias("total_events"),
-        mean(F.col("goldstein")).alias("avg_goldstein"),
+        mean("goldstein").alias("avg_goldstein"),
     )
 
 
 def raw_daily(events: DataFrame, start: int, end: int) -> DataFrame:
     """Events per day and class, from the events."""
-    return _raw(events, start, end, "event_date", "quad_class")
+    return rounded(_raw(events, start, end, "event_date", "quad_class"), "avg_goldstein")
 
 
 def raw_actors(events: DataFrame, start: int, end: int, n: int = TOP_ACTORS) -> DataFrame:
     """Busiest country-level source actors, from the events."""
     countries = _with_keys(events, "source_actor").filter(country_level(F.col("source_actor")))
-    return _top(_raw(countries, start, end, "source_actor"), n, "source_actor")
+    return rounded(_top(_raw(countries, start, end, "source_actor"), n, "source_actor"), "avg_goldstein")
 
 
 def raw_dyads(events: DataFrame, start: int, end: int, n: int = TOP_RAW) -> DataFrame:
     """Busiest pairs, from the events."""
     pair = ("source_actor", "target_actor")
-    return _top(_raw(_with_keys(events, *pair), start, end, *pair), n, *pair)
+    return rounded(_top(_raw(_with_keys(events, *pair), start, end, *pair), n, *pair), "avg_goldstein")
 
 
 def raw_cameo(events: DataFrame, start: int, end: int, n: int = TOP_RAW) -> DataFrame:
     """Busiest codes, from the events."""
-    return _top(_raw(_with_keys(events, "cameo_code"), start, end, "cameo_code"), n, "cameo_code")
+    top = _top(_raw(_with_keys(events, "cameo_code"), start, end, "cameo_code"), n, "cameo_code")
+    return rounded(top, "avg_goldstein")
 
 
 # --- about the views ---------------------------------------------------------------------

@@ -40,7 +40,7 @@ SUMS = ("d_events", "d_articles", *SCORE_SUMS, "d_scored", "d_rows")
 def _measures(sign: Column) -> list[Column]:
     """What one event adds to each sum, as whole numbers."""
     score, none = F.col("goldstein"), F.lit(0).cast("bigint")
-    parts = zip(SCORE_SUMS, scores.digits(scores.checked(score)))
+    parts = zip(SCORE_SUMS, map(F.expr, scores.digits("goldstein")))
     return [
         (sign * F.col("num_events").cast("bigint")).alias("d_events"),
         (sign * F.col("num_articles").cast("bigint")).alias("d_articles"),
@@ -59,7 +59,7 @@ def _shown(df: DataFrame, spec: ViewSpec, *extra: str) -> DataFrame:
     columns = [F.col("d_events").alias("total_events")]
     if spec.has_articles:
         columns.append(F.col("d_articles").alias("total_articles"))
-    columns.append(scores.mean_of_sums([F.col(c) for c in SCORE_SUMS], F.col("d_scored")).alias("avg_goldstein"))
+    columns.append(scores.mean_of_sums(SCORE_SUMS, "d_scored").alias("avg_goldstein"))
     return df.select(*spec.keys, *columns, *extra)
 
 
