@@ -71,9 +71,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(starts)) - 1
     low, high, at = starts[first], starts[last], at[first]
     shape = mix(((at - low) * 256 + (high - low)).astype(np.uint64), 3)
-    context = mix(prefix.of(low, high + LENGTH) ^ shape, 2)
+    context, key, text = mix(prefix.of(low, high + LENGTH) ^ shape, 2), keys[at], text_of[low]
+    del prefix, keys, order, least, whole, text_of, starts  # each as long as the text, some eight times
     proof = Prefix(data, _PROOF_BASE, _PROOF_VALUE).of(low, high + LENGTH)
-    return {"text": text_of[low], "at": at, "key": keys[at], "low": low, "high": high, "context": context, "proof": proof}
+    return {"text": text, "at": at, "key": key, "low": low, "high": high, "context": context, "proof": proof}
 
 
 #: Contexts of one gram that are sorted together; more are first told apart by longer strings.
