@@ -478,6 +478,27 @@ def test_table_follows_random_changes(spark, values, folder):
     assert "Exchange" not in store.events()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_changed_keys_are_not_sent_to_all_tasks(spark, folder, values):
+    """A log of many keys is shuffled with the base, whatever Spark makes of its file; a small one is not."""
+    def plan():
+        return store.events()._jdf.queryExecution().executedPlan().toString()
+
+    measures = "cast(1 as int) as num_events, cast(1 as int) as num_articles, cast(1 as int) as quad_class, 0.5D as goldstein"
+    dated_rows = ("id as globaleventid", "20200101 as event_date", "'USA' as source_actor", "'CHN' as target_actor", "'010' as cameo_code")
+    spark.range(120_000).selectExpr(*dated_rows, *measures.split(", ")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    store = ViewStore(spark, f"{folder}/views", table=True)
+    store.apply(changelog.snapshot_records(rows), 0)
+    assert "Join" not in plan()  # no base yet
+    store.compact()
+    store.apply(changelog.delete_records(rows.filter("globaleventid % 8 <> 0")), 1)
+    assert "Broadcast" not in plan() and "SortMergeJoin" in plan()
+    assert values(store.events(), "globaleventid") == values(rows.filter("globaleventid % 8 = 0"), "globaleventid")
+    store.compact()
+    store.apply(changelog.delete_records(rows.filter("globaleventid = 8")), 2)
+    assert "BroadcastHashJoin" in plan() and store.events().count() == 14_999
+
+
 def test_an_update_of_the_key_takes_the_old_row_away(spark, seed, folder, values):
     store = ViewStore(spark, folder, table=True)
     store.apply(changelog.snapshot_records(seed), 0)
