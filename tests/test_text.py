@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from retally.catalog.queries import _write_text
 from retally.schemas import EVENT_COLUMNS
 from retally.sources import event_text as text
 from retally.sources import lines
@@ -225,3 +226,18 @@ def test_lines_are_parsed_once(spark, file):
     df = text.events_of(text.parse(lines.data_lines(lines.read_lines(spark, file(full())))))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_rarer_layout_first_is_written_by_many_tasks(spark, folder):
+    """Lines of one layout do not meet in one task, however many there are, and none is lost."""
+    kind = "element_at(array('view', 'click', 'signup', 'purchase', 'error', NULL), cast(id % 6 + 1 as int)) as event_type"
+    others = ("id as event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "id % 7 as user_id", "cast(id as double) as value")
+    spark.range(0, 3000, 1, 8).selectExpr(*others, kind).write.parquet(f"{folder}/events.parquet")
+    _write_text(spark, folder, f"{folder}/late", False, rare_first=True)
+    found = []
+    for name in sorted(n for n in os.listdir(f"{folder}/late") if n.startswith("part-")):
+        with open(f"{folder}/late/{name}", newline="") as part:
+            found.append([line.count("\t") + 1 for line in part.read().split("\n")[1:-1]])
+    sizes = [n for part in found for n in part]
+    assert sizes == [text.SHORT] * 500 + [n for n in sizes[500:] if n != text.SHORT] and len(sizes) == 3000
+    assert sum(map(bool, found)) > 4 and max(map(len, found)) < 1000
