@@ -499,6 +499,23 @@ def test_many_changed_keys_are_not_sent_to_all_tasks(spark, folder, values):
     assert "BroadcastHashJoin" in plan() and store.events().count() == 14_999
 
 
+def test_folds_of_many_keys_keep_views_and_table(spark, values, folder, monkeypatch):
+    """Base and log shuffled by key at every read and fold: pairs and table as from all changes at once."""
+    from test_changes_property import random_feed
+
+    monkeypatch.setattr("retally.streaming.store.MOST_KEYS", 0)
+    feed, final = random_feed(22, batches=3, size=15)
+    store = ViewStore(spark, folder, table=True)
+    for batch_id, batch in enumerate(feed):
+        store.apply(spark.createDataFrame(batch, CHANGE), batch_id)
+        assert "Broadcast" not in store.events()._jdf.queryExecution().executedPlan().toString()
+        if batch_id != 1:
+            store.compact()
+    rows = spark.createDataFrame(final, EVENT)
+    assert values(store.events()) == values(rows)
+    assert shown(store, "dyad", values) == values(views.full(rows, views.DYAD))
+
+
 def test_an_update_of_the_key_takes_the_old_row_away(spark, seed, folder, values):
     store = ViewStore(spark, folder, table=True)
     store.apply(changelog.snapshot_records(seed), 0)
